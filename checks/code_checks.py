@@ -148,8 +148,8 @@ add("entry_query_person_place",
     lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(place_ids=[3, 8], place_of="person", limit=None)),
     entry_sql("b.c_index_addr_id IN (3, 8)"))
 add("entry_query_keyword",
-    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(person_keyword="machinery-", limit=None)),
-    entry_sql("lower(coalesce(b.c_name_chn, '')) LIKE '%machinery-%'"))
+    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(person_keyword="building-", limit=None)),
+    entry_sql("lower(coalesce(b.c_name_chn, '')) LIKE '%building-%'"))
 add("entry_query_no_codes",
     lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(on_empty="none", limit=None)), entry_sql("false"))
 add("office_query_top",

@@ -118,8 +118,8 @@ def _persons(catalog: Catalog, relation: Relation, request: CodeRequest) -> Data
 def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> DataFrame:
     """Filtered facts with person and label columns.
 
-    With a limit, only the sort columns travel until the top rows are known; the
-    person and label columns are joined to those few rows afterwards.
+    With a limit, person and dimension columns are joined to the top rows only, after
+    these are known; without one, to all rows in a single pass.
     """
     _check(relation, request)
     hierarchy = catalog["ADDR_BELONGS_DATA"] if "ADDR_BELONGS_DATA" in catalog else None
@@ -131,12 +131,17 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
     if relation.fan_out is None and request.place_of == "fact":
         hits = by_places(hits, relation.place, request.places, hierarchy, request.include_subordinate_units)
     persons = _persons(catalog, relation, request)
-    hits = of_ids(hits, persons.select("c_personid"), relation.person)
+    limited = request.limit is not None
+    who = persons.select(*[F.col(c).alias(f"b_{c}") for c in persons.columns])
+    is_person = F.col(relation.person) == F.col("b_c_personid")
+    hits = of_ids(hits, persons.select("c_personid"), relation.person) if limited else hits.join(who, is_person)
     if relation.fan_out is not None:
         table, keys, place = relation.fan_out
         hits = expand(hits, catalog[table].select(*keys, place), keys, "__places")
         if request.place_of == "fact":
             hits = by_places(hits, place, request.places, hierarchy, request.include_subordinate_units)
+    if relation.xy_field and not limited:
+        hits = _with_xy_count(catalog, hits, relation.place, limited)
     if relation.label:
         codes, key, labels = relation.label
         hits = with_label(hits, catalog[codes], relation.code, key, *labels, name="__label")
@@ -147,14 +152,13 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
     order = [*( [F.coalesce("__label", F.lit("")).asc()] if relation.label else []),
              *[F.col(c).asc_nulls_first() for c in (*relation.order, *relation.ties)],
              F.xxhash64(*catalog[relation.table].columns).asc()]
-    if request.limit is not None:
-        hits = hits.orderBy(*order).limit(clamp(request.limit, request.cap))
-    who = persons.select(*[F.col(c).alias(f"b_{c}") for c in persons.columns])
-    rows = hits.join(who, F.col(relation.person) == F.col("b_c_personid"))
-    if relation.xy_field:
-        rows = _with_xy_count(catalog, rows, relation.place, limited=request.limit is not None)
+    rows = hits
+    if limited:
+        rows = hits.orderBy(*order).limit(clamp(request.limit, request.cap)).join(who, is_person)
+        if relation.xy_field:
+            rows = _with_xy_count(catalog, rows, relation.place, limited)
     rows, columns = attach(catalog, rows, relation.fields)
-    if request.limit is not None or request.sort:
+    if limited or request.sort:
         rows = rows.orderBy(*order)
     return rows.select(*[columns[f.name].alias(f.name) for f in relation.fields])
 

@@ -57,8 +57,8 @@ def gender(name: str, column: str) -> Field:
     return Field(name, "gender", column)
 
 
-def _present(rows: DataFrame, f: Field) -> Column | None:
-    have = [F.col(c) for c in f.columns if c in rows.columns]
+def _present(have: set[str], f: Field) -> Column | None:
+    have = [F.col(c) for c in f.columns if c in have]
     if not have:
         return None
     return have[0] if len(have) == 1 else F.coalesce(*have)
@@ -71,23 +71,24 @@ def attach(catalog: Mapping[str, DataFrame], rows: DataFrame, fields: Sequence[F
     No broadcast hints: some of these dimensions (persons, texts) grow with the data,
     and Spark broadcasts the others by their measured size.
     """
+    stored = set(rows.columns)
+    dims = {d: set(catalog[d].columns) for d in {f.dim for f in fields} if d and d in catalog}
     wanted: dict[tuple, list[Field]] = {}
     for f in fields:
-        if f.dim and f.dim in catalog and _present(rows, f) is not None and f.dim_key in catalog[f.dim].columns:
+        if f.dim in dims and _present(stored, f) is not None and f.dim_key in dims[f.dim]:
             wanted.setdefault((f.columns, f.dim, f.dim_key), []).append(f)
     out: dict[str, Column] = {}
     for i, ((columns, dim, dim_key), group) in enumerate(wanted.items()):
-        table = catalog[dim]
-        names = sorted({c for f in group for c in f.labels if c in table.columns})
-        side = table.select(F.col(dim_key).alias(f"__k{i}"), *[F.col(c).alias(f"__d{i}_{c}") for c in names])
-        rows = rows.join(side, _present(rows, group[0]) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        names = sorted({c for f in group for c in f.labels if c in dims[dim]})
+        side = catalog[dim].select(F.col(dim_key).alias(f"__k{i}"), *[F.col(c).alias(f"__d{i}_{c}") for c in names])
+        rows = rows.join(side, _present(stored, group[0]) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
         for f in group:
             found = [F.col(f"__d{i}_{c}") for c in f.labels if c in names]
             out[f.name] = (F.coalesce(*found) if found else F.lit(None)).cast(f.type)
     for f in fields:
         if f.name in out:
             continue
-        here = None if f.dim else _present(rows, f)
+        here = None if f.dim else _present(stored, f)
         if f.type == "gender":
             out[f.name] = gender_label(here if here is not None else F.lit(None).cast("int"))
             continue
