@@ -158,8 +158,8 @@ add("office_query_top",
 add("office_query_all", lambda s, d: cq.office_query(catalog(s, d), cq.office_request(limit=None)), office_sql())
 add("office_query_years",
     lambda s, d: cq.office_query(catalog(s, d), cq.office_request(
-        use_office_year_range=True, office_year_from=1000, office_year_to=1004, dynasty_ids=[1, 2], limit=None)),
-    office_sql("f.c_firstyear <= 1004 AND coalesce(f.c_lastyear, f.c_firstyear) >= 1000 AND b.c_dy IN (1, 2)"))
+        use_office_year_range=True, office_year_from=990, office_year_to=986, dynasty_ids=[1, 2], limit=None)),
+    office_sql("f.c_firstyear <= 990 AND coalesce(f.c_lastyear, f.c_firstyear) >= 986 AND b.c_dy IN (1, 2)"))
 add("office_query_places",
     lambda s, d: cq.office_query(catalog(s, d), cq.office_request(
         person_place_ids=[100], include_subordinate_person_units=True, office_place_ids=[1, 2, 3], limit=None)),

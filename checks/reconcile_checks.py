@@ -156,8 +156,8 @@ add("count_diff", two_catalogs, with_standins("""
 add("key_sets", lambda s, d: rc.key_sets(*sides(s, d), ["id", "part"]), f"""WITH l AS ({LEFT.format(**_T)}), r AS ({RIGHT.format(**_T)})
     SELECT id, part, CASE max(w) + min(w) WHEN 2 THEN 'only_left' WHEN 4 THEN 'only_right' ELSE 'both' END AS side
     FROM (SELECT id, part, 1 AS w FROM l UNION ALL SELECT id, part, 2 FROM r) GROUP BY 1, 2""")
-add("missing_keys", lambda s, d: rc.missing_keys(*sides(s, d), ["part", "status"]), f"""WITH l AS ({LEFT.format(**_T)}), r AS ({RIGHT.format(**_T)})
-    SELECT part, status FROM l EXCEPT SELECT part, status FROM r""")
+add("missing_keys", lambda s, d: rc.missing_keys(*sides(s, d), ["id", "status"]), f"""WITH l AS ({LEFT.format(**_T)}), r AS ({RIGHT.format(**_T)})
+    SELECT id, status FROM l EXCEPT SELECT id, status FROM r""")
 
 
 def divergence(s, d):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from prosopo.session import cut_lineage
 
 LARGE_GROUP_ROWS = 1_000_000
+IN_MEMORY_ROWS = 1_000_000
 
 _ROW, _PART, _BEFORE = "__row", "__part", "__before"
 
@@ -42,6 +43,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     else:
         window = Window.partitionBy(*keys).orderBy(*order)
         out = df.withColumn(name or _ROW, F.row_number().over(window)).where(F.col(name or _ROW) <= n)
+        out = out.withColumn(name, F.col(name).cast("bigint")) if name else out
     return out if name else out.drop(_ROW)
 
 
@@ -56,7 +58,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     if not keys:
         return _ranged_ordinal(df, [], order, name)
     big = df.groupBy(*keys).count().where(F.col("count") > large).select(*keys)
-    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     if not big.take(1):
         return df.withColumn(name, plain)
     big = cut_lineage(big, "large-keys")
@@ -103,7 +105,7 @@ def _ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(_PART).alias("__k_part"), _BEFORE))
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col(_PART) == F.col("__k_part")]
     return (placed.withColumn(_ROW, local).join(before, on, "left")
-            .select(*columns, (F.col(_ROW) + F.coalesce(F.col(_BEFORE), F.lit(0))).cast("int" if keys else "bigint").alias(name)))
+            .select(*columns, (F.col(_ROW) + F.coalesce(F.col(_BEFORE), F.lit(0))).cast("bigint").alias(name)))
 
 
 def clamp(limit: int, cap: int | None = 10_000) -> int:
@@ -114,7 +116,11 @@ def clamp(limit: int, cap: int | None = 10_000) -> int:
 
 def first_rows(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0,
                cap: int | None = 10_000) -> DataFrame:
+    """Sorted, from ``offset``, at most ``limit`` rows (held within ``cap``)."""
+    limit = clamp(limit, cap)
+    if offset + limit > IN_MEMORY_ROWS:  # a top-k of this size would not fit one task
+        at = F.col("__at")
+        return (with_position(df, order, "__at").where((at > offset) & (at <= offset + limit))
+                .orderBy("__at").drop("__at"))
     df = df.orderBy(*order)
-    if offset > 0:
-        df = df.offset(offset)
-    return df.limit(clamp(limit, cap))
+    return (df.offset(offset) if offset > 0 else df).limit(limit)

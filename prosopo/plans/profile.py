@@ -13,7 +13,7 @@ from prosopo.operators.aggregates import relation_counts
 from prosopo.operators.joins import expand, of_ids, with_kin_person
 from prosopo.operators.ordering import nulls_first, top_per_key, with_ordinal
 from prosopo.plans.fields import Field, attach, describe
-from prosopo.plans.relations import ACCESSORS, BASIC, DETAIL, KIN, PERSONS, POSTING, Relation
+from prosopo.plans.relations import ACCESSORS, BASIC, DETAIL, KIN, PERSONS, POSTING
 
 CATEGORIES = (*ACCESSORS, "postings", "kinships")
 
@@ -55,8 +55,10 @@ def direct_kin(catalog: Catalog, ids: DataFrame | None = None, keep_orphans: boo
         F.col("c_kincode").alias("__code"), joined_display(F.col("c_kinrel_chn"), F.col("c_kinrel")).alias("__kinship"),
         F.col("c_upstep").alias("__up"), F.col("c_dwnstep").alias("__down"), F.col("c_marstep").alias("__mar"),
         F.col("c_colstep").alias("__col"))
-    rows = with_kin_person(_facts(catalog, "KIN_DATA", ids), catalog[PERSONS], keep_orphans)
-    rows = _numbered(rows, ("c_kin_id", "c_kin_code"), per_person)
+    rows = _facts(catalog, "KIN_DATA", ids)
+    if not keep_orphans:
+        rows = of_ids(rows, catalog[PERSONS].select("c_personid"), "c_kin_id")
+    rows = with_kin_person(_numbered(rows, ("c_kin_id", "c_kin_code"), per_person), catalog[PERSONS], keep_orphans)
     rows = rows.join(steps, F.col("c_kin_code") == F.col("__code"), "left").withColumn("__derived", F.lit(False))
     return _finish(catalog, rows, KIN)
 

@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from prosopo.functions.exprs import short_hash, short_timestamp
-from prosopo.operators.reconcile import diff_stats
-from prosopo.session import cut_lineage
+from prosopo.operators.reconcile import BUCKETS
 
 COUNTERS = ("rows_left", "rows_right", "rows_matching", "rows_only_left", "rows_only_right", "rows_mismatch")
 
@@ -15,13 +14,21 @@ COUNTERS = ("rows_left", "rows_right", "rows_matching", "rows_only_left", "rows_
 def write_report(result: DataFrame, folder: str, query_id: str, request: str = "{}", source_sha: str | None = None) -> DataFrame:
     """Store a diff under ``folder/<query_id>``: ``rows`` (all that do not match, Parquet) and
     ``stats`` (one JSON line). Both are overwritten; anything else in the folder,
-    such as an analyst's notes, is left alone. The diff is computed once.
+    such as an analyst's notes, is left alone. The diff is computed once: its counters
+    are taken from the rows on their way to the file.
     """
-    result = cut_lineage(result, "diff")
-    result.where("bucket <> 'match'").write.mode("overwrite").parquet(f"{folder}/{query_id}/rows")
-    stats = diff_stats(result).select(
-        F.lit(query_id).alias("query_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
-        F.lit(source_sha).cast("string").alias("datadump_sha"), F.lit(request).alias("request"), F.struct(*COUNTERS, "matches").alias("stats"))
+    spark = result.sparkSession
+    seen = Observation()
+    (result.observe(seen, *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
+     .where("bucket <> 'match'").write.mode("overwrite").parquet(f"{folder}/{query_id}/rows"))
+    n = seen.get
+    both = n["match"] + n["mismatch"]
+    counters = (both + n["only_left"], both + n["only_right"], n["match"], n["only_left"], n["only_right"], n["mismatch"])
+    stats = spark.createDataFrame(
+        [(query_id, source_sha, request, (*counters, n["mismatch"] + n["only_left"] + n["only_right"] == 0))],
+        "query_id string, datadump_sha string, request string, stats struct<"
+        + ", ".join(f"{c}: bigint" for c in COUNTERS) + ", matches: boolean>")
+    stats = stats.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
     stats.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{query_id}/stats")
     return stats
 

@@ -69,55 +69,87 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length")
 
 
-def read_statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per statement: file, statement_id (ascending within a file), kind, table, body, reason."""
+def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """One row per statement: file, file_size, at (place in the file), bytes, kind, table, body, reason.
+
+    ``bytes`` is set once per record (record plus separator), so that the bytes of a
+    file add up to its size exactly if its last record is closed.
+    """
     raw = (spark.read.text(path, lineSep=";\n")
-           .select("value", F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("record")))
+           .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
+                   F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record")))
     text = F.regexp_replace("value", r";\s*$", "")
     # usually one statement per record; several on one line are taken apart
-    parts = F.when(F.contains(text, F.lit(";")), F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0))).otherwise(F.array(text))
-    part = (raw.select("file", "block", "record", F.is_valid_utf8("value").alias("valid"),
-                       F.posexplode(parts).alias("part", "raw"))
+    found = F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0))
+    parts = F.when(F.contains(text, F.lit(";")) & (F.size(found) > 0), found).otherwise(F.array(text))
+    part = (raw.select("file", "file_size", "block", "record", F.is_valid_utf8("value").alias("valid"),
+                       (F.octet_length("value") + 2).cast("bigint").alias("bytes"),
+                       F.regexp_like("value", F.lit(r";\s*$")).alias("closed"), F.posexplode(parts).alias("part", "raw"))
             .withColumn("body", F.regexp_replace("raw", NOISE, "")))
     kind = (F.when(F.regexp_like("body", F.lit(CREATE)), "create").when(F.regexp_like("body", F.lit(INSERT)), "insert")
-            .otherwise("other"))
+            .when(F.regexp_like("body", F.lit(r"^\s*$")), "blank").otherwise("other"))
     part = part.withColumn("kind", kind)
     reason = (F.when(~F.col("valid"), "not valid UTF-8")
               .when((F.col("kind") == "other") & (F.upper(F.substring("body", 1, 6)) == "INSERT"), "unknown INSERT form")
               .when((F.col("kind") == "other") & F.startswith("body", F.lit("/*")), "unterminated comment")
-              .when((F.col("kind") == "create") & (F.size(F.regexp_extract_all("body", F.lit(COLUMN), F.lit(1))) == 0), "no columns"))
+              .when((F.col("kind") == "create") & ~F.regexp_like("body", F.lit(COLUMN)), "no columns"))
     table = F.when(F.col("kind") == "create", F.regexp_extract("body", CREATE, 1)).when(
         F.col("kind") == "insert", F.regexp_extract("body", INSERT, 1))
-    return part.select("file", F.struct("block", "record", "part").alias("statement_id"), "kind",
-                       table.alias("table"), "body", reason.alias("reason"))
+    return part.select("file", "file_size", F.struct("block", "record", "part").alias("at"),
+                       F.when(F.col("part") == 0, F.col("bytes")).alias("bytes"), "closed", "kind",
+                       F.coalesce(table, F.lit("?")).alias("table"), "body", reason.alias("reason"))
+
+
+def tokenise(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """All statements and INSERT tuples of the dump in one pass over the text.
+
+    ``role`` "statement" rows describe a statement (``item``: the CREATE text, else the
+    last 200 characters); ``role`` "row" rows are tuples with their decoded ``values``.
+    ``reason`` marks what must not pass.
+    """
+    s = _statements(spark, path)
+    tail = F.when((F.col("kind") == "insert") & F.col("reason").isNull(), F.regexp_replace("body", INSERT, ""))
+    s = s.withColumn("tail", tail)
+    tuples = F.coalesce(F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)), F.array().cast("array<string>"))
+    left_over = F.regexp_replace(F.regexp_replace("tail", TUPLE, ""), r"[\s,;]+", "")
+    info = F.when(F.col("kind") == "create", F.col("body")).otherwise(F.substring("body", -200, 200))
+    broken = F.col("tail").isNotNull() & ((left_over != "") | (F.size(tuples) == 0))
+    s = s.select("file", "file_size", "at", "bytes", "closed", "kind", "table",
+                 F.when(broken, "content outside VALUES tuples").otherwise(F.col("reason")).alias("bad_statement"),
+                 F.posexplode(F.concat(F.array(info), tuples)).alias("pos", "item"))
+    is_row = F.col("pos") > 0
+    inside = F.when(is_row, F.substring(F.col("item"), F.lit(2), F.length("item") - 2))
+    found = F.regexp_extract_all(inside, F.lit(VALUE), F.lit(1))
+    # the pattern also matches the empty end of the text: that last match is no value
+    s = s.withColumn("tokens", F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda t: F.trim(t)))
+    bare = F.exists("tokens", lambda t: ~F.startswith(t, F.lit("'")) & ~F.regexp_like(t, F.lit(BARE)))
+    reason = F.when(is_row, F.when(bare, "bare word in VALUES")).otherwise(F.col("bad_statement"))
+    first = F.col("pos") == 0
+    return s.select(
+        "file", F.when(first, F.col("file_size")).alias("file_size"), "at", F.when(first, F.col("bytes")).alias("bytes"),
+        F.when(first, F.col("closed")).alias("closed"), "kind", (F.col("pos") - 1).alias("row_no"),
+        F.when(first | reason.isNotNull(), F.col("item")).alias("item"),
+        F.transform("tokens", decode_literal).alias("values"), F.size("tokens").alias("width"), reason.alias("reason"),
+        F.when(is_row, "row").otherwise("statement").alias("role"), "table")
 
 
-def unfinished_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def unfinished_files(statements: DataFrame) -> DataFrame:
     """Files whose last statement is never closed: (file, tail).
 
-    Record bytes plus separators must add up to the file size; where the last
-    separator is missing, what follows the one before must be empty, comments only,
-    or end in ``;``.
+    Where the bytes show that the last separator is missing, what follows the one
+    before must be empty, comments only, or end in ``;``.
     """
-    raw = spark.read.text(path, lineSep=";\n").select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("at"))
-    per_file = raw.groupBy("file", "size").agg(
-        F.sum(F.octet_length("value") + 2).alias("bytes"),
-        F.max(F.struct("at", F.substring(F.regexp_replace("value", NOISE, ""), -200, 200).alias("tail"))).alias("last"))
-    return (per_file.where(F.col("bytes") != F.col("size"))
-            .select("file", F.col("last.tail").alias("tail"))
-            .where(~F.regexp_like("tail", F.lit(r"(?s)^\s*$|;\s*$"))))
+    last = F.max(F.struct("at", "kind", "closed", "item"))
+    per_file = statements.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("file_size").alias("size"), last.alias("last"))
+    return (per_file.where((F.col("bytes") != F.col("size")) & (F.col("last.kind") != "blank") & ~F.col("last.closed"))
+            .select("file", F.col("last.item").alias("tail")))
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
     """(table, position, column, mysql_type) from the CREATE TABLE statements."""
-    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(COLUMN), F.lit(1)).alias("column"),
-                         F.regexp_extract_all("body", F.lit(COLUMN), F.lit(2)).alias("mysql_type"))
-    return (statements.where("kind = 'create'")
-            .select("table", F.posexplode(pairs).alias("position", "c"))
+    pairs = F.arrays_zip(F.regexp_extract_all("item", F.lit(COLUMN), F.lit(1)).alias("column"),
+                         F.regexp_extract_all("item", F.lit(COLUMN), F.lit(2)).alias("mysql_type"))
+    return (statements.where("kind = 'create'").select("table", F.posexplode(pairs).alias("position", "c"))
             .select("table", "position", F.col("c.column").alias("column"), F.col("c.mysql_type").alias("mysql_type")))
 
 
@@ -136,37 +168,6 @@ def decode_literal(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit("'")), text).when(F.upper(token).isin("NULL", ""), None).otherwise(token)
 
 
-def dump_rows(statements: DataFrame) -> DataFrame:
-    """(table, file, statement_id, row_no, values, reason, sample) of all INSERT tuples.
-
-    ``reason`` marks what must not pass; ``sample`` shows it.
-    """
-    inserts = statements.where("kind = 'insert' and reason is null")
-    tail = F.regexp_replace("body", INSERT, "")
-    inserts = (inserts.withColumn("tail", tail)
-               .withColumn("tuples", F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)))
-               .withColumn("left_over", F.regexp_replace(F.regexp_replace("tail", TUPLE, ""), r"[\s,;]+", "")))
-    rows = inserts.select("table", "file", "statement_id", F.posexplode("tuples").alias("row_no", "tuple"))
-    inside = F.substring(F.col("tuple"), F.lit(2), F.length("tuple") - 2)
-    found = F.regexp_extract_all(inside, F.lit(VALUE), F.lit(1))
-    # the pattern also matches the empty end of the text: that last match is no value
-    tokens = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda t: F.trim(t))
-    rows = rows.withColumn("tokens", tokens)
-    bare = F.exists("tokens", lambda t: ~F.startswith(t, F.lit("'")) & ~F.regexp_like(t, F.lit(BARE)))
-    good = rows.select("table", "file", "statement_id", "row_no",
-                       F.transform("tokens", decode_literal).alias("values"),
-                       F.when(bare, "bare word in VALUES").alias("reason"),
-                       F.when(bare, F.substring("tuple", 1, 200)).alias("sample"))
-    none = F.lit(None).cast("array<string>")
-    residue = inserts.where("left_over <> '' or size(tuples) = 0").select(
-        "table", "file", "statement_id", F.lit(-1).alias("row_no"), none.alias("values"),
-        F.lit("content outside VALUES tuples").alias("reason"), F.substring("left_over", 1, 200).alias("sample"))
-    bad = statements.where("reason is not null").select(
-        F.coalesce("table", F.lit("?")).alias("table"), "file", "statement_id", F.lit(-1).alias("row_no"),
-        none.alias("values"), "reason", F.substring("body", 1, 200).alias("sample"))
-    return good.unionByName(residue).unionByName(bad)
-
-
 def normalise(value: Column, zero_dates: bool = True) -> Column:
     """One-bit characters become 0 and 1; zero dates become NULL."""
     value = F.when(value == "\x00", "0").when(value == "\x01", "1").otherwise(value)
@@ -177,7 +178,8 @@ def normalise(value: Column, zero_dates: bool = True) -> Column:
 class Dump:
     tables: Catalog
     columns: DataFrame      # table, position, column, mysql_type
-    rejected: DataFrame     # table, file, statement_id, row_no, values, reason, sample
+    rejected: DataFrame     # table, file, at, row_no, reason, sample
+    bad_casts: DataFrame    # table, column, bad: values that do not fit their column's type
     skipped: tuple[str, ...]
 
 
@@ -186,82 +188,83 @@ def read_dump(spark: SparkSession, path: str | Sequence[str], on_reject: str = "
               overlay: DataFrame | None = None, stage: str | None = None) -> Dump:
     """Dump files to a catalog of typed tables.
 
-    The text is tokenised once and staged by table; tables are then typed from the
-    stage, so their number does not multiply the parsing. ``internal_prefix`` and
+    The text is tokenised once and staged by table; checks and typing read the stage,
+    so their number does not multiply the parsing. ``internal_prefix`` and
     ``skip_tables`` (any case) name tables left out. ``overlay`` is a column
     dictionary whose formats win over the dump's types.
+
+    With ``on_reject="error"`` anything unreadable stops here, and a value that does not
+    fit its column's type stops whoever reads the table. With "keep" the former are
+    listed in ``rejected``, the latter become NULL and are counted in ``bad_casts``.
     """
     if on_reject not in ("error", "keep"):
         raise ValueError("on_reject must be 'error' or 'keep'")
-    unfinished = unfinished_files(spark, path).take(1)
+    stage = stage or new_folder(spark, "dump")
+    tokens = tokenise(spark, path)
+    tokens.write.partitionBy("role", "table").parquet(stage)
+    staged = spark.read.schema(tokens.schema).parquet(stage)
+    statements, rows = staged.where("role = 'statement'"), staged.where("role = 'row'")
+
+    unfinished = unfinished_files(statements).take(1)
     if unfinished:
         raise DumpError(f"truncated dump {unfinished[0]['file']}: {unfinished[0]['tail'][:80]!r}")
-    statements = read_statements(spark, path)
     columns = dump_columns(statements)
-    declared = [r.asDict() for r in columns.orderBy("table", "position").collect()]  # metadata: one row per column
     skip = {t.lower() for t in skip_tables}
-    by_table: dict[str, list[tuple[str, str]]] = {}
-    skipped: list[str] = []
     formats = {} if overlay is None else {
         (r["table"], r["column"]): r["spark_type"]
         for r in overlay.where("spark_type is not null").select("table", "column", "spark_type").collect()}
-    for r in declared:
+    by_table: dict[str, list[tuple[str, str]]] = {}
+    skipped: set[str] = set()
+    for r in columns.orderBy("table", "position").collect():  # metadata: one row per declared column
         t = r["table"]
         if t.lower() in skip or (internal_prefix and t.startswith(internal_prefix)):
-            skipped.append(t)
-            continue
-        by_table.setdefault(t, []).append((r["column"], formats.get((t, r["column"]), r["mysql_type"])))
-    if not by_table:
-        raise DumpError("the dump declares no tables")
+            skipped.add(t)
+        else:
+            by_table.setdefault(t, []).append((r["column"], formats.get((t, r["column"]), r["mysql_type"])))
 
-    stage = stage or new_folder(spark, "dump")
-    rows = dump_rows(statements)
-    unwanted = sorted(set(skipped))
-    if unwanted:
-        rows = rows.where(~F.col("table").isin(unwanted))
-    width = F.element_at(F.create_map(*[F.lit(x) for t, c in by_table.items() for x in (t, len(c))]), F.col("table")) \
-        if by_table else F.lit(None)
+    wanted = ~F.col("table").isin(sorted(skipped)) if skipped else F.lit(True)
+    widths = F.create_map(*[F.lit(x) for t, c in by_table.items() for x in (t, len(c))]) if by_table else \
+        F.create_map().cast("map<string,int>")
+    width = F.try_element_at(widths, F.col("table"))
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
-              .when(F.try_element_at(F.create_map(*[F.lit(x) for t, c in by_table.items() for x in (t, len(c))]),
-                                     F.col("table")).isNull(), "row of an undeclared table")
-              .when(F.size("values") != width, "number of values differs from the columns"))
-    rows = rows.withColumn("reason", reason).withColumn(
-        "sample", F.when(F.col("reason").isNotNull(), F.coalesce("sample", F.substring(F.col("values").cast("string"), 1, 200))))
-    rows.write.partitionBy("table").parquet(stage)
-    staged = spark.read.schema(T.StructType([f for f in rows.schema.fields if f.name != "table"] + [rows.schema["table"]])).parquet(stage)
-    rejected = staged.where("reason is not null").select(*rows.columns)
+              .when((F.col("role") == "row") & width.isNull(), "row of an undeclared table")
+              .when((F.col("role") == "row") & (F.col("width") != width), "number of values differs from the columns"))
+    rejected = (staged.where(wanted).withColumn("reason", reason).where("reason is not null").select(
+        "table", "file", "at", "row_no", "reason",
+        F.substring(F.coalesce("item", F.col("values").cast("string")), 1, 200).alias("sample")))
     if on_reject == "error":
         bad = rejected.take(1)
         if bad:
             raise DumpError(f"{bad[0]['table']}: {bad[0]['reason']}: {bad[0]['sample']!r}")
-    tables = {t: _typed(staged.where((F.col("table") == t) & F.col("reason").isNull()), cols) for t, cols in by_table.items()}
-    return Dump(Catalog(tables), columns, rejected, tuple(unwanted))
-
-
-def _typed(rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
-    schema = table_schema(columns)
-    out = []
-    for i, f in enumerate(schema.fields):
-        v = normalise(F.get("values", F.lit(i)))
-        if isinstance(f.dataType, T.BooleanType):
-            v = v.try_cast("int").cast("boolean")
-        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            v = v.try_cast(f.dataType)
-        else:
-            v = v.cast(f.dataType)
-        out.append(v.alias(f.name))
-    return rows.select(*out)
-
-
-def bad_casts(dump: Dump, stage_rows: DataFrame, table: str) -> DataFrame:
-    """(column, bad) - non-NULL literals of a table that do not fit the column's type."""
-    names = dump.tables[table].schema.fields
-    raw = stage_rows.where(F.col("table") == table)
-    counts = []
-    for i, f in enumerate(names):
-        v = normalise(F.get("values", F.lit(i)))
-        t = "int" if isinstance(f.dataType, T.BooleanType) else f.dataType.simpleString()
-        counts.append(F.count_if(v.isNotNull() & v.try_cast(t).isNull()).alias(f.name))
-    one = raw.agg(*counts)
-    return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(f.name) for f in names]),
-                                                  F.array(*[F.col(f"`{f.name}`") for f in names]))).alias("column", "bad"))
+    if not by_table:
+        raise DumpError("the dump declares no tables")
+    good = {t: rows.where((F.col("table") == t) & F.col("reason").isNull() & (F.col("width") == len(c))) for t, c in by_table.items()}
+    strict = on_reject == "error"
+    tables = {t: _typed(good[t], c, strict) for t, c in by_table.items()}
+    counts = [_bad_casts(t, good[t], c) for t, c in by_table.items()]
+    bad_casts = counts[0]
+    for c in counts[1:]:
+        bad_casts = bad_casts.unionByName(c)
+    return Dump(Catalog(tables), columns, rejected, bad_casts, tuple(sorted(skipped)))
+
+
+def _value(i: int, t: T.DataType, strict: bool) -> Column:
+    v = normalise(F.get("values", F.lit(i)))
+    if isinstance(t, T.BooleanType):
+        return (v.cast("int") if strict else v.try_cast("int")).cast("boolean")
+    if strict or isinstance(t, (T.StringType, T.BinaryType)):
+        return v.cast(t)
+    return v.try_cast(t)
+
+
+def _typed(rows: DataFrame, columns: list[tuple[str, str]], strict: bool) -> DataFrame:
+    return rows.select(*[_value(i, f.dataType, strict).alias(f.name) for i, f in enumerate(table_schema(columns).fields)])
+
+
+def _bad_casts(table: str, rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    fields = table_schema(columns).fields
+    lost = [F.count_if(normalise(F.get("values", F.lit(i))).isNotNull() & _value(i, f.dataType, False).isNull()).alias(f"n{i}")
+            for i, f in enumerate(fields)]
+    return (rows.agg(*lost).select(F.explode(F.arrays_zip(
+        F.array(*[F.lit(f.name) for f in fields]).alias("column"), F.array(*[F.col(f"n{i}") for i in range(len(fields))]).alias("bad"))).alias("c"))
+        .select(F.lit(table).alias("table"), "c.column", "c.bad").where("bad > 0"))
