@@ -118,9 +118,11 @@ def first_rows(df: DataFrame, order: Sequence[Column], limit: int, offset: int =
                cap: int | None = 10_000) -> DataFrame:
     """Sorted, from ``offset``, at most ``limit`` rows (held within ``cap``)."""
     limit = clamp(limit, cap)
-    if offset + limit > IN_MEMORY_ROWS:  # a top-k of this size would not fit one task
-        at = F.col("__at")
-        return (with_position(df, order, "__at").where((at > offset) & (at <= offset + limit))
-                .orderBy("__at").drop("__at"))
-    df = df.orderBy(*order)
-    return (df.offset(offset) if offset > 0 else df).limit(limit)
+    if offset == 0:
+        return df.orderBy(*order).limit(limit)
+    if offset + limit > IN_MEMORY_ROWS:
+        placed = with_position(df, order, "__at")
+    else:  # the window sees no more rows than the top-k before it lets through
+        placed = df.orderBy(*order).limit(offset + limit).withColumn("__at", F.row_number().over(Window.orderBy(*order)))
+    at = F.col("__at")
+    return placed.where((at > offset) & (at <= offset + limit)).orderBy(at).drop("__at")

@@ -19,9 +19,10 @@ def search(catalog: Catalog, keyword: str | None = None, limit: int | None = 200
     """People by id or name, in id order. ``limit=None`` returns every hit, unsorted."""
     alt = catalog["ALTNAME_DATA"] if "ALTNAME_DATA" in catalog else None
     hits = persons_by_keyword(catalog[PERSONS], alt, keyword)
-    if limit is not None:
-        hits = first_rows(hits, [F.asc("c_personid")], limit, max(0, int(offset)), cap)
-    return basic(catalog, hits)
+    if limit is None:
+        return basic(catalog, hits)
+    hits = first_rows(hits, [F.asc("c_personid")], limit, max(0, int(offset)), cap)
+    return basic(catalog, hits).orderBy("person_id")
 
 
 def people_by_ids(catalog: Catalog, ids: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     reason = (F.when(~F.col("valid"), "not valid UTF-8")
               .when((F.col("kind") == "other") & (F.upper(F.substring("body", 1, 6)) == "INSERT"), "unknown INSERT form")
               .when((F.col("kind") == "other") & F.startswith("body", F.lit("/*")), "unterminated comment")
-              .when((F.col("kind") == "create") & ~F.regexp_like("body", F.lit(COLUMN)), "no columns"))
+              .when((F.col("kind") == "create") & ~F.regexp_like(F.regexp_replace("body", CREATE, ""), F.lit(COLUMN)), "no columns"))
     table = F.when(F.col("kind") == "create", F.regexp_extract("body", CREATE, 1)).when(
         F.col("kind") == "insert", F.regexp_extract("body", INSERT, 1))
     return part.select("file", "file_size", F.struct("block", "record", "part").alias("at"),
@@ -147,8 +147,9 @@ def unfinished_files(statements: DataFrame) -> DataFrame:
 
 def dump_columns(statements: DataFrame) -> DataFrame:
     """(table, position, column, mysql_type) from the CREATE TABLE statements."""
-    pairs = F.arrays_zip(F.regexp_extract_all("item", F.lit(COLUMN), F.lit(1)).alias("column"),
-                         F.regexp_extract_all("item", F.lit(COLUMN), F.lit(2)).alias("mysql_type"))
+    inside = F.regexp_replace("item", CREATE, "")
+    pairs = F.arrays_zip(F.regexp_extract_all(inside, F.lit(COLUMN), F.lit(1)).alias("column"),
+                         F.regexp_extract_all(inside, F.lit(COLUMN), F.lit(2)).alias("mysql_type"))
     return (statements.where("kind = 'create'").select("table", F.posexplode(pairs).alias("position", "c"))
             .select("table", "position", F.col("c.column").alias("column"), F.col("c.mysql_type").alias("mysql_type")))
 
