@@ -36,7 +36,7 @@ def as_dump(df: DataFrame, table: str, columns: dict[str, str], key: str, per_st
                .agg(F.concat(F.lit(f"-- Dumping data for table\nINSERT INTO `{table}` VALUES "), F.array_join(F.collect_list("v"), ",")).alias("value")))
     lines = ",\n".join(f"  `{c}` {t} DEFAULT NULL" for c, t in columns.items())
     create = f"/*!40101 SET NAMES utf8mb4 */;\nDROP TABLE IF EXISTS `{table}`;\nCREATE TABLE `{table}` (\n{lines},\n  KEY `k` (`{key}`)\n) ENGINE=InnoDB"
-    return df.sparkSession.createDataFrame([(create,)], "value string").union(inserts.select("value"))
+    return df.sparkSession.range(1).select(F.lit(create).alias("value")).union(inserts.select("value"))
 
 
 ORDER_COLUMNS = {"o_orderkey": "bigint(20)", "o_custkey": "int(11)", "o_orderstatus": "char(1)", "o_totalprice": "double", "o_orderdate": "datetime",

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from prosopo.session import cut_lineage
+from prosopo.session import cut_and_count, cut_lineage
 
 
 def _id_frame(spark, ids, name: str) -> DataFrame:
@@ -41,8 +41,8 @@ def descendants(hierarchy: DataFrame, roots, per_root: bool = False,
                 .select(*[F.col("__child").alias("id") if k == "id" else F.col(k) for k in keys]).distinct()
                 .join(_union(rounds).select(*keys), keys, "left_anti")
                 .withColumn("depth", F.lit(len(rounds))))
-        step = cut_lineage(step, "places")
-        if not step.take(1):
+        step, found_now = cut_and_count(step, "places")
+        if not found_now:
             break
         rounds.append(step)
     out = _union(rounds)
@@ -127,8 +127,8 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
         known = _union(rounds).select(*_STATE)
         step = (step.join(known, _STATE, "left_anti")
                 .withColumn("hop", F.lit(hop)).withColumn("is_derived", F.lit(True)))
-        frontier = cut_lineage(step.select(*rounds[0].columns), "kin-round")
-        if not frontier.take(1):
+        frontier, found = cut_and_count(step.select(*rounds[0].columns), "kin-round")
+        if not found:
             break
         rounds.append(frontier)
     out = _union(rounds)
@@ -177,8 +177,8 @@ def expand_network(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
                 .withColumn("hop", F.lit(hop)))
         if hop == hops:  # nothing reads the last round twice
             return _union([*rounds, step])
-        step = cut_lineage(step, "reach")
-        if not step.take(1):
+        step, found = cut_and_count(step, "reach")
+        if not found:
             break
         rounds.append(step)
     return _union(rounds)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prosopo.operators.ordering import with_ordinal
+from prosopo.operators.ordering import LARGE_GROUP_ROWS, with_ordinal
 
 
 def with_person(fact: DataFrame, person: DataFrame, key: str = "c_personid", prefix: str = "b_") -> DataFrame:
@@ -21,18 +21,25 @@ def with_label(fact: DataFrame, codes: DataFrame, fact_key: str, code_key: str,
     return fact.join(dim, F.col(fact_key) == F.col("__code"), "left").drop("__code")
 
 
-def expand(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """left-join that fans out, plus the number of matches per left row.
+def expand(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
+           large: int = LARGE_GROUP_ROWS) -> DataFrame:
+    """left outer join on ``keys`` that fans out, plus the number of matches per left row.
 
-    Equal to a left outer join on ``keys`` (NULL keys never match). Matches are
-    counted first, so that the fan-out itself is an inner join: Spark can split a
-    hot key on either side of an inner join, but not on the right of an outer one.
+    NULL keys never match. Matches per key are counted first. If no key has more than
+    ``large``, both joins follow on one shuffle of ``left``. Otherwise the fan-out is
+    an inner join, of which Spark can split a hot key on either side, which it cannot on
+    the right of an outer join; rows without a match are then added.
     """
     sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    known = F.coalesce(F.col(count), F.lit(0)).alias(count)
+    if not sizes.where(F.col(count) > large).take(1):
+        joined = left.join(sizes, list(keys), "left").join(right, list(keys), "left")
+        return joined.select(*left.columns, known, *[c for c in right.columns if c not in keys])
     marked = left.join(sizes, list(keys), "left")
     matched = marked.where(F.col(count).isNotNull()).join(right, list(keys), "inner")
     lonely = marked.where(F.col(count).isNull()).withColumn(count, F.lit(0).cast("bigint"))
-    return matched.unionByName(lonely, allowMissingColumns=True)
+    return (matched.unionByName(lonely, allowMissingColumns=True)
+            .select(*left.columns, count, *[c for c in right.columns if c not in keys]))
 
 
 def with_kin_person(kin: DataFrame, person: DataFrame, keep_orphans: bool = True,

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -39,3 +39,10 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """As :func:`cut_lineage`, with the number of rows, counted as they are written."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]

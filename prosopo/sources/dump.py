@@ -20,14 +20,15 @@ from prosopo.session import new_folder
 from prosopo.sources.types import table_schema
 
 STRING = r"'(?:[^'\\]++|\\.)*+'"
+BARE = r"(?:NULL|null|[+-]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?)?"
 NOISE = r"(?s)^(?:\s++|--[^\n]*+(?:\n|$)|/\*.*?\*/)*+"
 CREATE = r"(?i)^CREATE\s+TABLE\s+`([^`]+)`\s*\("
 INSERT = r"(?i)^INSERT\s+INTO\s+`([^`]+)`\s+VALUES\s*"
 COLUMN = r"(?m)(?:^|,)\s*`([^`]+)`\s+([A-Za-z][A-Za-z0-9_]*(?:\([^)]*\))?(?:\s+unsigned)?)"
-TUPLE = rf"(?s)\((?:{STRING}|[^'()]++)*+\)"
-VALUE = rf"(?s)\s*+({STRING}|[^,']*+)\s*+(?:,|$)"
+VALUE = rf"(?s)(?:{STRING}|{BARE})"
+TUPLE = rf"(?s)\(\s*+{VALUE[4:]}\s*+(?:,\s*+{VALUE[4:]}\s*+)*+\)"
+ITEM = rf"(?s)[(,]\s*+({VALUE[4:]})"
 STATEMENT = rf"(?s)(?:{STRING}|`[^`]*+`|--[^\n]*+|/\*.*?\*/|[^;'`])++"
-BARE = r"^(?:NULL|null|[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)?$"
 
 # fixed values: two-character escapes with a meaning of their own; any other
 # escaped character stands for itself
@@ -70,7 +71,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per statement: file, file_size, at (place in the file), bytes, kind, table, body, reason.
+    """One row per statement: file, file_size, at (place in the file), bytes, closed, kind, table,
+    body, tuples (of an INSERT), left_over (what is neither tuple nor separator), reason.
 
     ``bytes`` is set once per record (record plus separator), so that the bytes of a
     file add up to its size exactly if its last record is closed.
@@ -78,59 +80,63 @@ def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     raw = (spark.read.text(path, lineSep=";\n")
            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record")))
-    text = F.regexp_replace("value", r";\s*$", "")
-    # usually one statement per record; several on one line are taken apart
-    found = F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0))
-    parts = F.when(F.contains(text, F.lit(";")) & (F.size(found) > 0), found).otherwise(F.array(text))
-    part = (raw.select("file", "file_size", "block", "record", F.is_valid_utf8("value").alias("valid"),
-                       (F.octet_length("value") + 2).cast("bigint").alias("bytes"),
-                       F.regexp_like("value", F.lit(r";\s*$")).alias("closed"), F.posexplode(parts).alias("part", "raw"))
-            .withColumn("body", F.regexp_replace("raw", NOISE, "")))
+    stripped = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
+    raw = (raw.withColumn("closed", F.endswith(stripped, F.lit(";")))
+           .withColumn("text", F.when(F.col("closed"), F.substring(stripped, F.lit(1), F.length(stripped) - 1)).otherwise(F.col("value")))
+           .withColumn("valid", F.is_valid_utf8("value")).withColumn("bytes", (F.octet_length("value") + 2).cast("bigint")))
+    # the usual record is one INSERT whose tuples, joined by commas, are all of it: one regular expression
+    head = F.when(F.startswith("text", F.lit("INSERT INTO `")), F.regexp_extract(F.substring("text", 1, 1000), INSERT, 0))
+    raw = raw.withColumn("head", head)
+    raw = raw.withColumn("tail", F.when(F.col("head") != "", F.substring(F.col("text"), F.length("head") + 1, F.length("text"))))
+    raw = raw.withColumn("tuples", F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)))
+    plain = F.coalesce(F.array_join("tuples", ",") == F.col("tail"), F.lit(False))
+    # any other record is cleaned of comments; several statements on one line are taken apart
+    found = F.regexp_extract_all("text", F.lit(STATEMENT), F.lit(0))
+    parts = F.when(plain, F.array("head")).when(F.contains("text", F.lit(";")) & (F.size(found) > 0), found).otherwise(F.array("text"))
+    part = raw.withColumn("plain", plain).select(
+        "file", "file_size", "block", "record", "valid", "bytes", "closed", "plain", F.when(F.col("plain"), F.col("tuples")).alias("tuples"),
+        F.posexplode(parts).alias("part", "raw"))
+    part = part.withColumn("body", F.when(F.col("plain"), F.col("raw")).otherwise(F.regexp_replace("raw", NOISE, "")))
     kind = (F.when(F.regexp_like("body", F.lit(CREATE)), "create").when(F.regexp_like("body", F.lit(INSERT)), "insert")
             .when(F.regexp_like("body", F.lit(r"^\s*$")), "blank").otherwise("other"))
     part = part.withColumn("kind", kind)
+    tail = F.when((F.col("kind") == "insert") & ~F.col("plain"), F.regexp_replace("body", INSERT, ""))
+    part = part.withColumn("tail", tail)
+    part = part.withColumn("tuples", F.coalesce("tuples", F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)),
+                                                F.array().cast("array<string>")))
+    left_over = F.regexp_replace(F.regexp_replace("tail", TUPLE, ""), r"[\s,;]+", "")
+    part = part.withColumn("left_over", left_over)
     reason = (F.when(~F.col("valid"), "not valid UTF-8")
               .when((F.col("kind") == "other") & (F.upper(F.substring("body", 1, 6)) == "INSERT"), "unknown INSERT form")
               .when((F.col("kind") == "other") & F.startswith("body", F.lit("/*")), "unterminated comment")
-              .when((F.col("kind") == "create") & ~F.regexp_like(F.regexp_replace("body", CREATE, ""), F.lit(COLUMN)), "no columns"))
+              .when((F.col("kind") == "create") & ~F.regexp_like(F.regexp_replace("body", CREATE, ""), F.lit(COLUMN)), "no columns")
+              .when((F.col("left_over") != "") | ((F.col("kind") == "insert") & (F.size("tuples") == 0)), "not a list of VALUES tuples"))
     table = F.when(F.col("kind") == "create", F.regexp_extract("body", CREATE, 1)).when(
         F.col("kind") == "insert", F.regexp_extract("body", INSERT, 1))
     return part.select("file", "file_size", F.struct("block", "record", "part").alias("at"),
                        F.when(F.col("part") == 0, F.col("bytes")).alias("bytes"), "closed", "kind",
-                       F.coalesce(table, F.lit("?")).alias("table"), "body", reason.alias("reason"))
+                       F.coalesce(table, F.lit("?")).alias("table"), "body", "tuples", "left_over", reason.alias("reason"))
 
 
 def tokenise(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """All statements and INSERT tuples of the dump in one pass over the text.
 
-    ``role`` "statement" rows describe a statement (``item``: the CREATE text, else the
-    last 200 characters); ``role`` "row" rows are tuples with their decoded ``values``.
-    ``reason`` marks what must not pass.
+    ``role`` "statement" rows describe a statement (``item``: the CREATE text, what was
+    left over, or the last 200 characters); ``role`` "row" rows are tuples cut into literals,
+    which are decoded when their table is read. ``reason`` marks what must not pass.
     """
     s = _statements(spark, path)
-    tail = F.when((F.col("kind") == "insert") & F.col("reason").isNull(), F.regexp_replace("body", INSERT, ""))
-    s = s.withColumn("tail", tail)
-    tuples = F.coalesce(F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)), F.array().cast("array<string>"))
-    left_over = F.regexp_replace(F.regexp_replace("tail", TUPLE, ""), r"[\s,;]+", "")
-    info = F.when(F.col("kind") == "create", F.col("body")).otherwise(F.substring("body", -200, 200))
-    broken = F.col("tail").isNotNull() & ((left_over != "") | (F.size(tuples) == 0))
-    s = s.select("file", "file_size", "at", "bytes", "closed", "kind", "table",
-                 F.when(broken, "content outside VALUES tuples").otherwise(F.col("reason")).alias("bad_statement"),
-                 F.posexplode(F.concat(F.array(info), tuples)).alias("pos", "item"))
-    is_row = F.col("pos") > 0
-    inside = F.when(is_row, F.substring(F.col("item"), F.lit(2), F.length("item") - 2))
-    found = F.regexp_extract_all(inside, F.lit(VALUE), F.lit(1))
-    # the pattern also matches the empty end of the text: that last match is no value
-    s = s.withColumn("tokens", F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda t: F.trim(t)))
-    bare = F.exists("tokens", lambda t: ~F.startswith(t, F.lit("'")) & ~F.regexp_like(t, F.lit(BARE)))
-    reason = F.when(is_row, F.when(bare, "bare word in VALUES")).otherwise(F.col("bad_statement"))
+    info = (F.when(F.col("kind") == "create", F.col("body")).when(F.col("left_over") != "", F.substring("left_over", 1, 200))
+            .otherwise(F.substring("body", -200, 200)))
+    s = s.select("file", "file_size", "at", "bytes", "closed", "kind", "table", "reason",
+                 F.posexplode(F.concat(F.array(info), "tuples")).alias("pos", "item"))
     first = F.col("pos") == 0
+    tokens = F.when(~first, F.regexp_extract_all("item", F.lit(ITEM), F.lit(1)))
     return s.select(
         "file", F.when(first, F.col("file_size")).alias("file_size"), "at", F.when(first, F.col("bytes")).alias("bytes"),
         F.when(first, F.col("closed")).alias("closed"), "kind", (F.col("pos") - 1).alias("row_no"),
-        F.when(first | reason.isNotNull(), F.col("item")).alias("item"),
-        F.transform("tokens", decode_literal).alias("values"), F.size("tokens").alias("width"), reason.alias("reason"),
-        F.when(is_row, "row").otherwise("statement").alias("role"), "table")
+        F.when(first, F.col("item")).alias("item"), tokens.alias("tokens"),
+        F.when(first, F.col("reason")).alias("reason"), F.when(first, "statement").otherwise("row").alias("role"), "table")
 
 
 def unfinished_files(statements: DataFrame) -> DataFrame:
@@ -180,8 +186,16 @@ class Dump:
     tables: Catalog
     columns: DataFrame      # table, position, column, mysql_type
     rejected: DataFrame     # table, file, at, row_no, reason, sample
-    bad_casts: DataFrame    # table, column, bad: values that do not fit their column's type
     skipped: tuple[str, ...]
+    literals: dict[str, tuple[DataFrame, list[tuple[str, str]]]]   # per table: cut but undecoded rows, columns
+
+    def bad_casts(self) -> DataFrame:
+        """(table, column, bad): how many values do not fit their column's type."""
+        out = None
+        for table, (rows, columns) in self.literals.items():
+            one = _bad_casts(table, rows, columns)
+            out = one if out is None else out.unionByName(one)
+        return out
 
 
 def read_dump(spark: SparkSession, path: str | Sequence[str], on_reject: str = "error",
@@ -196,7 +210,7 @@ def read_dump(spark: SparkSession, path: str | Sequence[str], on_reject: str = "
 
     With ``on_reject="error"`` anything unreadable stops here, and a value that does not
     fit its column's type stops whoever reads the table. With "keep" the former are
-    listed in ``rejected``, the latter become NULL and are counted in ``bad_casts``.
+    listed in ``rejected``, the latter become NULL and are counted by ``bad_casts()``.
     """
     if on_reject not in ("error", "keep"):
         raise ValueError("on_reject must be 'error' or 'keep'")
@@ -229,28 +243,24 @@ def read_dump(spark: SparkSession, path: str | Sequence[str], on_reject: str = "
     width = F.try_element_at(widths, F.col("table"))
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
               .when((F.col("role") == "row") & width.isNull(), "row of an undeclared table")
-              .when((F.col("role") == "row") & (F.col("width") != width), "number of values differs from the columns"))
+              .when((F.col("role") == "row") & (F.size("tokens") != width), "number of values differs from the columns"))
     rejected = (staged.where(wanted).withColumn("reason", reason).where("reason is not null").select(
         "table", "file", "at", "row_no", "reason",
-        F.substring(F.coalesce("item", F.col("values").cast("string")), 1, 200).alias("sample")))
+        F.substring(F.coalesce("item", F.array_join("tokens", ",", "NULL")), 1, 200).alias("sample")))
     if on_reject == "error":
         bad = rejected.take(1)
         if bad:
             raise DumpError(f"{bad[0]['table']}: {bad[0]['reason']}: {bad[0]['sample']!r}")
     if not by_table:
         raise DumpError("the dump declares no tables")
-    good = {t: rows.where((F.col("table") == t) & F.col("reason").isNull() & (F.col("width") == len(c))) for t, c in by_table.items()}
+    good = {t: rows.where((F.col("table") == t) & (F.size("tokens") == len(c))) for t, c in by_table.items()}
     strict = on_reject == "error"
     tables = {t: _typed(good[t], c, strict) for t, c in by_table.items()}
-    counts = [_bad_casts(t, good[t], c) for t, c in by_table.items()]
-    bad_casts = counts[0]
-    for c in counts[1:]:
-        bad_casts = bad_casts.unionByName(c)
-    return Dump(Catalog(tables), columns, rejected, bad_casts, tuple(sorted(skipped)))
+    return Dump(Catalog(tables), columns, rejected, tuple(sorted(skipped)), {t: (good[t], by_table[t]) for t in good})
 
 
 def _value(i: int, t: T.DataType, strict: bool) -> Column:
-    v = normalise(F.get("values", F.lit(i)))
+    v = normalise(decode_literal(F.get("tokens", F.lit(i))))
     if isinstance(t, T.BooleanType):
         return (v.cast("int") if strict else v.try_cast("int")).cast("boolean")
     if strict or isinstance(t, (T.StringType, T.BinaryType)):
@@ -264,7 +274,7 @@ def _typed(rows: DataFrame, columns: list[tuple[str, str]], strict: bool) -> Dat
 
 def _bad_casts(table: str, rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     fields = table_schema(columns).fields
-    lost = [F.count_if(normalise(F.get("values", F.lit(i))).isNotNull() & _value(i, f.dataType, False).isNull()).alias(f"n{i}")
+    lost = [F.count_if(normalise(decode_literal(F.get("tokens", F.lit(i)))).isNotNull() & _value(i, f.dataType, False).isNull()).alias(f"n{i}")
             for i, f in enumerate(fields)]
     return (rows.agg(*lost).select(F.explode(F.arrays_zip(
         F.array(*[F.lit(f.name) for f in fields]).alias("column"), F.array(*[F.col(f"n{i}") for i in range(len(fields))]).alias("bad"))).alias("c"))

@@ -8,7 +8,8 @@ from prosopo.operators import filters as f, joins as j
 from tests.conftest import rows
 
 
-def test_expand_equals_a_left_join_even_for_a_hot_key(spark):
+@pytest.mark.parametrize("large", [20, 1_000_000])
+def test_expand_equals_a_left_join_even_for_a_hot_key(spark, large):
     r = random.Random(1)
     left = [(r.choice([None, *range(20)]), i) for i in range(300)]
     right = [(0 if r.random() < .4 else r.choice([None, *range(12, 30)]), i) for i in range(400)]
@@ -17,7 +18,7 @@ def test_expand_equals_a_left_join_even_for_a_hot_key(spark):
     for k, l in left:
         hits = [x for y, x in right if y == k and k is not None]
         expected += [(k, l, len(hits), x) for x in hits] or [(k, l, 0, None)]
-    assert rows(j.expand(a, b, ["k"], "n")) == sorted(expected, key=lambda r: tuple((x is not None, str(x)) for x in r))
+    assert rows(j.expand(a, b, ["k"], "n", large)) == sorted(expected, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
 def test_orphans_include_null_targets(small):

@@ -31,6 +31,12 @@ def test_escapes(read):
     assert got == {1: "O'Hara\nNext\tTab\\back\x00", 2: "\\\\n \\n q \" \x1a\x08\r", 3: "\\'"}
 
 
+def test_long_texts_with_many_escapes(read):
+    text = "\\n\\'" * 200_000
+    got = read(CREATE + f"INSERT INTO `t` VALUES (1,'{text}',1);\n").tables["t"].first()
+    assert got["name"] == "\n'" * 200_000
+
+
 def test_structure_characters_inside_strings(read):
     got = read(CREATE + "INSERT INTO `t` VALUES (1,'a; b',1),(2,'(paren), ''',2);\n".replace("''", "\\'") +
                "INSERT INTO `t` VALUES (3,'end);',0);\n").tables["t"]
@@ -54,10 +60,10 @@ def test_several_statements_on_one_line(read):
 @pytest.mark.parametrize("text,match", [
     (CREATE + "INSERT IGNORE INTO `t` VALUES (1,'a',1);\n", "unknown INSERT form"),
     (CREATE + "INSERT INTO `t` (id) VALUES (1);\n", "unknown INSERT form"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a',2) BAD;\n", "outside VALUES"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a',NOTAVALUE);\n", "bare word"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a';\n", "outside VALUES"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a);\n", "outside VALUES|truncated"),
+    (CREATE + "INSERT INTO `t` VALUES (1,'a',2) BAD;\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (1,'a',NOTAVALUE);\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (1,'a';\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (1,'a);\n", "not a list|truncated"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a');\n", "number of values"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a',2", "truncated"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a',2)", "truncated"),
@@ -76,9 +82,9 @@ def test_nothing_is_dropped_silently(read, text, match):
 def test_rejects_can_be_kept(read):
     got = read(CREATE + "INSERT INTO `t` VALUES (1,'a',2),(2,'b',BAD),(3,'c'),('x','d',1);\n", on_reject="keep")
     assert rows(got.rejected.select("table", "row_no", "reason")) == [
-        ("t", 1, "bare word in VALUES"), ("t", 2, "number of values differs from the columns")]
+        ("t", -1, "not a list of VALUES tuples"), ("t", 1, "number of values differs from the columns")]
     assert rows(got.tables["t"]) == [(None, "d", 1.0), (1, "a", 2.0)]
-    assert rows(got.bad_casts) == [("t", "id", 1)]
+    assert rows(got.bad_casts()) == [("t", "id", 1)]
 
 
 def test_a_value_of_the_wrong_type_stops_the_reader(read):
