@@ -191,7 +191,7 @@ def links_between(edges: DataFrame, set_a: DataFrame, set_b: DataFrame) -> DataF
     of A-X-B, with X as the middle. Legs are found by semi joins, so the result
     grows with the edges, not with the pairs that meet in X.
     """
-    e = edges.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct()
+    e = cut_lineage(edges.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct(), "links")
     a = _id_frame(edges.sparkSession, set_a, "__a").distinct()
     b = _id_frame(edges.sparkSession, set_b, "__b").distinct()
     out_of_a = e.join(a, F.col("from_id") == F.col("__a"), "left_semi")
@@ -220,7 +220,8 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     Each pair is walked from its end with fewer edges, so a hub paired with many
     persons is not unrolled once per pair.
     """
-    e = edges.select("from_id", "to_id").where("from_id is not null and to_id is not null and from_id <> to_id").distinct()
+    e = cut_lineage(edges.select("from_id", "to_id")
+                    .where("from_id is not null and to_id is not null and from_id <> to_id").distinct(), "links")
     wanted = pairs.select("a_id", "b_id").distinct()
     out_deg = e.groupBy(F.col("from_id").alias("a_id")).agg(F.count(F.lit(1)).alias("__out"))
     in_deg = e.groupBy(F.col("to_id").alias("b_id")).agg(F.count(F.lit(1)).alias("__in"))

@@ -39,11 +39,11 @@ def same_value(left: Column, lt: T.DataType, right: Column, rt: T.DataType) -> C
     return left.eqNullSafe(right)
 
 
-def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    for n in names:
-        if n not in df.columns:
-            df = df.withColumn(n, F.lit(None))
-    return df
+def _with_columns(df: DataFrame, names: Sequence[str], other: DataFrame) -> DataFrame:
+    """Columns a side lacks, as NULLs of the other side's type."""
+    types = {f.name: f.dataType for f in other.schema.fields}
+    missing = {n: F.lit(None).cast(types.get(n, T.StringType())) for n in names if n not in df.columns}
+    return df.withColumns(missing) if missing else df
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,9 +79,10 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], compare: Sequen
     """
     keys = list(keys)
     compare = [c for c in left.columns if c not in keys] if compare is None else list(compare)
-    left = _unique(nan_to_null(_with_columns(left, keys)), keys, on_duplicate, order_by, "left")
-    right = _unique(nan_to_null(_with_columns(right, keys)), keys, on_duplicate, order_by, "right")
-    left, right = _with_columns(left, compare), _with_columns(right, compare)
+    every = [*keys, *compare]
+    left, right = _with_columns(left, every, right), _with_columns(right, every, left)
+    left = _unique(nan_to_null(left), keys, on_duplicate, order_by, "left")
+    right = _unique(nan_to_null(right), keys, on_duplicate, order_by, "right")
     if not with_rows:
         left, right = left.select(*keys, *compare), right.select(*keys, *compare)
     lt = {f.name: f.dataType for f in left.schema.fields}
@@ -190,11 +191,15 @@ def expected_empty_guard(stats: DataFrame, allowed: DataFrame, case: str = "case
 
 def documented_divergence(result: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that break "only-left keys are exactly the documented ones, all else matches"."""
-    found = result.where("bucket = 'only_left'").select(*keys)
-    cross = key_sets(found, expected, keys).where("side <> 'both'").withColumn(
-        "problem", F.when(F.col("side") == "only_left", "undocumented").otherwise("not observed")).drop("side")
-    other = result.where("bucket in ('only_right', 'mismatch')").select(*keys, F.col("bucket").alias("problem"))
-    return cross.unionByName(other)
+    found = result.where("bucket <> 'match'").select(*keys, F.col("bucket").alias("__b"))
+    stacked = found.unionByName(expected.select(*keys, F.lit("documented").alias("__b")))
+    has = lambda b: F.bool_or(F.col("__b") == b)
+    sides = stacked.groupBy(*keys).agg(
+        has("only_left").alias("__left"), has("documented").alias("__doc"),
+        F.max(F.when(F.col("__b").isin("only_right", "mismatch"), F.col("__b"))).alias("__other"))
+    problems = F.array_compact(F.array(
+        F.col("__other"), F.when(F.col("__left") & ~F.col("__doc"), "undocumented").when(~F.col("__left") & F.col("__doc"), "not observed")))
+    return sides.select(*keys, F.explode(problems).alias("problem"))
 
 
 def containment(variants: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:

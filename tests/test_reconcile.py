@@ -102,6 +102,19 @@ def test_subset_and_key_sets(spark):
     assert rows(rc.missing_keys(b, a, ["id"])) == [(2,)]
 
 
+def test_documented_divergence(spark):
+    a, b = frame(spark, [(1, "a"), (2, "b"), (3, "c"), (5, "e")]), frame(spark, [(3, "c"), (4, "d"), (5, "x")])
+    known = frame(spark, [(1,), (3,), (5,)], "id long")
+    got = rc.documented_divergence(rc.diff(a, b, ["id"]), known, ["id"])
+    assert rows(got) == [(2, "undocumented"), (3, "not observed"), (4, "only_right"), (5, "mismatch"), (5, "not observed")]
+
+
+def test_a_diff_with_a_missing_column_can_be_stored(spark, tmp_path):
+    a, b = frame(spark, [(1, "a")]), frame(spark, [(1,)], "id long")
+    report.write_report(rc.diff(a, b, ["id"], with_rows=True), str(tmp_path), "q")
+    assert spark.read.parquet(f"{tmp_path}/q/rows").first()["left_row"]["x"] == "a"
+
+
 def test_report_keeps_notes_and_skips_broken_files(spark, tmp_path):
     a, b = frame(spark, [(1, "a"), (2, "b")]), frame(spark, [(1, "a")])
     folder = str(tmp_path)
