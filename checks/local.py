@@ -15,6 +15,7 @@ def session(name: str, cores: int | None = None) -> SparkSession:
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

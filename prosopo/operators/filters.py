@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prosopo.functions.exprs import ordered_bounds
 from prosopo.operators.graph import descendants
-from prosopo.operators.joins import of_ids
+from prosopo.operators.joins import id_set, of_ids
 
 Ids = Sequence[int] | Sequence[str] | DataFrame | None
 
@@ -27,7 +27,7 @@ def is_empty(ids: Ids) -> bool:
 
 def by_ids(df: DataFrame, column: str, ids: Ids) -> DataFrame:
     if isinstance(ids, DataFrame):
-        return of_ids(df, ids, column)
+        return of_ids(df, id_set(ids), column)
     return df.where(F.col(column).isin(whole_codes(ids or [])))
 
 
@@ -118,7 +118,7 @@ def persons_by_keyword(person: DataFrame, altname: DataFrame | None, keyword: st
     ids = person.where(hit(person, names)).select(key)
     if altname is not None:
         ids = ids.union(altname.where(hit(altname, alt_names)).select(key))
-    return of_ids(person, ids, key)
+    return of_ids(person, ids.distinct(), key)
 
 
 def user_tables(names: DataFrame, column: str = "name",

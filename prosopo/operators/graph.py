@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from prosopo.operators.joins import id_set, of_ids
 from prosopo.session import cut_and_count, cut_lineage
 
 
@@ -51,8 +52,7 @@ def descendants(hierarchy: DataFrame, roots, per_root: bool = False,
 
 def neighbours(edges: DataFrame, ids: DataFrame, source: str, key: str | None = None) -> DataFrame:
     """Direct edges of the given ids."""
-    wanted = ids.select(F.col(key or ids.columns[0]).alias("__id"))
-    return edges.join(wanted, F.col(source) == F.col("__id"), "left_semi")
+    return of_ids(edges, id_set(ids, key), source)
 
 
 def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -192,15 +192,17 @@ def links_between(edges: DataFrame, set_a: DataFrame, set_b: DataFrame) -> DataF
     grows with the edges, not with the pairs that meet in X.
     """
     e = cut_lineage(edges.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct(), "links")
-    a = _id_frame(edges.sparkSession, set_a, "__a").distinct()
-    b = _id_frame(edges.sparkSession, set_b, "__b").distinct()
-    out_of_a = e.join(a, F.col("from_id") == F.col("__a"), "left_semi")
-    into_b = e.join(b, F.col("to_id") == F.col("__b"), "left_semi")
-    direct = out_of_a.join(b, F.col("to_id") == F.col("__b"), "left_semi").select(
+    a, b = id_set(set_a), id_set(set_b)
+    out_of_a, into_b = of_ids(e, a, "from_id"), of_ids(e, b, "to_id")
+    direct = of_ids(out_of_a, b, "to_id").select(
         "from_id", "to_id", F.lit(1).alias("link_order"), F.lit(None).cast("bigint").alias("middle_id"))
+
+    def ends(legs: DataFrame, middle: str, end: str) -> DataFrame:
+        return cut_lineage(legs.where("from_id <> to_id").groupBy(F.col(middle).alias("__x"))
+                           .agg(F.min(end).alias("__lo"), F.max(end).alias("__hi")), "link-ends")
+
     # a leg A-X needs some X-B whose B is not the same A, so one other end must exist
-    ends_b = into_b.groupBy(F.col("from_id").alias("__x")).agg(F.min("to_id").alias("__lo"), F.max("to_id").alias("__hi"))
-    ends_a = out_of_a.groupBy(F.col("to_id").alias("__x")).agg(F.min("from_id").alias("__lo"), F.max("from_id").alias("__hi"))
+    ends_b, ends_a = ends(into_b, "from_id", "to_id"), ends(out_of_a, "to_id", "from_id")
 
     def other_end(end: str):
         return (F.col("__lo") != F.col(end)) | (F.col("__hi") != F.col(end))
@@ -223,8 +225,8 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     e = cut_lineage(edges.select("from_id", "to_id")
                     .where("from_id is not null and to_id is not null and from_id <> to_id").distinct(), "links")
     wanted = pairs.select("a_id", "b_id").distinct()
-    out_deg = e.groupBy(F.col("from_id").alias("a_id")).agg(F.count(F.lit(1)).alias("__out"))
-    in_deg = e.groupBy(F.col("to_id").alias("b_id")).agg(F.count(F.lit(1)).alias("__in"))
+    out_deg = cut_lineage(e.groupBy(F.col("from_id").alias("a_id")).agg(F.count(F.lit(1)).alias("__out")), "degrees")
+    in_deg = cut_lineage(e.groupBy(F.col("to_id").alias("b_id")).agg(F.count(F.lit(1)).alias("__in")), "degrees")
     sized = wanted.join(out_deg, "a_id", "left").join(in_deg, "b_id", "left")
     forward = F.coalesce("__out", F.lit(0)) <= F.coalesce("__in", F.lit(0))
     from_a = (sized.where(forward).join(e.toDF("a_id", "x_id"), "a_id").select("a_id", "b_id", "x_id")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prosopo.operators.ordering import LARGE_GROUP_ROWS, with_ordinal
+from prosopo.session import cut_lineage
 
 
 def with_person(fact: DataFrame, person: DataFrame, key: str = "c_personid", prefix: str = "b_") -> DataFrame:
@@ -30,7 +31,7 @@ def expand(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
     an inner join, of which Spark can split a hot key on either side, which it cannot on
     the right of an outer join; rows without a match are then added.
     """
-    sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    sizes = cut_lineage(right.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), "sizes")
     known = F.coalesce(F.col(count), F.lit(0)).alias(count)
     if not sizes.where(F.col(count) > large).take(1):
         joined = left.join(sizes, list(keys), "left").join(right, list(keys), "left")
@@ -62,8 +63,14 @@ def most_orphans(edges: DataFrame, person: DataFrame, source: str = "c_personid"
             .orderBy(F.desc("orphan_count"), F.asc(source)).limit(1))
 
 
+def id_set(ids: DataFrame, id_column: str | None = None) -> DataFrame:
+    """Distinct ids, written once: a repeated id then costs nothing, and in joins Spark knows
+    the set's size and can split hot keys of the other side."""
+    return cut_lineage(ids.select(F.col(id_column or ids.columns[0]).alias("id")).where("id is not null").distinct(), "ids")
+
+
 def of_ids(df: DataFrame, ids: DataFrame, key: str, id_column: str | None = None) -> DataFrame:
-    """Rows whose key is in an id table."""
+    """Rows whose key is in an id table. Pass :func:`id_set` where ids may repeat a lot."""
     wanted = ids.select(F.col(id_column or ids.columns[0]).alias("__id"))
     return df.join(wanted, F.col(key) == F.col("__id"), "left_semi")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from prosopo.catalog import Catalog
 from prosopo.operators.aggregates import union_all
 from prosopo.operators.filters import Ids, by_places, persons_by_keyword
-from prosopo.operators.joins import of_ids
+from prosopo.operators.joins import id_set, of_ids
 from prosopo.operators.ordering import first_rows
 from prosopo.plans.profile import basic
 from prosopo.plans.relations import PERSONS
@@ -26,7 +26,7 @@ def search(catalog: Catalog, keyword: str | None = None, limit: int | None = 200
 
 
 def people_by_ids(catalog: Catalog, ids: DataFrame) -> DataFrame:
-    return basic(catalog, of_ids(catalog[PERSONS], ids, "c_personid"))
+    return basic(catalog, of_ids(catalog[PERSONS], id_set(ids), "c_personid"))
 
 
 def dynasty_lookup(catalog: Catalog) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from prosopo.catalog import Catalog
 from prosopo.functions.exprs import joined_display
 from prosopo.operators.aggregates import relation_counts
-from prosopo.operators.joins import expand, of_ids, with_kin_person
+from prosopo.operators.joins import expand, id_set, of_ids, with_kin_person
 from prosopo.operators.ordering import nulls_first, top_per_key, with_ordinal
 from prosopo.plans.fields import Field, attach, describe
 from prosopo.plans.relations import ACCESSORS, BASIC, DETAIL, KIN, PERSONS, POSTING
@@ -39,6 +39,10 @@ def _finish(catalog: Catalog, rows: DataFrame, fields: tuple[Field, ...]) -> Dat
 def accessor(catalog: Catalog, category: str, ids: DataFrame | None = None, per_person: int | None = None) -> DataFrame:
     """Rows of one category for the given persons (all persons if none given):
     owner_id, ordinal, then the category's columns. ``per_person`` keeps each person's first n."""
+    return _accessor(catalog, category, None if ids is None else id_set(ids), per_person)
+
+
+def _accessor(catalog: Catalog, category: str, ids: DataFrame | None, per_person: int | None = None) -> DataFrame:
     if category == "kinships":
         return direct_kin(catalog, ids, per_person=per_person)
     if category == "postings":
@@ -111,6 +115,7 @@ def detail(catalog: Catalog, ids: DataFrame | None = None, field_columns: tuple[
 
     ``fields`` lists further stored columns as (name, value). An unknown id has no row.
     """
+    ids = None if ids is None else id_set(ids)
     persons = catalog[PERSONS] if ids is None else of_ids(catalog[PERSONS], ids, "c_personid")
     extra = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in field_columns]) \
         if field_columns else F.array().cast("array<struct<name:string,value:string>>")
@@ -141,13 +146,14 @@ def group_people(catalog: Catalog, ids: DataFrame, include_status: bool = False,
         raise ValueError("address_mode must be 1 (all) or 2 (index address only)")
     wanted = {"status": include_status, "office": include_office, "entry": include_entry, "texts": include_texts,
               "addresses": include_addresses}
+    ids = id_set(ids)
     out = {}
     for name, category in _GROUP.items():
         if not wanted[name]:
             table = POSTING.table if category == "postings" else ACCESSORS[category].table
-            out[name] = accessor(catalog.with_tables(**{table: catalog[table].limit(0)}), category)
+            out[name] = _accessor(catalog.with_tables(**{table: catalog[table].limit(0)}), category, None)
             continue
-        rows = accessor(catalog, category, ids)
+        rows = _accessor(catalog, category, ids)
         if name == "addresses" and address_mode == INDEX_ADDRESSES:
             index = catalog[PERSONS].select(F.col("c_personid").alias("__p"), F.col("c_index_addr_id").alias("__a"))
             rows = rows.join(index, (F.col("owner_id") == F.col("__p")) & (F.col("addr_id") == F.col("__a")), "left_semi")
