@@ -36,7 +36,8 @@ def expand(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
     if not sizes.where(F.col(count) > large).take(1):
         joined = left.join(sizes, list(keys), "left").join(right, list(keys), "left")
         return joined.select(*left.columns, known, *[c for c in right.columns if c not in keys])
-    marked = left.join(sizes, list(keys), "left")
+    # written, so that the next join reads both its sides from shuffles of their own
+    marked = cut_lineage(left.join(sizes, list(keys), "left"), "marked")
     matched = marked.where(F.col(count).isNotNull()).join(right, list(keys), "inner")
     lonely = marked.where(F.col(count).isNull()).withColumn(count, F.lit(0).cast("bigint"))
     return (matched.unionByName(lonely, allowMissingColumns=True)
