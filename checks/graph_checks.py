@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.standins import catalog, with_standins
 from prosopo.operators import graph
+from prosopo.plans import profile
 
 QUERIES = {}
 ORACLES = {}
@@ -46,6 +47,13 @@ add("kinship_expanded", lambda s, d: graph.expand_kinship(kin(s, d)).drop("path"
     with_standins(f"""{WALK} SELECT {OUT} FROM states QUALIFY row_number() OVER (PARTITION BY seed, k
         ORDER BY derived, u + d + m + l, hop, u, d, m, l) = 1""", recursive=True))
 
+add("person_kinships_expanded", lambda s, d: profile.expanded_kin(catalog(s, d), catalog(s, d)["BIOG_INST_DATA"].select("c_personid"))
+    .drop("kinship", "notes", "source", "pages"),
+    with_standins(f"""{WALK}, best AS (SELECT * FROM states WHERE seed IN (SELECT c_personid FROM BIOG_INST_DATA)
+        QUALIFY row_number() OVER (PARTITION BY seed, k ORDER BY derived, u + d + m + l, hop, u, d, m, l) = 1)
+    SELECT seed AS owner_id, k AS kin_person_id, b.c_name_chn AS kin_name_chn, b.c_name AS kin_name, derived AS is_derived,
+      u AS up_step, d AS down_step, m AS marriage_step, l AS collateral_step FROM best LEFT JOIN BIOG_MAIN b ON b.c_personid = best.k""", recursive=True))
+
 
 def direct_contained(s, d):
     from prosopo.operators.reconcile import missing_keys

@@ -129,10 +129,3 @@ def user_tables(names: DataFrame, column: str = "name",
     if "type" in names.columns:
         names = names.where(F.lower("type") == "table")
     return names
-
-
-def reject_unsupported(request: object, supported: Sequence[str]) -> None:
-    """A filter that cannot be honoured is an error, never ignored."""
-    given = [k for k, v in vars(request).items() if v not in (None, (), [], False) and k not in supported]
-    if given:
-        raise NotImplementedError(f"filters not available for this relation: {sorted(given)}")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from prosopo.catalog import Catalog
 from prosopo.operators.aggregates import place_rows
 from prosopo.operators.filters import Ids, by_codes, by_ids, by_places, by_years, is_empty, overlaps_years, persons_by_keyword
-from prosopo.operators.joins import expand, of_ids, with_label
-from prosopo.operators.ordering import clamp
+from prosopo.operators.joins import expand, of_ids, with_label, with_person
+from prosopo.operators.ordering import clamp, first_rows, keep_first, nulls_first
 from prosopo.plans.fields import attach
 from prosopo.plans.relations import ASSOCIATION, ENTRY, OFFICE, PERSONS, PLACES, STATUS, TEXT, Relation
 
@@ -132,9 +132,7 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
         hits = by_places(hits, relation.place, request.places, hierarchy, request.include_subordinate_units)
     persons = _persons(catalog, relation, request)
     limited = request.limit is not None
-    who = persons.select(*[F.col(c).alias(f"b_{c}") for c in persons.columns])
-    is_person = F.col(relation.person) == F.col("b_c_personid")
-    hits = of_ids(hits, persons.select("c_personid"), relation.person) if limited else hits.join(who, is_person)
+    hits = of_ids(hits, persons.select("c_personid"), "c_personid") if limited else with_person(hits, persons)
     if relation.fan_out is not None:
         table, keys, place = relation.fan_out
         hits = expand(hits, catalog[table].select(*keys, place), keys, "__places")
@@ -146,15 +144,14 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
         codes, key, labels = relation.label
         hits = with_label(hits, catalog[codes], relation.code, key, *labels, name="__label")
     by_person, by_fact = not is_empty(request.person_places), not is_empty(request.places)
-    hits = (hits.withColumn("__person_place", F.lit(by_person)).withColumn("__fact_place", F.lit(by_fact))
-            .withColumn("__workflow", F.lit("both" if by_person and by_fact else "person" if by_person
-                                            else "place" if by_fact else "none")))
+    workflow = "both" if by_person and by_fact else "person" if by_person else "place" if by_fact else "none"
+    hits = hits.withColumns({"__person_place": F.lit(by_person), "__fact_place": F.lit(by_fact), "__workflow": F.lit(workflow)})
     order = [*( [F.coalesce("__label", F.lit("")).asc()] if relation.label else []),
              *[F.col(c).asc_nulls_first() for c in (*relation.order, *relation.ties)],
              F.xxhash64(*catalog[relation.table].columns).asc()]
     rows = hits
     if limited:
-        rows = hits.orderBy(*order).limit(clamp(request.limit, request.cap)).join(who, is_person)
+        rows = with_person(hits.orderBy(*order).limit(clamp(request.limit, request.cap)), persons)
         if relation.xy_field:
             rows = _with_xy_count(catalog, rows, relation.place, limited)
     rows, columns = attach(catalog, rows, relation.fields)
@@ -207,7 +204,6 @@ def text_query(catalog: Catalog, request: CodeRequest) -> DataFrame:
 def merge_results(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], limit: int,
                   cap: int | None = 10_000) -> DataFrame:
     """Union of separately computed results: first row per key in ``order``, sorted, clamped."""
-    from prosopo.operators.ordering import first_rows, keep_first, nulls_first
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -81,7 +81,7 @@ def attach(catalog: Mapping[str, DataFrame], rows: DataFrame, fields: Sequence[F
     for i, ((columns, dim, dim_key), group) in enumerate(wanted.items()):
         names = sorted({c for f in group for c in f.labels if c in dims[dim]})
         side = catalog[dim].select(F.col(dim_key).alias(f"__k{i}"), *[F.col(c).alias(f"__d{i}_{c}") for c in names])
-        rows = rows.join(side, _present(stored, group[0]) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        rows = rows.join(side, _present(stored, group[0]) == F.col(f"__k{i}"), "left")
         for f in group:
             found = [F.col(f"__d{i}_{c}") for c in f.labels if c in names]
             out[f.name] = (F.coalesce(*found) if found else F.lit(None)).cast(f.type)

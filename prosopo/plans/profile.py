@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from prosopo.catalog import Catalog
 from prosopo.functions.exprs import joined_display
 from prosopo.operators.aggregates import relation_counts
+from prosopo.operators.graph import KinCaps, expand_kinship, kin_edges
 from prosopo.operators.joins import expand, id_set, of_ids, with_kin_person
 from prosopo.operators.ordering import nulls_first, top_per_key, with_ordinal
 from prosopo.plans.fields import Field, attach, describe
-from prosopo.plans.relations import ACCESSORS, BASIC, DETAIL, KIN, PERSONS, POSTING
+from prosopo.plans.relations import ACCESSORS, BASIC, DETAIL, EXPANDED_KIN, KIN, PERSONS, POSTING
+from prosopo.session import cut_lineage
 
 CATEGORIES = (*ACCESSORS, "postings", "kinships")
 
@@ -67,6 +69,27 @@ def direct_kin(catalog: Catalog, ids: DataFrame | None = None, keep_orphans: boo
     return _finish(catalog, rows, KIN)
 
 
+def expanded_kin(catalog: Catalog, ids: DataFrame | None = None, caps: KinCaps = KinCaps()) -> DataFrame:
+    """Kin of the given persons within the step limits, one row per person and kin, with names.
+
+    A derived relation shows as the chain of its relation labels.
+    """
+    codes = catalog["KINSHIP_CODES"]
+    reached = cut_lineage(expand_kinship(kin_edges(catalog["KIN_DATA"], codes), ids, caps), "kin")
+    longest = reached.agg(F.max("hop")).first()[0] or 0
+    rows = reached
+    for i in range(longest):  # at most one join to the code table per round
+        names = codes.select(F.col("c_kincode").alias(f"__c{i}"),
+                             joined_display(F.col("c_kinrel_chn"), F.col("c_kinrel")).alias(f"__n{i}"))
+        rows = rows.join(names, F.get("path", F.lit(i)) == F.col(f"__c{i}"), "left")
+    chain = F.concat_ws(" > ", *[F.col(f"__n{i}") for i in range(longest)]) if longest else F.lit(None).cast("string")
+    rows = rows.withColumns({"__kinship": F.nullif(chain, F.lit("")),
+                             "__notes": F.when(F.col("is_derived"), F.array_join(F.col("path").cast("array<string>"), "/"))})
+    rows = with_kin_person(rows, catalog[PERSONS], kin_key="kin_person_id")
+    rows, columns = attach(catalog, rows, EXPANDED_KIN)
+    return rows.select(F.col("seed_id").alias("owner_id"), *[columns[f.name].alias(f.name) for f in EXPANDED_KIN])
+
+
 def _posting_rows(catalog: Catalog, ids: DataFrame | None) -> DataFrame:
     table, keys, place = POSTING.fan_out
     addresses = catalog[table]

@@ -19,7 +19,6 @@ class Relation:
     years: tuple[str, str] | None = None   # first and last year columns
     years_replace_person_years: bool = True
     place: str | None = None
-    person: str = "c_personid"
     fan_out: tuple[str, tuple[str, ...], str] | None = None  # table, keys, place column
     xy_field: str | None = None
     ties: tuple[str, ...] = field(default=())
@@ -369,6 +368,13 @@ KIN = (
     source(), text("pages", "c_pages"), text("notes", "c_notes"), num("kin_code", "c_kin_code"),
 )
 
+# kin reached through others; `kinship` is the chain of relations, `notes` its codes
+EXPANDED_KIN = (
+    long("kin_person_id", "kin_person_id"), text("kinship", "__kinship"), text("kin_name_chn", "k_c_name_chn"), text("kin_name", "k_c_name"),
+    flag("is_derived", "is_derived"), num("up_step", "up_step"), num("down_step", "down_step"), num("marriage_step", "marriage_step"),
+    num("collateral_step", "collateral_step"), text("source", "__none"), text("pages", "__none"), text("notes", "__notes"),
+)
+
 BASIC = (
     long("person_id", "c_personid"), text("name_chn", "c_name_chn"), text("name_rm", "c_name_rm", "c_name"),
     num("index_year", "c_index_year"), look("index_address", PLACES, "c_index_addr_id", "c_addr_id", "c_name_chn", "c_name"),

@@ -66,6 +66,13 @@ def test_direct_kin(small):
     assert rows(profile.direct_kin(small, keep_orphans=False).select("owner_id", "ordinal", "kin_person_id")) == [(1, 1, 2), (2, 1, 1)]
 
 
+def test_expanded_kin(small):
+    got = profile.expanded_kin(small).select("owner_id", "kin_person_id", "kinship", "is_derived", "up_step", "down_step", "notes")
+    assert rows(got) == [
+        (1, None, "父 F", False, 1, 0, None), (1, 2, "父 F", False, 1, 0, None), (1, 77, "S", False, 0, 1, None),
+        (2, 1, "S", False, 0, 1, None), (2, 77, "S > S", True, 0, 2, "2/2")]
+
+
 def test_nested_postings_round_trip(small):
     for part_rows in (1, 2, 100):
         nested = profile.nested_postings(small, part_rows=part_rows)
