@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             lowered = [plain(t) for t in values]
             total, n = m.score(lowered) if m else (None, None)
             for i, t in enumerate(lowered):
-                if m is None or not t.strip():
+                if m is None or not any(map(str.isalpha, t)):
                     lang.append("und"), score.append(0.0), ces.append(None), rejected.append(True)
                     continue
                 row, best = total[i], int(total[i].argmax())

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prosopo.llm import bpe, langid, packing, simhash
+from prosopo.llm import bpe, langid, licenses, oracles, packing, simhash, topk, urlfilter, warc
 from prosopo.llm.common import load
 
 
@@ -16,10 +16,33 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
 
 
+#: The rules asked for: (verdict, host, path prefix).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(
+        "id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
+    return topk.search(vectors, vectors.where(F.pmod("id", F.lit(50)) == 0), k=5).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), end_id=1, special={"<|endoftext|>": 50256})
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, load(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.train(docs.where(~F.coalesce(held_out(), F.lit(False))).select("lang", "text"))
@@ -35,5 +58,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_pack, op8_language, op9_bpe, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_urls, op4_topk, op5_pack, op6_licenses, op7_warc, op8_language, op9_bpe, op10_simhash)}
+ORACLES = {"op3_urls": oracles.urls(URL_RULES), "op4_topk": oracles.TOPK, "op6_licenses": oracles.license_scan(licenses.BASE, licenses.OWN),
+           "op7_warc": oracles.WARC}
