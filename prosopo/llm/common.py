@@ -1,7 +1,11 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prosopo.session import cut_lineage
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application, so that their Python needs no path of the driver's."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_prosopo_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="prosopo-")), "prosopo-package.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(name)      # served to executors by the driver
+        sc._prosopo_shipped = True
+    return spark
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
