@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prosopo.llm import bpe, langid, licenses, neardup, oracles, packing, simhash, topk, urlfilter, warc
+from prosopo.llm import bpe, langid, licenses, neardup, oracles, packing, simhash, suffixdedup, topk, urlfilter, warc
 from prosopo.llm.common import load
 
 
@@ -24,6 +24,10 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +66,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op3_urls, op4_topk, op5_pack, op6_licenses, op7_warc, op8_language, op9_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_suffix, op3_urls, op4_topk, op5_pack, op6_licenses, op7_warc, op8_language, op9_bpe, op10_simhash)}
 ORACLES = {"op3_urls": oracles.urls(URL_RULES), "op4_topk": oracles.TOPK, "op6_licenses": oracles.license_scan(licenses.BASE, licenses.OWN),
            "op7_warc": oracles.WARC}
