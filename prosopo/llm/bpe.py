@@ -17,19 +17,53 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prosopo.llm.common import texts
+from prosopo.session import cut_lineage
 
 LONG_RUN = 4096      #: a run of so many characters without white space is encoded as a tree
 LEAF = 512           #: symbols of a leaf
-CACHE = 150_000      #: chunks kept per worker
+CACHE = 300_000      #: chunks, and words, kept per worker
+#: How the vocabulary file splits normalised text; fixed value. Other files are encoded chunk by chunk.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: Text whose splitting is the same in every version of Unicode: Basic Latin to Latin Extended-B.
+_LATIN = re.compile("[\x00-\u024f]*")
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def byte_letters() -> list[str]:
+    """The character a byte-level vocabulary writes for each byte: itself if printable, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def room(cache: dict, wanted: int, needed: list | None = None) -> None:
+    """Drops the oldest quarter of a full cache, but not what is needed now."""
+    if len(cache) + wanted > CACHE and cache:
+        keep = {k: cache[k] for k in set(needed or ()) if k in cache}
+        for k in list(islice(cache, max(CACHE // 4, min(wanted, len(cache))))):
+            del cache[k]
+        cache.update(keep)
+
+
+def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+    """One after the other; parts without an id count for nothing."""
+    if not parts:
+        return 0, b"", b""
+    n, ids, text = zip(*parts)
+    if 0 in n:
+        return joined([p for p in parts if p[0]])
+    return sum(n), b" ".join(ids), b" ".join(text)
+
+
 class WordBpe:
     """The encoder of one vocabulary file: ids, token strings and the tree for long words."""
 
@@ -50,6 +84,12 @@ class WordBpe:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.words_seen: dict[str, tuple[int, bytes, bytes]] = {}
+        # a decoder would join tokens its own way; without one they are joined by blanks, chunk by chunk or not
+        self.by_chunks = spec.get("decoder") is None
+        split = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = self.by_chunks and split == [KNOWN_SPLIT, None]
+        self.letters = byte_letters()
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":
@@ -61,29 +101,40 @@ class WordBpe:
 
     def plain(self, text: str) -> tuple[int, bytes, bytes]:
         """(number of ids, ids in decimal, decoded text) of a text or chunk."""
-        ids = self.tok.encode(text, add_special_tokens=False).ids
-        return self.made(ids)
+        return self.made(self.tok.encode(text, add_special_tokens=False).ids)
 
     def made(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
-
-    def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids, skip_special_tokens=False)
-
-    def encode(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        """The non-empty parts of a text in order, from the cache where a chunk is known."""
-        if self.special and self.special.search(text):
-            return [p for p in [self.plain(text)] if p[0]]
+        return len(ids), " ".join(map(str, ids)).encode(), self.tok.decode(ids, skip_special_tokens=False).encode()
+
+    def word(self, word: str) -> tuple[int, bytes, bytes]:
+        """A word of the pre-tokeniser: the model alone, on the word's bytes as the vocabulary writes them."""
+        if (got := self.words_seen.get(word)) is None:
+            tokens = self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
+            got = len(tokens), b" ".join(b"%d" % t.id for t in tokens), " ".join(t.value for t in tokens).encode()
+            room(self.words_seen, 1)
+            self.words_seen[word] = got
+        return got
+
+    def chunk(self, chunk: bytes) -> tuple[int, bytes, bytes]:
+        text = chunk.decode()
+        if self.by_words and _LATIN.fullmatch(text):
+            text = text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
+            return joined([self.word(w) for w in _WORDS.findall(text)])
+        return self.plain(text)
+
+    def encode(self, text: str) -> tuple[int, bytes, bytes]:
+        """A whole text, from the cache where a chunk is known."""
+        if not self.by_chunks or self.special and self.special.search(text):
+            return self.plain(text)
         words = (text.lower() if text.isascii() else text).encode().split()
         chunks = self.chunks
-        new = [w for w in dict.fromkeys(words) if w not in chunks]
+        new = [w for w in set(words) if w not in chunks]
         if new:
-            if len(chunks) + len(new) > CACHE:
-                chunks.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                chunks[w] = self.made(e.ids)
-        return [p for p in map(chunks.__getitem__, words) if p[0]]
+            room(chunks, len(new), words)
+            for w in words if len(new) > CACHE else new:
+                if w not in chunks:
+                    chunks[w] = self.chunk(w)
+        return joined([chunks[w] for w in words])
 
     # -- the tree ------------------------------------------------------------------------
 
@@ -138,9 +189,8 @@ class WordBpe:
         return parts[0] if parts else []
 
 
-def digest(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, str, str]:
-    ids, text = b" ".join(p[1] for p in parts), b" ".join(p[2] for p in parts)
-    return sum(p[0] for p in parts), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+def digest(made: tuple[int, bytes, bytes]) -> tuple[int, str, str]:
+    return made[0], hashlib.sha256(made[1]).hexdigest(), hashlib.sha256(made[2]).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -191,12 +241,12 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for word, tokens in zip(got["word"], got["tokens"]):
             by_word.setdefault(word, []).append(tokens)
         ids = [bpe.tok.token_to_id(t) for word in sorted(by_word) for t in bpe.tree(by_word[word])]
-        n, a, b = digest([p for p in [bpe.made(ids)] if p[0]])
+        n, a, b = digest(bpe.made(ids))
         return pa.table({"row": [got["row"][0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 
     short = rows.where(~runs).mapInArrow(direct, f"id {kind}, {DIGEST}")
-    # numbered where they are read, before any shuffle, so that a repeated task gives the same numbers
-    long = rows.where(runs).withColumn("row", F.monotonically_increasing_id())
+    # numbered once, in a written table: a second evaluation could number them another way
+    long = cut_lineage(rows.where(runs).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
     leaves = (long.select("row", "text").mapInArrow(cut, "row long, place long, word long, open boolean, tokens array<string>")
               .repartition(F.col("row"), F.floor(F.col("place") / 16))
               .mapInArrow(encode_leaves, "row long, place long, word long, open boolean, tokens array<string>"))
