@@ -34,13 +34,15 @@ WHERE_ = {"index_address": "coalesce(ia.c_name_chn, ia.c_name)"}
 WHO_JOINS = """JOIN BIOG_MAIN b ON b.c_personid = f.c_personid LEFT JOIN DYNASTIES dy ON dy.c_dy = b.c_dy
                LEFT JOIN ADDR_CODES ia ON ia.c_addr_id = b.c_index_addr_id"""
 
+#: rows at the same coordinates among all matching rows: windows are computed before a LIMIT
+XY = "CASE WHEN xa.x_coord IS NULL OR xa.y_coord IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY xa.x_coord, xa.y_coord) END"
 ENTRY_COLUMNS = {
     **WHO, **WHERE_, "sequence": "coalesce(f.c_sequence, 0)", "entry_code": "CAST(f.c_entry_code AS VARCHAR)",
     "entry_method": "f.label", "entry_year": "f.c_year", "nianhao": "coalesce(nh.c_nianhao_chn, nh.c_nianhao_pin)",
     "exam_rank": "f.c_exam_rank", "kinship": "coalesce(kc.c_kinrel_chn, kc.c_kinrel)",
     "kin_person": "coalesce(kp.c_name_chn, kp.c_name)", "entry_address_id": "f.c_entry_addr_id",
     "entry_address": "coalesce(ea.c_name_chn, ea.c_name)", "entry_x_coord": "ea.x_coord", "entry_y_coord": "ea.y_coord",
-    "entry_xy_count": "CASE WHEN ea.x_coord IS NULL OR ea.y_coord IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY ea.x_coord, ea.y_coord) END",
+    "entry_xy_count": "f.xy",
 }
 
 
@@ -49,7 +51,8 @@ def entry_sql(where: str = "true", limit: int | None = None, extra: str = "", re
         f.c_sequence NULLS FIRST LIMIT {limit}"""
     return with_standins(f"""
         {extra}, hits AS (
-          SELECT f.*, c.label FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid
+          SELECT f.*, c.label, {XY} AS xy FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid
+          LEFT JOIN ADDR_CODES xa ON xa.c_addr_id = f.c_entry_addr_id
           LEFT JOIN (SELECT c_entry_code, coalesce(c_entry_desc_chn, c_entry_desc) AS label FROM ENTRY_CODES) c
             ON c.c_entry_code = f.c_entry_code
           WHERE {where} {top})
@@ -80,13 +83,13 @@ def status_sql(where: str = "true", limit: int | None = None, extra: str = "", r
 
 def office_sql(where: str = "true", limit: int | None = None, workflow: str = "none", extra: str = "", recursive: bool = False) -> str:
     top = "" if limit is None else f"""ORDER BY coalesce(label, ''), c_firstyear NULLS FIRST, c_personid NULLS FIRST, c_posting_id NULLS FIRST,
-        c_sequence NULLS FIRST, c_addr_id NULLS FIRST LIMIT {limit}"""
+        c_sequence NULLS FIRST, flat.c_addr_id NULLS FIRST LIMIT {limit}"""
     columns = {
         **WHO, **WHERE_, "posting_id": "f.c_posting_id", "sequence": "coalesce(f.c_sequence, 0)",
         "office_code": "f.c_office_id", "office": "f.label", "appointment_code": "f.c_appt_type_code",
         "first_year": "f.c_firstyear", "last_year": "f.c_lastyear", "office_address_id": "f.c_addr_id",
         "office_address": "coalesce(oa.c_name_chn, oa.c_name)", "office_x_coord": "oa.x_coord", "office_y_coord": "oa.y_coord",
-        "office_xy_count": "CASE WHEN oa.x_coord IS NULL OR oa.y_coord IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY oa.x_coord, oa.y_coord) END",
+        "office_xy_count": "f.xy",
         "source_id": "f.c_source", "source": "coalesce(t.c_title_chn, t.c_title)", "place_workflow": f"'{workflow}'",
         "person_place_match": "true" if workflow in ("person", "both") else "false",
         "office_place_match": "true" if workflow in ("place", "both") else "false",
@@ -101,7 +104,7 @@ def office_sql(where: str = "true", limit: int | None = None, workflow: str = "n
           LEFT JOIN sizes s ON s.c_posting_id = f.c_posting_id AND s.c_office_id = f.c_office_id AND s.c_personid = f.c_personid
           LEFT JOIN OFFICE_CODES o ON o.c_office_id = f.c_office_id
           WHERE {where}),
-        hits AS (SELECT * FROM flat {top})
+        hits AS (SELECT flat.*, {XY} AS xy FROM flat LEFT JOIN ADDR_CODES xa ON xa.c_addr_id = flat.c_addr_id {top})
         SELECT {select_list(OFFICE.fields, columns)} FROM hits f {WHO_JOINS}
         LEFT JOIN ADDR_CODES oa ON oa.c_addr_id = f.c_addr_id LEFT JOIN TEXT_CODES t ON t.c_textid = f.c_source""", recursive)
 
@@ -133,8 +136,8 @@ add("entry_query_index_years",
         entry_codes=[2], use_index_year_range=True, index_year_from=900, index_year_to=1100, dynasty_ids=[1], limit=None)),
     entry_sql("f.c_entry_code = 2 AND b.c_index_year BETWEEN 900 AND 1100"))
 add("entry_query_dynasties",
-    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(dynasty_ids=[1, 3, 77], limit=5000)),
-    entry_sql("b.c_dy IN (1, 3, 77)", 5000))
+    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(dynasty_ids=[1, 3, 77], sort=True)),
+    entry_sql("b.c_dy IN (1, 3, 77)"))
 add("entry_query_dynasty_frame",
     lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(dynasty_ids=catalog(s, d)["DYNASTIES"].select("c_dy"), limit=None)),
     entry_sql("b.c_dy IN (SELECT c_dy FROM DYNASTIES)"))
@@ -150,8 +153,12 @@ add("entry_query_person_place",
 add("entry_query_keyword",
     lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(person_keyword="building-", limit=None)),
     entry_sql("lower(coalesce(b.c_name_chn, '')) LIKE '%building-%'"))
-add("entry_query_no_codes",
-    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(on_empty="none", limit=None)), entry_sql("false"))
+# none of the facts, and with the empty list meant the other way all of them
+add("entry_query_empty_meaning",
+    lambda s, d: cq.entry_query(catalog(s, d), cq.entry_request(on_empty="none")).unionByName(
+        cq.entry_query(catalog(s, d), cq.entry_request(on_empty="all"))).groupBy("entry_code").agg(F.count(F.lit(1)).alias("rows")),
+    with_standins("""SELECT CAST(f.c_entry_code AS VARCHAR) AS entry_code, count(*) AS rows FROM ENTRY_DATA f
+        JOIN BIOG_MAIN b ON b.c_personid = f.c_personid GROUP BY 1"""))
 add("office_query_top",
     lambda s, d: cq.office_query(catalog(s, d), cq.office_request(use_index_year_range=True, index_year_from=900, index_year_to=960, limit=10_000)),
     office_sql("b.c_index_year BETWEEN 900 AND 960", 10_000))
@@ -200,7 +207,7 @@ def merged(s, d):
     c = catalog(s, d)
     one = lambda dy: cq.entry_query(c, cq.entry_request(dynasty_ids=[dy], limit=None))
     return cq.merge_results([one(1), one(3), one(1)], ["person_id", "sequence"],
-                            ["entry_method", "entry_year", "person_id", "sequence", "entry_code"], 10_000).select(
+                            ["entry_method", "entry_year", "person_id", "sequence", "entry_code"]).select(
         "person_id", "sequence", "entry_method", "entry_year")
 
 
@@ -212,14 +219,17 @@ add("union_of_dynasty_runs", merged, with_standins("""
       QUALIFY row_number() OVER (PARTITION BY f.c_personid, coalesce(f.c_sequence, 0)
         ORDER BY coalesce(c.c_entry_desc_chn, c.c_entry_desc) NULLS FIRST, f.c_year NULLS FIRST, f.c_entry_code NULLS FIRST) = 1)
     SELECT person_id, "sequence", entry_method, entry_year FROM hits
-    ORDER BY entry_method NULLS FIRST, entry_year NULLS FIRST, person_id, "sequence" LIMIT 10000"""))
+    ORDER BY entry_method NULLS FIRST, entry_year NULLS FIRST, person_id, "sequence\""""))
 
 BASIC_SQL = """SELECT b.c_personid AS person_id, b.c_name_chn AS name_chn, b.c_name AS name_rm, b.c_index_year AS index_year,
                coalesce(a.c_name_chn, a.c_name) AS index_address
                FROM {who} b LEFT JOIN ADDR_CODES a ON a.c_addr_id = b.c_index_addr_id"""
 add("person_search_all", lambda s, d: people.search(catalog(s, d), None, limit=None), with_standins(BASIC_SQL.format(who="BIOG_MAIN")))
 add("person_search_page", lambda s, d: people.search(catalog(s, d), " ", limit=5000, offset=30),
-    with_standins("SELECT * FROM (" + BASIC_SQL.format(who="BIOG_MAIN") + ") ORDER BY person_id LIMIT 1000 OFFSET 30"))
+    with_standins("SELECT * FROM (" + BASIC_SQL.format(who="BIOG_MAIN") + ") ORDER BY person_id LIMIT 5000 OFFSET 30"))
+# an underscore is no digit: this is a name, not person 17
+add("person_search_underscore", lambda s, d: people.search(catalog(s, d), "1_7").unionByName(people.search(catalog(s, d), "+17")),
+    with_standins(BASIC_SQL.format(who="BIOG_MAIN") + " WHERE b.c_personid = 17 OR contains(lower(coalesce(b.c_name, '')), '1_7') OR contains(lower(coalesce(b.c_name_chn, '')), '1_7')"))
 add("person_search_id", lambda s, d: people.search(catalog(s, d), "17"),
     with_standins(BASIC_SQL.format(who="BIOG_MAIN") + " WHERE b.c_personid = 17"))
 add("person_search_name", lambda s, d: people.search(catalog(s, d), "RED wid", limit=None),

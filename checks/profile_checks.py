@@ -109,11 +109,11 @@ add("person_postings", lambda s, d: profile.postings(catalog(s, d)).drop("ordina
     LEFT JOIN OFFICE_CODES o ON o.c_office_id = f.c_office_id LEFT JOIN TEXT_CODES t ON t.c_textid = f.c_source
     LEFT JOIN ADDR_CODES a ON a.c_addr_id = f.c_addr_id"""))
 add("nested_postings", lambda s, d: profile.nested_postings(catalog(s, d)).select(
-        "owner_id", "posting_id", F.size("offices").alias("offices"),
+        "owner_id", "posting_id", F.size(F.filter("offices", lambda o: o["address_part"] == 0)).alias("offices"),
         F.aggregate("offices", F.lit(0), lambda n, o: n + F.size(o["addresses"])).alias("addresses")),
     with_standins(f"""SELECT c_personid AS owner_id, c_posting_id AS posting_id,
         count(DISTINCT (c_sequence, c_office_id, c_firstyear, c_lastyear)) AS offices, count(c_addr_id) AS addresses {POSTING_SQL} GROUP BY 1, 2"""))
-add("flattened_postings", lambda s, d: profile.flatten_postings(profile.nested_postings(catalog(s, d), part_rows=2)),
+add("flattened_postings", lambda s, d: profile.flatten_postings(profile.nested_postings(catalog(s, d), part_offices=2, part_addresses=1)),
     with_standins(f"""SELECT c_personid AS owner_id, c_posting_id AS posting_id, c_sequence AS sequence, c_office_id AS office_id,
         c_firstyear AS first_year, c_lastyear AS last_year, c_addr_id AS addr_id {POSTING_SQL}"""))
 

@@ -110,14 +110,13 @@ def cross_tab(df: DataFrame, row: str, column: str, values: Sequence[object]) ->
         F.count_if(~known).alias("other"))
 
 
-def place_rows(rows: DataFrame, place: str, x: Column, y: Column) -> DataFrame:
-    """How many of the rows share each row's coordinates; 0 without coordinates.
+def place_counts(rows: DataFrame, place: str, places: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(__place, xy_count) per place with coordinates: how many of the rows lie on those coordinates.
 
-    Counted once per place and joined back: no window over a crowded place.
+    Rows are counted per place first, so a crowded place is one row from there on.
     """
-    spots = rows.groupBy(F.col(place).alias("__place")).agg(
-        F.count(F.lit(1)).alias("__n"), F.first(x, ignorenulls=True).alias("__x"), F.first(y, ignorenulls=True).alias("__y"))
-    shared = (spots.where("__x is not null and __y is not null").groupBy("__x", "__y").agg(F.sum("__n").alias("xy_count")))
-    per_place = spots.join(shared, ["__x", "__y"]).select("__place", "xy_count")
-    return (rows.join(per_place, F.col(place) == F.col("__place"), "left").drop("__place")
-            .withColumn("xy_count", F.coalesce("xy_count", F.lit(0))))
+    spots = places.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(key).alias("__place"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    used = rows.groupBy(F.col(place).alias("__place")).agg(F.count(F.lit(1)).alias("__n")).join(spots, "__place")
+    shared = used.groupBy("__x", "__y").agg(F.sum("__n").alias("xy_count"))
+    return used.join(shared, ["__x", "__y"]).select("__place", "xy_count")

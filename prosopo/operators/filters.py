@@ -1,6 +1,8 @@
 """Row filters. Id sets given as lists become literals; sets given as DataFrames become semi joins."""
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,15 +11,16 @@ from prosopo.functions.exprs import ordered_bounds
 from prosopo.operators.graph import descendants
 from prosopo.operators.joins import id_set, of_ids
 
+_WHOLE = re.compile(r"[+-]?[0-9]+")
 Ids = Sequence[int] | Sequence[str] | DataFrame | None
 
 
 def whole_codes(codes: Sequence[int | str]) -> list[int]:
     """Codes may arrive as text but must be integers."""
-    try:
-        return [int(str(c).strip()) for c in codes]
-    except ValueError as e:
-        raise ValueError(f"codes must be integers: {list(codes)!r}") from e
+    texts = [str(c).strip() for c in codes]
+    if not all(map(_WHOLE.fullmatch, texts)):
+        raise ValueError(f"codes must be integers: {list(codes)!r}")
+    return [int(t) for t in texts]
 
 
 def is_empty(ids: Ids) -> bool:
@@ -73,26 +76,30 @@ def by_radius(df: DataFrame, column: str, places: DataFrame, centres: Ids, degre
               place_key: str = "c_addr_id", x: str = "x_coord", y: str = "y_coord") -> DataFrame:
     """Rows whose place lies within ``degrees`` of any of the centre places.
 
-    Places and centres meet on grid cells of one radius; no all-pairs join.
+    Places and centres meet on grid cells whose diagonal is the radius: a place in a centre's own cell is
+    near without a comparison, so a crowded cell forms no pairs within itself. Only places in cells
+    without a centre are compared with the centres of the cells around, each spot once.
     """
     if degrees <= 0:
         raise ValueError("degrees must be positive")
-    spots = places.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(degrees)))
+    side = float(degrees) / math.sqrt(2) * (1 - 1e-9)     # a little less, so that rounding cannot bring a far place in
+    cell = lambda c: F.floor(F.col(c) / F.lit(side))
+    spots = (places.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+             .withColumn("__px", cell(x)).withColumn("__py", cell(y)))
     centre = (by_ids(spots, place_key, centres)
-              .select(F.col(x).alias("__cx"), F.col(y).alias("__cy"), cell(x).alias("__gx"), cell(y).alias("__gy"))
-              .distinct()
-              .withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
-              .select("__cx", "__cy", (F.col("__gx") + F.col("__dx")).alias("__gx"),
-                      (F.col("__gy") + F.col("__dy")).alias("__gy")))
-    spots = spots.withColumn("__px", cell(x)).withColumn("__py", cell(y))
-    near = spots.join(
-        centre,
-        (F.col("__px") == F.col("__gx")) & (F.col("__py") == F.col("__gy"))
-        & (F.sqrt(F.pow(F.col(x) - F.col("__cx"), 2) + F.pow(F.col(y) - F.col("__cy"), 2)) <= float(degrees)),
-        "left_semi")
-    return of_ids(df, near.select(place_key), column)
+              .select(F.col(x).alias("__cx"), F.col(y).alias("__cy"), F.col("__px").alias("__gx"), F.col("__py").alias("__gy")).distinct())
+    own = centre.select("__gx", "__gy").distinct()
+    same_cell = (F.col("__px") == F.col("__gx")) & (F.col("__py") == F.col("__gy"))
+    inside = spots.join(own, same_cell, "left_semi")
+    around = F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)])
+    reach = (centre.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
+             .select("__cx", "__cy", (F.col("__gx") + F.col("__dx")).alias("__gx"), (F.col("__gy") + F.col("__dy")).alias("__gy")))
+    outside = spots.join(own, same_cell, "left_anti")
+    near = outside.select(x, y, "__px", "__py").distinct().join(
+        reach, same_cell & (F.sqrt(F.pow(F.col(x) - F.col("__cx"), 2) + F.pow(F.col(y) - F.col("__cy"), 2)) <= float(degrees)), "left_semi")
+    on_spot = near.select(F.col(x).alias("__nx"), F.col(y).alias("__ny"))
+    beside = outside.join(on_spot, (F.col(x) == F.col("__nx")) & (F.col(y) == F.col("__ny")), "left_semi")
+    return of_ids(df, inside.select(place_key).union(beside.select(place_key)), column)
 
 
 def persons_by_keyword(person: DataFrame, altname: DataFrame | None, keyword: str | None,
@@ -103,10 +110,8 @@ def persons_by_keyword(person: DataFrame, altname: DataFrame | None, keyword: st
     if keyword is None or not keyword.strip():
         return person
     keyword = keyword.strip()
-    try:
+    if _WHOLE.fullmatch(keyword):
         return person.where(F.col(key) == int(keyword))
-    except ValueError:
-        pass
 
     def hit(df: DataFrame, columns: Sequence[str]) -> Column:
         found = F.lit(False)

@@ -92,7 +92,7 @@ def kin_edges(kin: DataFrame, codes: DataFrame, code_key: str = "c_kincode") ->
 
 
 def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCaps = KinCaps(),
-                   best_only: bool = True) -> DataFrame:
+                   best_only: bool = True, with_complete: bool = False) -> DataFrame:
     """Breadth-first kinship for all seeds at once.
 
     Direct edges always stay; only those within the caps are extended. A derived
@@ -101,7 +101,9 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
     vectors while looping makes the reached set independent of visit order; the
     caps bound them to (up+1)(down+1)(marriage+1)(collateral+1) per pair.
 
-    ``best_only`` keeps one row per (seed, kin): direct first, then fewest steps.
+    ``best_only`` keeps one row per (seed, kin): direct first, then fewest steps. The loop ends after
+    ``caps.rounds`` rounds as the rule says; ``with_complete`` adds a column that is false for seeds
+    that a further round would have taken on.
     """
     direct = edges if seeds is None else neighbours(edges, seeds, "person_id")
     direct = (direct.groupBy(F.col("person_id").alias("seed_id"), "kin_person_id", *_STEPS)
@@ -117,7 +119,8 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
         & (F.col("marriage_step") <= caps.marriage) & (F.col("collateral_step") <= caps.collateral)
     rounds = [cut_lineage(direct, "kin-direct")]
     frontier = rounds[0].where(within & (F.col("kin_person_id") != F.col("seed_id")))
-    for hop in range(2, caps.rounds + 2):
+
+    def next_round(hop: int) -> DataFrame:
         step = (frontier.join(links, F.col("kin_person_id") == F.col("__from"))
                 .select("seed_id", F.col("__to").alias("kin_person_id"),
                         *[(F.col(s) + F.col(f"__{s}")).alias(s) for s in _STEPS],
@@ -125,20 +128,26 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
                 .where(within & (F.col("kin_person_id") != F.col("seed_id")))
                 .groupBy(*_STATE).agg(F.min("path").alias("path")))
         known = _union(rounds).select(*_STATE)
-        step = (step.join(known, _STATE, "left_anti")
+        return (step.join(known, _STATE, "left_anti")
                 .withColumn("hop", F.lit(hop)).withColumn("is_derived", F.lit(True)))
-        frontier, found = cut_and_count(step.select(*rounds[0].columns), "kin-round")
+
+    for hop in range(2, caps.rounds + 2):
+        frontier, found = cut_and_count(next_round(hop).select(*rounds[0].columns), "kin-round")
         if not found:
             break
         rounds.append(frontier)
     out = _union(rounds)
-    if not best_only:
-        return out
-    # the sort key itself is the aggregate, so partial results combine before the shuffle
-    total = sum((F.col(s) for s in _STEPS[1:]), F.col(_STEPS[0]))
-    best = F.struct("is_derived", total.alias("total"), "hop", *_STEPS, "path")
-    return (out.groupBy("seed_id", "kin_person_id").agg(F.min(best).alias("b"))
-            .select("seed_id", "kin_person_id", *[f"b.{s}" for s in _STEPS], "b.hop", "b.is_derived", "b.path"))
+    if best_only:
+        # the sort key itself is the aggregate, so partial results combine before the shuffle
+        total = sum((F.col(s) for s in _STEPS[1:]), F.col(_STEPS[0]))
+        best = F.struct("is_derived", total.alias("total"), "hop", *_STEPS, "path")
+        out = (out.groupBy("seed_id", "kin_person_id").agg(F.min(best).alias("b"))
+               .select("seed_id", "kin_person_id", *[f"b.{s}" for s in _STEPS], "b.hop", "b.is_derived", "b.path"))
+    if with_complete:
+        open_seeds = cut_lineage(next_round(caps.rounds + 2).select(F.col("seed_id").alias("__seed")).distinct(), "kin-open")
+        out = (out.join(open_seeds.withColumn("__open", F.lit(True)), F.col("seed_id") == F.col("__seed"), "left")
+               .withColumn("complete", F.col("__open").isNull()).drop("__seed", "__open"))
+    return out
 
 
 def reduce_relation(kin: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
@@ -216,25 +225,40 @@ def links_between(edges: DataFrame, set_a: DataFrame, set_b: DataFrame) -> DataF
     return direct.union(first).union(second).distinct()
 
 
-def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For given pairs (a_id, b_id): is there a direct edge, and how many persons link them.
+def _plain_edges(edges: DataFrame) -> DataFrame:
+    return cut_lineage(edges.select("from_id", "to_id")
+                       .where("from_id is not null and to_id is not null and from_id <> to_id").distinct(), "links")
+
+
+def _pair_middles(e: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a_id, b_id, middle_id) of all two-step paths of the wanted pairs.
 
     Each pair is walked from its end with fewer edges, so a hub paired with many
     persons is not unrolled once per pair.
     """
-    e = cut_lineage(edges.select("from_id", "to_id")
-                    .where("from_id is not null and to_id is not null and from_id <> to_id").distinct(), "links")
-    wanted = pairs.select("a_id", "b_id").distinct()
     out_deg = cut_lineage(e.groupBy(F.col("from_id").alias("a_id")).agg(F.count(F.lit(1)).alias("__out")), "degrees")
     in_deg = cut_lineage(e.groupBy(F.col("to_id").alias("b_id")).agg(F.count(F.lit(1)).alias("__in")), "degrees")
     sized = wanted.join(out_deg, "a_id", "left").join(in_deg, "b_id", "left")
     forward = F.coalesce("__out", F.lit(0)) <= F.coalesce("__in", F.lit(0))
-    from_a = (sized.where(forward).join(e.toDF("a_id", "x_id"), "a_id").select("a_id", "b_id", "x_id")
-              .join(e.toDF("x_id", "b_id"), ["x_id", "b_id"], "left_semi"))
-    from_b = (sized.where(~forward).join(e.toDF("x_id", "b_id"), "b_id").select("a_id", "b_id", "x_id")
-              .join(e.toDF("a_id", "x_id"), ["a_id", "x_id"], "left_semi"))
-    middle = (from_a.unionByName(from_b).where("x_id <> a_id and x_id <> b_id")
-              .groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("middle_count")))
+    from_a = (sized.where(forward).join(e.toDF("a_id", "middle_id"), "a_id").select("a_id", "b_id", "middle_id")
+              .join(e.toDF("middle_id", "b_id"), ["middle_id", "b_id"], "left_semi"))
+    from_b = (sized.where(~forward).join(e.toDF("middle_id", "b_id"), "b_id").select("a_id", "b_id", "middle_id")
+              .join(e.toDF("a_id", "middle_id"), ["a_id", "middle_id"], "left_semi"))
+    return from_a.unionByName(from_b).where("middle_id <> a_id and middle_id <> b_id")
+
+
+def paths_of_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The paths that link given pairs: (a_id, middle_id, b_id, link_order), order 1 without and order 2 with a middle."""
+    e, wanted = _plain_edges(edges), pairs.select("a_id", "b_id").distinct()
+    direct = wanted.join(e.toDF("a_id", "b_id"), ["a_id", "b_id"], "left_semi").select(
+        "a_id", F.lit(None).cast("bigint").alias("middle_id"), "b_id", F.lit(1).alias("link_order"))
+    return direct.union(_pair_middles(e, wanted).select("a_id", "middle_id", "b_id", F.lit(2).alias("link_order")))
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For given pairs (a_id, b_id): is there a direct edge, and how many persons link them."""
+    e, wanted = _plain_edges(edges), pairs.select("a_id", "b_id").distinct()
+    middle = _pair_middles(e, wanted).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("middle_count"))
     direct = e.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), F.lit(True).alias("direct"))
     return (wanted.join(direct, ["a_id", "b_id"], "left").join(middle, ["a_id", "b_id"], "left")
             .select("a_id", "b_id", F.coalesce("direct", F.lit(False)).alias("direct"),

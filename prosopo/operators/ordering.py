@@ -7,17 +7,20 @@ one key's rows into one task:
   the shuffle (window group limit), so a hot key ships n rows per map task;
 * full positions of keys above a size limit, and global positions, are counted
   over range partitions and shifted by the rows before them.
+
+Every path breaks ties alike: by the remaining columns, by value (:func:`total_order`).
+So a row's position does not depend on how many rows its key has, on the page asked for,
+or on where rows were read; rows that tie even then are equal.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from prosopo.session import cut_lineage
 
 LARGE_GROUP_ROWS = 1_000_000
-IN_MEMORY_ROWS = 1_000_000
 
 _ROW, _PART, _BEFORE = "__row", "__part", "__before"
 
@@ -26,6 +29,19 @@ def nulls_first(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_first() for n in names]
 
 
+def total_order(df: DataFrame, order: Sequence[Column], last: bool = False) -> list[Column]:
+    """``order``, then all columns by value, NULL first (``last``: the reverse); a column already ordered decides nothing more.
+
+    Maps and variants have no order: they are compared by their JSON text.
+    """
+    def value(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        odd = any(w in f.dataType.simpleString() for w in ("map<", "variant"))
+        return F.to_json(c) if odd else c
+    values = [value(f) for f in df.schema.fields]
+    return [*order, *(v.desc_nulls_last() if last else v.asc_nulls_first() for v in values)]
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``. NULL keys form a key of their own."""
     return top_per_key(df, keys, order, 1)
@@ -33,15 +49,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in the ascending order of the named columns."""
-    return top_per_key(df, keys, [F.col(c).desc_nulls_last() for c in order], 1)
+    return top_per_key(df, keys, total_order(df, [F.col(c).desc_nulls_last() for c in order], last=True), 1)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                name: str | None = None) -> DataFrame:
+                name: str | None = None, large: int = LARGE_GROUP_ROWS) -> DataFrame:
     if n > 999:  # above Spark's group-limit threshold a hot key would not be pruned early
-        out = with_ordinal(df, keys, order, name or _ROW).where(F.col(name or _ROW) <= n)
+        out = with_ordinal(df, keys, order, name or _ROW, large).where(F.col(name or _ROW) <= n)
     else:
-        window = Window.partitionBy(*keys).orderBy(*order)
+        window = Window.partitionBy(*keys).orderBy(*total_order(df, order))
         out = df.withColumn(name or _ROW, F.row_number().over(window)).where(F.col(name or _ROW) <= n)
         out = out.withColumn(name, F.col(name).cast("bigint")) if name else out
     return out if name else out.drop(_ROW)
@@ -58,7 +74,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     if not keys:
         return _ranged_ordinal(df, [], order, name)
     big = df.groupBy(*keys).count().where(F.col("count") > large).select(*keys)
-    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*total_order(df, order))).cast("bigint")
     if not big.take(1):
         return df.withColumn(name, plain)
     big = cut_lineage(big, "large-keys")
@@ -83,13 +99,12 @@ def _ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     Rows are range-partitioned by (key, order), so every key covers neighbouring
     partitions. A row's position is its place within its partition plus the key's
-    rows in earlier partitions. A hash of the row spreads equal order values.
+    rows in earlier partitions. All columns take part in the ranges, so that equal order values spread.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    spread = [*nulls_first(*keys), *order, tie.asc()]
+    spread = [*nulls_first(*keys), *total_order(df, order)]
     placed = cut_lineage(
         df.repartitionByRange(parts, *spread).withColumn(_PART, F.spark_partition_id()), "ranged")
     # one row per (key, partition); per key at most `parts` rows, so this window is bounded
@@ -100,7 +115,7 @@ def _ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               .where(F.col(_BEFORE) > 0).select(*keys, _PART, _BEFORE))
     # only the key a partition begins with can have rows before it: at most one row
     # per partition, so `before` has at most `parts` rows
-    local = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*order, tie.asc()))
+    local = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*total_order(df, order)))
     before = F.broadcast(before.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(_PART).alias("__k_part"), _BEFORE))
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col(_PART) == F.col("__k_part")]
@@ -108,21 +123,22 @@ def _ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .select(*columns, (F.col(_ROW) + F.coalesce(F.col(_BEFORE), F.lit(0))).cast("bigint").alias(name)))
 
 
-def clamp(limit: int, cap: int | None = 10_000) -> int:
-    """Row limits are held within 1 and ``cap``."""
-    limit = max(1, int(limit))
-    return limit if cap is None else min(limit, cap)
+def row_limit(limit: int, cap: int | None = None) -> int:
+    """At least 1; a limit above a ``cap`` the caller named is an error, never silently less."""
+    if cap is not None and limit > cap:
+        raise ValueError(f"limit {limit} is above the cap of {cap}")
+    return max(1, int(limit))
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0,
-               cap: int | None = 10_000) -> DataFrame:
-    """Sorted, from ``offset``, at most ``limit`` rows (held within ``cap``)."""
-    limit = clamp(limit, cap)
-    if offset == 0:
-        return df.orderBy(*order).limit(limit)
-    if offset + limit > IN_MEMORY_ROWS:
-        placed = with_position(df, order, "__at")
-    else:  # the window sees no more rows than the top-k before it lets through
-        placed = df.orderBy(*order).limit(offset + limit).withColumn("__at", F.row_number().over(Window.orderBy(*order)))
+def first_rows(df: DataFrame, order: Sequence[Column], limit: int | None, offset: int = 0,
+               cap: int | None = None) -> DataFrame:
+    """Sorted, from ``offset``, ``limit`` rows or all of them. Pages over the same rows neither repeat nor lose any."""
+    by = total_order(df, order)
+    if not offset:
+        ordered = df.orderBy(*by)
+        return ordered if limit is None else ordered.limit(row_limit(limit, cap))
     at = F.col("__at")
-    return placed.where((at > offset) & (at <= offset + limit)).orderBy(at).drop("__at")
+    placed = with_position(df, order, "__at").where(at > offset)
+    if limit is not None:
+        placed = placed.where(at <= offset + row_limit(limit, cap))
+    return placed.orderBy(at).drop("__at")

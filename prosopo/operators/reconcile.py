@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prosopo.functions.exprs import nan_to_null
 from prosopo.operators.aggregates import table_counts
-from prosopo.operators.ordering import keep_first, keep_last, with_ordinal, with_position
+from prosopo.operators.ordering import nulls_first, with_ordinal, with_position
+from prosopo.session import cut_lineage
 
+_MASK_BITS = 62
 BUCKETS = ("match", "mismatch", "only_left", "only_right")
 
 
@@ -51,71 +53,88 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def _unique(df: DataFrame, keys: Sequence[str], on_duplicate: str, order_by: Sequence[str] | None, side: str) -> DataFrame:
-    if on_duplicate == "trust":
-        return df
-    if on_duplicate == "error":
-        example = duplicate_keys(df, keys).take(1)
-        if example:
-            raise ValueError(f"{side}: key {list(keys)} is not unique, e.g. {example[0].asDict()}")
-        return df
-    if on_duplicate not in ("first", "last"):
-        raise ValueError("on_duplicate must be 'error', 'first', 'last' or 'trust'")
-    if not order_by:
-        raise ValueError("keeping one of several rows needs order_by")
-    if on_duplicate == "last":
-        return keep_last(df, keys, order_by)
-    return keep_first(df, keys, [F.col(c).asc_nulls_first() for c in order_by])
+_WHOLE, _REAL = (T.IntegralType, T.BooleanType), (T.DoubleType, T.FloatType)
+
+
+def exact_text(c: Column, t: T.DataType) -> Column:
+    """A whole or real number as text that is equal exactly where the numbers are: 5, 5.0 and true's 1 are whole,
+    2^53 + 1 is not 2^53; a real number with a fraction keeps its own text."""
+    if isinstance(t, _REAL):
+        d = c.cast("double")
+        return F.when((d == F.floor(d).cast("double")) & (F.abs(d) < 1e37), d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    return _plain(c, t).cast("string")
+
+
+def _shared_key(left: Column, lt: T.DataType, right: Column, rt: T.DataType) -> tuple[Column, Column]:
+    """Both sides of a key in one type in which equality means equality of values. NULL stays NULL."""
+    if isinstance(lt, T.NullType) or isinstance(rt, T.NullType):
+        other = rt if isinstance(lt, T.NullType) else lt
+        return left.cast(other), right.cast(other)
+    if _family(lt) != _family(rt):      # a number never equals a text: both are tagged
+        tag = lambda c, t: F.concat(F.lit(_family(t) + ":"), c.cast("string"))
+        return tag(left, lt), tag(right, rt)
+    if isinstance(lt, (*_WHOLE, *_REAL)) and isinstance(rt, (*_WHOLE, *_REAL)):
+        if isinstance(lt, _REAL) != isinstance(rt, _REAL):
+            return exact_text(left, lt), exact_text(right, rt)
+        if isinstance(lt, _WHOLE) and lt != rt:
+            return _plain(left, lt).cast("bigint"), _plain(right, rt).cast("bigint")
+    return left, right
 
 
 def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None,
          on_duplicate: str = "error", order_by: Sequence[str] | None = None, with_rows: bool = False) -> DataFrame:
     """One row per key: the keys, ``bucket`` and ``differing`` (field, left, right).
 
-    Compared are ``compare`` or else all other columns of ``left``; a column a side
-    lacks reads as NULL. Keys must be unique: ``on_duplicate`` says what happens if
-    not ("trust" skips the check). After that no key repeats, so the one full outer
-    join has no hot key. ``with_rows`` adds both rows as structs.
+    Compared are ``compare`` or else all other columns of ``left``; a column a side lacks reads as NULL.
+    Keys of different types are compared by value and shown in the common type: whole against real
+    numbers as exact text, texts against numbers with their kind. Keys must be unique: ``on_duplicate``
+    says what happens if not ("first" and "last" by ``order_by``, ties by the other columns; "trust" skips the check).
+
+    Both sides are stacked and grouped once: rows of a repeated key combine before the one shuffle, so
+    no key is hot. The check for repeated keys reads the written groups. ``with_rows`` adds both rows as structs.
     """
+    if on_duplicate not in ("error", "first", "last", "trust"):
+        raise ValueError("on_duplicate must be 'error', 'first', 'last' or 'trust'")
+    if on_duplicate in ("first", "last") and not order_by:
+        raise ValueError("keeping one of several rows needs order_by")
     keys = list(keys)
     compare = [c for c in left.columns if c not in keys] if compare is None else list(compare)
     every = [*keys, *compare]
-    left, right = _with_columns(left, every, right), _with_columns(right, every, left)
-    left = _unique(nan_to_null(left), keys, on_duplicate, order_by, "left")
-    right = _unique(nan_to_null(right), keys, on_duplicate, order_by, "right")
-    if not with_rows:
-        left, right = left.select(*keys, *compare), right.select(*keys, *compare)
+    left, right = nan_to_null(_with_columns(left, every, right)), nan_to_null(_with_columns(right, every, left))
     lt = {f.name: f.dataType for f in left.schema.fields}
     rt = {f.name: f.dataType for f in right.schema.fields}
-    l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], F.lit(True).alias("in_left"))
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.lit(True).alias("in_right"))
-
-    on, merged = [], []
-    for k in keys:
-        a, b = F.col(f"l_{k}"), F.col(f"r_{k}")
-        if _family(lt[k]) == _family(rt[k]) or isinstance(lt[k], T.NullType) or isinstance(rt[k], T.NullType):
-            on.append(_plain(a, lt[k]).eqNullSafe(_plain(b, rt[k])))
-            merged.append(F.coalesce(a, b).alias(k))
-        else:  # a number never equals a text: tag both so that the join stays an equi-join
-            tag = lambda c, t: F.when(c.isNotNull(), F.concat(F.lit(_family(t) + ":"), c.cast("string")))
-            on.append(tag(a, lt[k]).eqNullSafe(tag(b, rt[k])))
-            merged.append(F.coalesce(a.cast("string"), b.cast("string")).alias(k))
+    shared = [_shared_key(F.col(k), lt[k], F.col(k), rt[k]) for k in keys]
+    order = [c for c in order_by or () if on_duplicate in ("first", "last")]
+
+    def side(df: DataFrame, name: str, other: str, position: int) -> DataFrame:
+        kept = df.columns if with_rows else every
+        row = F.struct(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(order)], F.struct(*kept).alias("row"))
+        return df.select(*[s[position].alias(f"k_{i}") for i, s in enumerate(shared)], row.alias(name))
+
+    stacked = side(left, "l", "r", 0).unionByName(side(right, "r", "l", 1), allowMissingColumns=True)
+    one = {"first": F.min, "last": F.max}.get(on_duplicate, lambda c: F.first(c, ignorenulls=True))
+    grouped = stacked.groupBy(*[f"k_{i}" for i in range(len(keys))]).agg(
+        F.count("l").alias("n_left"), F.count("r").alias("n_right"), one("l").alias("l"), one("r").alias("r"))
+    if on_duplicate == "error":
+        grouped = cut_lineage(grouped, "diff")
+        example = grouped.where("n_left > 1 or n_right > 1").take(1)
+        if example:
+            where = "left" if example[0]["n_left"] > 1 else "right"
+            key = {k: example[0][f"k_{i}"] for i, k in enumerate(keys)}
+            raise ValueError(f"{where}: key {keys} is not unique, e.g. {key}")
+    value = lambda s, c: F.col(f"{s}.row")[c]
     differs = [
-        F.when(~same_value(F.col(f"l_{c}"), lt[c], F.col(f"r_{c}"), rt[c]),
-               F.struct(F.lit(c).alias("field"), F.col(f"l_{c}").cast("string").alias("left"),
-                        F.col(f"r_{c}").cast("string").alias("right")))
+        F.when(~same_value(value("l", c), lt[c], value("r", c), rt[c]),
+               F.struct(F.lit(c).alias("field"), value("l", c).cast("string").alias("left"), value("r", c).cast("string").alias("right")))
         for c in compare]
     none = F.array().cast("array<struct<field:string,left:string,right:string>>")
-    both = F.col("in_left").isNotNull() & F.col("in_right").isNotNull()
+    both = (F.col("n_left") > 0) & (F.col("n_right") > 0)
     differing = F.when(both, F.array_compact(F.array(*differs))).otherwise(none) if differs else none
-    bucket = (F.when(F.col("in_right").isNull(), "only_left").when(F.col("in_left").isNull(), "only_right")
+    bucket = (F.when(F.col("n_right") == 0, "only_left").when(F.col("n_left") == 0, "only_right")
               .when(F.size("differing") > 0, "mismatch").otherwise("match"))
-    rows = []
-    if with_rows:
-        rows = [F.when(F.col("in_left").isNotNull(), F.struct(*[F.col(f"l_{c}").alias(c) for c in left.columns])).alias("left_row"),
-                F.when(F.col("in_right").isNotNull(), F.struct(*[F.col(f"r_{c}").alias(c) for c in right.columns])).alias("right_row")]
-    return (l.join(r, on, "full_outer").withColumn("differing", differing)
-            .select(*merged, bucket.alias("bucket"), "differing", *rows))
+    rows = [F.col("l.row").alias("left_row"), F.col("r.row").alias("right_row")] if with_rows else []
+    return grouped.withColumn("differing", differing).select(
+        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keys)], bucket.alias("bucket"), "differing", *rows)
 
 
 def diff_stats(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -137,12 +156,36 @@ def in_key_order(result: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ordered_diff(left: DataFrame, right: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
                  ignore: Sequence[str] = ()) -> DataFrame:
-    """Row i against row i, globally or within each key; the result is a diff on (keys, position)."""
-    def placed(df: DataFrame) -> DataFrame:
-        cols = [F.col(c).asc_nulls_first() for c in order]
-        return with_ordinal(df, keys, cols, "position") if keys else with_position(df, cols)
-    compare = [c for c in left.columns if c not in keys and c not in ignore]
-    return diff(placed(left), placed(right), [*keys, "position"], compare, on_duplicate="trust")
+    """Row i against row i, globally or within each key; the result is a diff on (keys, position).
+
+    Both sides must have the same columns but for ``ignore``. Where ``order`` leaves ties, rows that both sides
+    hold come first, then the others by value: one edited row among equals of the order is one mismatch.
+    """
+    gaps = (set(left.columns) ^ set(right.columns)) - set(ignore)
+    if gaps:
+        raise ValueError(f"columns on one side only: {sorted(gaps)}")
+    columns = [c for c in left.columns if c in right.columns and (c not in ignore or c in keys or c in order)]
+    compare = [c for c in columns if c not in keys and c not in ignore]
+    left, right = nan_to_null(left.select(*columns)), nan_to_null(right.select(*columns))
+    lt, rt = ({f.name: f.dataType for f in d.schema.fields} for d in (left, right))
+    shared = [_shared_key(F.col(c), lt[c], F.col(c), rt[c]) for c in columns]
+
+    def side(df: DataFrame, name: str, position: int) -> DataFrame:
+        return df.select(*[s[position].alias(f"k_{i}") for i, s in enumerate(shared)], F.struct(*columns).alias(name))
+
+    # equal rows are counted per side, so a row's copies on both sides pair off
+    counted = cut_lineage(
+        side(left, "l", 0).unionByName(side(right, "r", 1), allowMissingColumns=True).groupBy(*[f"k_{i}" for i in range(len(columns))])
+        .agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.first("l", ignorenulls=True).alias("l"), F.first("r", ignorenulls=True).alias("r")), "ordered")
+
+    def placed(name: str, n: str) -> DataFrame:
+        rows = counted.where(F.col(n) > 0).select(
+            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))).alias("__copy"), F.least("n_left", "n_right").alias("__common"), f"{name}.*")
+        by = [*nulls_first(*order), (F.col("__copy") > F.col("__common")).asc(), *nulls_first(*columns, "__copy")]
+        out = with_ordinal(rows, keys, by, "position") if keys else with_position(rows, by)
+        return out.drop("__copy", "__common")
+
+    return diff(placed("l", "n_left"), placed("r", "n_right"), [*keys, "position"], compare, on_duplicate="trust")
 
 
 def schema_diff(left: DataFrame, right: DataFrame, known_gaps: Sequence[str] = ()) -> DataFrame:
@@ -205,22 +248,22 @@ def documented_divergence(result: DataFrame, expected: DataFrame, keys: Sequence
 def containment(variants: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """For each ordered pair of variants: size of the first, overlap, share of the first found in the second.
 
-    Every key is reduced to a bit mask of the variants that hold it, and masks are
-    counted; no pairs of rows are formed.
+    Every key is reduced to bit masks of the variants that hold it, and masks are
+    counted; no pairs of rows are formed. Any number of variants will do.
     """
     names = list(variants)
-    if len(names) > 62:
-        raise ValueError("at most 62 variants")
     spark = next(iter(variants.values())).sparkSession
+    words = range(-(-len(names) // _MASK_BITS))      # as many masks as the variants need
+    mask = lambda w: f"__m{w}"
     tagged = None
     for i, n in enumerate(names):
-        part = variants[n].select(*keys, F.lit(1 << i).cast("bigint").alias("__m"))
+        part = variants[n].select(*keys, *[F.lit(1 << i % _MASK_BITS if i // _MASK_BITS == w else 0).cast("bigint").alias(mask(w)) for w in words])
         tagged = part if tagged is None else tagged.unionByName(part)
-    masks = tagged.groupBy(*keys).agg(F.bit_or("__m").alias("__m")).groupBy("__m").agg(F.count(F.lit(1)).alias("__n"))
-    members = masks.select("__n", F.explode(F.expr(
-        f"filter(sequence(0, {len(names) - 1}), i -> (shiftright(__m, i) & 1) = 1)")).alias("a"), "__m")
-    pairs = members.select("a", "__n", F.explode(F.expr(
-        f"filter(sequence(0, {len(names) - 1}), i -> (shiftright(__m, i) & 1) = 1)")).alias("b"))
+    masks = (tagged.groupBy(*keys).agg(*[F.bit_or(mask(w)).alias(mask(w)) for w in words])
+             .groupBy(*map(mask, words)).agg(F.count(F.lit(1)).alias("__n")))
+    held = F.array_compact(F.array(*[F.when(F.getbit(mask(i // _MASK_BITS), F.lit(i % _MASK_BITS)) == 1, F.lit(i)) for i in range(len(names))]))
+    members = masks.withColumn("__held", held)
+    pairs = members.select(F.explode("__held").alias("a"), "__n", "__held").select("a", "__n", F.explode("__held").alias("b"))
     overlap = pairs.groupBy("a", "b").agg(F.sum("__n").alias("overlap"))
     label = F.array(*[F.lit(n) for n in names])
     every = spark.createDataFrame([(i, j) for i in range(len(names)) for j in range(len(names))], "a int, b int")

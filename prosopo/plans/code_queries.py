@@ -8,14 +8,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from prosopo.catalog import Catalog
-from prosopo.operators.aggregates import place_rows
+from prosopo.operators.aggregates import place_counts
 from prosopo.operators.filters import Ids, by_codes, by_ids, by_places, by_years, is_empty, overlaps_years, persons_by_keyword
 from prosopo.operators.joins import expand, of_ids, with_label, with_person
-from prosopo.operators.ordering import clamp, first_rows, keep_first, nulls_first
+from prosopo.operators.ordering import first_rows, keep_first, nulls_first, row_limit
 from prosopo.plans.fields import attach
+from prosopo.session import cut_lineage
 from prosopo.plans.relations import ASSOCIATION, ENTRY, OFFICE, PERSONS, PLACES, STATUS, TEXT, Relation
 
 
@@ -25,8 +26,9 @@ class CodeRequest:
 
     ``on_empty`` says what an empty code list means. ``places`` apply to the fact's
     own place if ``place_of`` is "fact", else to the person's index place;
-    ``person_places`` always apply to the latter. ``limit=None`` returns all rows,
-    unsorted unless ``sort`` is set; with a limit rows come in the relation's order.
+    ``person_places`` always apply to the latter. Without ``limit`` all rows
+    return, unsorted unless ``sort`` is set; with one the first rows of the relation's order, ties by
+    all columns. A limit above ``cap``, if one is named, is an error.
     """
     codes: Ids = ()
     on_empty: str = "all"
@@ -39,8 +41,8 @@ class CodeRequest:
     index_years: tuple[int, int] | None = None
     fact_years: tuple[int, int] | None = None
     dynasty_ids: Ids = ()
-    limit: int | None = 5000
-    cap: int | None = 10_000
+    limit: int | None = None
+    cap: int | None = None
     sort: bool = False
 
 
@@ -52,7 +54,7 @@ def entry_request(*, person_keyword: str | None = None, entry_codes: Ids = (), p
                   include_subordinate_units: bool = False, use_index_year_range: bool = False,
                   index_year_from: int = 0, index_year_to: int = 0, use_entry_year_range: bool = False,
                   entry_year_from: int = 0, entry_year_to: int = 0, dynasty_ids: Ids = (),
-                  limit: int | None = 5000, **more) -> CodeRequest:
+                  limit: int | None = None, **more) -> CodeRequest:
     return CodeRequest(codes=entry_codes, person_keyword=person_keyword, places=place_ids,
                        include_subordinate_units=include_subordinate_units,
                        index_years=_years(use_index_year_range, index_year_from, index_year_to),
@@ -65,7 +67,7 @@ def office_request(*, person_keyword: str | None = None, office_codes: Ids = (),
                    include_subordinate_office_units: bool = False, use_index_year_range: bool = False,
                    index_year_from: int = 0, index_year_to: int = 0, use_office_year_range: bool = False,
                    office_year_from: int = 0, office_year_to: int = 0, dynasty_ids: Ids = (),
-                   limit: int | None = 5000, **more) -> CodeRequest:
+                   limit: int | None = None, **more) -> CodeRequest:
     return CodeRequest(codes=office_codes, person_keyword=person_keyword, person_places=person_place_ids,
                        include_subordinate_person_units=include_subordinate_person_units, places=office_place_ids,
                        include_subordinate_units=include_subordinate_office_units,
@@ -77,7 +79,7 @@ def office_request(*, person_keyword: str | None = None, office_codes: Ids = (),
 def status_request(*, person_keyword: str | None = None, status_codes: Ids = (), place_ids: Ids = (),
                    include_subordinate_units: bool = False, use_index_year_range: bool = False,
                    index_year_from: int = 0, index_year_to: int = 0, dynasty_ids: Ids = (),
-                   limit: int | None = 5000, **more) -> CodeRequest:
+                   limit: int | None = None, **more) -> CodeRequest:
     return CodeRequest(codes=status_codes, person_keyword=person_keyword, places=place_ids, place_of="person",
                        include_subordinate_units=include_subordinate_units,
                        index_years=_years(use_index_year_range, index_year_from, index_year_to),
@@ -135,11 +137,15 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
     hits = of_ids(hits, persons.select("c_personid"), "c_personid") if limited else with_person(hits, persons)
     if relation.fan_out is not None:
         table, keys, place = relation.fan_out
-        hits = expand(hits, catalog[table].select(*keys, place), keys, "__places")
+        right = catalog[table].select(*keys, place)
+        if relation.code in keys:
+            right = by_codes(right, relation.code, request.codes, request.on_empty)
+        if _persons_filtered(request) and "c_personid" in keys:
+            right = of_ids(right, persons.select("c_personid"), "c_personid")
+        hits = expand(hits, right, keys, "__places")
         if request.place_of == "fact":
             hits = by_places(hits, place, request.places, hierarchy, request.include_subordinate_units)
-    if relation.xy_field and not limited:
-        hits = _with_xy_count(catalog, hits, relation.place, limited)
+    xy_counts = _xy_counts(catalog, hits, relation.place) if relation.xy_field else None
     if relation.label:
         codes, key, labels = relation.label
         hits = with_label(hits, catalog[codes], relation.code, key, *labels, name="__label")
@@ -148,29 +154,32 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
     hits = hits.withColumns({"__person_place": F.lit(by_person), "__fact_place": F.lit(by_fact), "__workflow": F.lit(workflow)})
     order = [*( [F.coalesce("__label", F.lit("")).asc()] if relation.label else []),
              *[F.col(c).asc_nulls_first() for c in (*relation.order, *relation.ties)],
-             F.xxhash64(*catalog[relation.table].columns).asc()]
+             *nulls_first(*catalog[relation.table].columns)]
     rows = hits
     if limited:
-        rows = with_person(hits.orderBy(*order).limit(clamp(request.limit, request.cap)), persons)
-        if relation.xy_field:
-            rows = _with_xy_count(catalog, rows, relation.place, limited)
+        rows = with_person(hits.orderBy(*order).limit(row_limit(request.limit, request.cap)), persons)
+    if xy_counts is not None:
+        rows = (rows.join(xy_counts, F.col(relation.place) == F.col("__place"), "left").drop("__place")
+                .withColumn("xy_count", F.coalesce("xy_count", F.lit(0))))
     rows, columns = attach(catalog, rows, relation.fields)
     if limited or request.sort:
         rows = rows.orderBy(*order)
     return rows.select(*[columns[f.name].alias(f.name) for f in relation.fields])
 
 
-def _with_xy_count(catalog: Catalog, rows: DataFrame, place: str, limited: bool) -> DataFrame:
-    """How many result rows share the row's coordinates."""
+def _persons_filtered(request: CodeRequest) -> bool:
+    return bool((request.person_keyword or "").strip()) or request.index_years is not None or not all(
+        map(is_empty, (request.dynasty_ids, request.person_places, request.places if request.place_of == "person" else ())))
+
+
+def _xy_counts(catalog: Catalog, hits: DataFrame, place: str) -> DataFrame | None:
+    """(__place, xy_count): how many matching rows share the place's coordinates, whatever the limit.
+
+    Counted in one pass over the place column alone and written, one row per place.
+    """
     if PLACES not in catalog or not {"x_coord", "y_coord"} <= set(catalog[PLACES].columns):
-        return rows
-    spots = catalog[PLACES].select(F.col("c_addr_id").alias("__p"), F.col("x_coord").alias("__x"), F.col("y_coord").alias("__y"))
-    rows = rows.join(spots, F.col(place) == F.col("__p"), "left").drop("__p")
-    if limited:  # at most `cap` rows
-        known = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-        rows = rows.withColumn("xy_count", F.when(known, F.count(F.lit(1)).over(Window.partitionBy("__x", "__y"))))
-        return rows.drop("__x", "__y")
-    return place_rows(rows.withColumnsRenamed({"__x": "__rx", "__y": "__ry"}), place, F.col("__rx"), F.col("__ry")).drop("__rx", "__ry")
+        return None
+    return cut_lineage(place_counts(hits, place, catalog[PLACES], "c_addr_id", "x_coord", "y_coord"), "xy")
 
 
 def entry_query(catalog: Catalog, request: CodeRequest) -> DataFrame:
@@ -201,9 +210,9 @@ def text_query(catalog: Catalog, request: CodeRequest) -> DataFrame:
     return code_query(catalog.with_tables(BIOG_TEXT_DATA=fact), TEXT, request)
 
 
-def merge_results(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], limit: int,
-                  cap: int | None = 10_000) -> DataFrame:
-    """Union of separately computed results: first row per key in ``order``, sorted, clamped."""
+def merge_results(parts: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], limit: int | None = None,
+                  cap: int | None = None) -> DataFrame:
+    """Union of separately computed results: first row per key in ``order``, sorted; all rows or the first ``limit``."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

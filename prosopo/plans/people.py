@@ -14,12 +14,12 @@ from prosopo.plans.profile import basic
 from prosopo.plans.relations import PERSONS
 
 
-def search(catalog: Catalog, keyword: str | None = None, limit: int | None = 200, offset: int = 0,
-           cap: int | None = 1000) -> DataFrame:
-    """People by id or name, in id order. ``limit=None`` returns every hit, unsorted."""
+def search(catalog: Catalog, keyword: str | None = None, limit: int | None = None, offset: int = 0,
+           cap: int | None = None) -> DataFrame:
+    """People by id or name: every hit, unsorted, or a page of ``limit`` rows from ``offset`` in id order."""
     alt = catalog["ALTNAME_DATA"] if "ALTNAME_DATA" in catalog else None
     hits = persons_by_keyword(catalog[PERSONS], alt, keyword)
-    if limit is None:
+    if limit is None and not offset:
         return basic(catalog, hits)
     hits = first_rows(hits, [F.asc("c_personid")], limit, max(0, int(offset)), cap)
     return basic(catalog, hits).orderBy("person_id")

@@ -95,7 +95,10 @@ def _posting_rows(catalog: Catalog, ids: DataFrame | None) -> DataFrame:
     addresses = catalog[table]
     audit = [c for c in ("c_created_by", "c_created_date", "c_modified_by", "c_modified_date") if c in addresses.columns]
     addresses = addresses.select(*keys, place, *[F.col(c).alias(f"addr_{c}") for c in audit])
-    return expand(_facts(catalog, POSTING.table, ids), addresses, keys, "__places")
+    if ids is not None and "c_personid" in keys:
+        addresses = of_ids(addresses, ids, "c_personid")
+    # written once: numbering measures group sizes on narrow columns, then reads the rows
+    return cut_lineage(expand(_facts(catalog, POSTING.table, ids), addresses, keys, "__places"), "postings")
 
 
 def postings(catalog: Catalog, ids: DataFrame | None = None, per_person: int | None = None) -> DataFrame:
@@ -103,23 +106,24 @@ def postings(catalog: Catalog, ids: DataFrame | None = None, per_person: int | N
     return _finish(catalog, _numbered(_posting_rows(catalog, ids), POSTING.order, per_person), POSTING.fields)
 
 
-def nested_postings(catalog: Catalog, ids: DataFrame | None = None, part_rows: int = 10_000) -> DataFrame:
+def nested_postings(catalog: Catalog, ids: DataFrame | None = None, part_offices: int = 1000, part_addresses: int = 10_000) -> DataFrame:
     """Postings with their offices and the offices' addresses as nested arrays.
 
-    (owner_id, posting_id, part, offices<sequence, office_id, first_year, last_year,
-    addresses>). A posting has one row unless it holds more than ``part_rows`` flat
-    rows; then it continues in further parts, so no array outgrows a task.
+    (owner_id, posting_id, part, offices<sequence, office_id, first_year, last_year, address_part,
+    addresses>). A posting of more than ``part_offices`` offices continues in further parts, cut between
+    offices. An office of more than ``part_addresses`` addresses continues under a further ``address_part``; only
+    part 0 stands for the office, so offices are counted by it. No array outgrows these bounds.
     """
-    flat = with_ordinal(_posting_rows(catalog, ids), ["c_personid", "c_posting_id"],
-                        nulls_first("c_sequence", "c_office_id", "c_addr_id"), "__n")
-    flat = flat.withColumn("part", F.floor((F.col("__n") - 1) / part_rows).cast("int"))
+    owner = [F.col("c_personid").alias("owner_id"), F.col("c_posting_id").alias("posting_id")]
     office = [F.col("c_sequence").alias("sequence"), F.col("c_office_id").alias("office_id"),
               F.col("c_firstyear").alias("first_year"), F.col("c_lastyear").alias("last_year")]
-    owner = [F.col("c_personid").alias("owner_id"), F.col("c_posting_id").alias("posting_id"), "part"]
-    offices = flat.groupBy(*owner, *office).agg(
+    names = ["owner_id", "posting_id", "sequence", "office_id", "first_year", "last_year"]
+    flat = with_ordinal(_posting_rows(catalog, ids).select(*owner, *office, "c_addr_id"), names, nulls_first("c_addr_id"), "__n")
+    offices = flat.groupBy(*names, F.floor((F.col("__n") - 1) / part_addresses).cast("int").alias("address_part")).agg(
         F.array_sort(F.collect_list("c_addr_id")).alias("addresses"))
-    return offices.groupBy("owner_id", "posting_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("sequence", "office_id", "first_year", "last_year", "addresses"))).alias("offices"))
+    offices = with_ordinal(cut_lineage(offices, "offices"), ["owner_id", "posting_id"], nulls_first(*names[2:], "address_part"), "__n")
+    return offices.groupBy("owner_id", "posting_id", F.floor((F.col("__n") - 1) / part_offices).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(*names[2:], "address_part", "addresses"))).alias("offices"))
 
 
 def flatten_postings(nested: DataFrame) -> DataFrame:

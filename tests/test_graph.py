@@ -112,3 +112,20 @@ def test_closure_with_cycle(small, spark):
 
 def test_degrees_ignore_missing_ends(small):
     assert rows(g.degrees(small["KIN_DATA"], "c_personid", "c_kin_id")) == [(1, 3, 1, 4), (2, 1, 1, 2), (77, 0, 1, 1)]
+
+
+def test_paths_of_given_pairs(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (1, 3), (3, 3), (5, 1), (1, 5)], "from_id long, to_id long")
+    pairs = spark.createDataFrame([(1, 3), (1, 2), (5, 3), (9, 1), (1, 1)], "a_id long, b_id long")
+    got = rows(g.paths_of_pairs(edges, pairs).select("a_id", "middle_id", "b_id", "link_order"))
+    assert got == sorted([(1, None, 3, 1), (1, None, 2, 1), (1, 2, 3, 2), (1, 4, 3, 2), (5, 1, 3, 2), (1, 5, 1, 2)],
+                         key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
+def test_kinship_says_where_the_rounds_ended_it(spark):
+    steps = "up_step int, down_step int, marriage_step int, collateral_step int"
+    chain = [(i, i + 1, 1, 0, 0, 0, 0) for i in range(1, 20)] + [(50, 51, 1, 0, 0, 0, 0)]
+    edges = spark.createDataFrame(chain, f"person_id long, kin_person_id long, kin_code int, {steps}")
+    seeds = spark.createDataFrame([(1,), (15,), (50,)], "id long")
+    got = g.expand_kinship(edges, seeds, with_complete=True).groupBy("seed_id").agg(F.count("*").alias("n"), F.min("complete").alias("c"))
+    assert rows(got) == [(1, 11, False), (15, 5, True), (50, 1, True)]

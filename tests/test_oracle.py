@@ -1,4 +1,4 @@
-"""Every registered query against its oracle on the smallest driver data."""
+"""Every registered query of the person library against its oracle on the smallest driver data."""
 import os
 
 import pytest
@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from checks.compare import check
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: q for part in entry.CORE for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in entry.CORE for name, sql in part.ORACLES.items()}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver data not present")

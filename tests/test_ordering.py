@@ -59,14 +59,28 @@ def test_first_per_key_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("limit,cap,expected", [(0, 10_000, 1), (-5, 10_000, 1), (20_000, 10_000, 10_000), (50, 10_000, 50), (20_000, None, 20_000)])
-def test_clamp(limit, cap, expected):
-    assert o.clamp(limit, cap) == expected
+@pytest.mark.parametrize("limit,cap,expected", [(0, 10_000, 1), (-5, None, 1), (50, 10_000, 50), (20_000, None, 20_000)])
+def test_row_limit(limit, cap, expected):
+    assert o.row_limit(limit, cap) == expected
 
 
-def test_pages_agree_for_small_and_large_offsets(spark, monkeypatch):
-    _, df = data(spark)
-    order = o.nulls_first("v", "id")
-    want = [tuple(r) for r in o.first_rows(df, order, 50, 100).collect()]
-    monkeypatch.setattr(o, "IN_MEMORY_ROWS", 10)
-    assert [tuple(r) for r in o.first_rows(df, order, 50, 100).collect()] == want
+def test_a_limit_above_the_cap_is_an_error():
+    with pytest.raises(ValueError, match="cap"):
+        o.row_limit(20_000, 10_000)
+
+
+@pytest.mark.parametrize("large", [1, 10_000])
+def test_ties_are_broken_by_value_whatever_the_group_size(spark, large):
+    tied = [(k, 1, t) for k in (1, None) for t in ("d", None, "a", "c", "b")]
+    df = spark.createDataFrame(tied, "k long, v int, t string").repartition(4)
+    got = o.with_ordinal(df, ["k"], o.nulls_first("v"), "n", large=large).where("k = 1").orderBy("n")
+    assert [r["t"] for r in got.collect()] == [None, "a", "b", "c", "d"]
+    top = o.top_per_key(df, ["k"], o.nulls_first("v"), 2).where("k = 1")
+    assert rows(top.select("t")) == [(None,), ("a",)]
+    assert [r["t"] for r in o.keep_last(df, ["k"], ["v"]).where("k = 1").collect()] == ["d"]
+
+
+def test_pages_over_ties_hold_every_row_once(spark):
+    df = spark.createDataFrame([(1, i) for i in range(40)], "v int, id long").repartition(5)
+    pages = [r["id"] for at in range(0, 40, 7) for r in o.first_rows(df, o.nulls_first("v"), 7, at).collect()]
+    assert pages == list(range(40))

@@ -52,7 +52,48 @@ def test_values_compare_by_kind(spark):
 
 def test_text_and_number_keys_never_match(spark):
     a, b = frame(spark, [("36", "a")], "id string, x string"), frame(spark, [(36, "a")])
-    assert rows(rc.diff(a, b, ["id"]).select("id", "bucket")) == [("36", "only_left"), ("36", "only_right")]
+    assert rows(rc.diff(a, b, ["id"]).select("id", "bucket")) == [("number:36", "only_right"), ("text:36", "only_left")]
+
+
+def test_whole_keys_against_real_ones_are_exact(spark):
+    a = frame(spark, [(2 ** 53, "a"), (2 ** 53 + 1, "b"), (7, "c"), (None, "d")])
+    b = frame(spark, [(float(2 ** 53), "a"), (7.0, "c"), (7.5, "e"), (None, "d")], "id double, x string")
+    assert rows(rc.diff(a, b, ["id"]).select("id", "bucket")) == [
+        (None, "match"), ("7", "match"), ("7.5", "only_right"), ("9007199254740992", "match"), ("9007199254740993", "only_left")]
+
+
+def test_truth_values_against_numbers(spark):
+    a, b = frame(spark, [(True, "a"), (False, "b")], "id boolean, x string"), frame(spark, [(1, "a"), (2, "c")], "id int, x string")
+    assert rows(rc.diff(a, b, ["id"]).select("id", "bucket")) == [(0, "only_left"), (1, "match"), (2, "only_right")]
+
+
+def test_a_kept_row_of_repeated_keys_needs_one_shuffle(spark):
+    a = frame(spark, [(k % 3, k % 2, f"v{k}") for k in range(30)], "id int, n int, x string")
+    plan = rc.diff(a, a, ["id"], on_duplicate="last", order_by=["n"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert stats(rc.diff_stats(rc.diff(a, a, ["id"], on_duplicate="last", order_by=["n"]))) == (3, 3, 3, 0, 0, 0, True)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_one_edit_among_ties_is_one_mismatch(spark, keys):
+    data = [(1, 5, x) for x in "hgfedcba"] + [(1, 9, "z"), (1, 9, "z")]
+    a = frame(spark, data, "g int, o int, x string")
+    b = frame(spark, [(g, float(o), "edited" if x == "d" else x) for g, o, x in reversed(data)], "g long, o double, x string")
+    got = rc.ordered_diff(a, b, ["o"], keys=keys, ignore=() if keys else ("g",))
+    assert stats(rc.diff_stats(got)) == (10, 10, 9, 0, 0, 1, False)
+
+
+def test_ordered_diff_wants_the_same_columns(spark):
+    a, b = frame(spark, [(1, "a")]), frame(spark, [(1, "a", 2)], "id long, x string, more int")
+    with pytest.raises(ValueError, match="more"):
+        rc.ordered_diff(a, b, ["id"])
+    assert stats(rc.diff_stats(rc.ordered_diff(a, b, ["id"], ignore=["more"]))) == (1, 1, 1, 0, 0, 0, True)
+
+
+def test_many_variants(spark):
+    sets = {f"v{i}": frame(spark, [(k, "") for k in range(i % 7)]).select("id") for i in range(70)}
+    got = {(r["variant"], r["in_variant"]): (r["size"], r["overlap"]) for r in rc.containment(sets, ["id"]).collect()}
+    assert len(got) == 4900 and got["v69", "v6"] == (6, 6) and got["v6", "v65"] == (6, 2) and got["v63", "v6"] == (0, 0)
 
 
 def test_duplicates_are_an_error_unless_told(spark):
