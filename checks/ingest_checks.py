@@ -41,7 +41,8 @@ def as_dump(df: DataFrame, table: str, columns: dict[str, str], key: str, per_st
 
 ORDER_COLUMNS = {"o_orderkey": "bigint(20)", "o_custkey": "int(11)", "o_orderstatus": "char(1)", "o_totalprice": "double", "o_orderdate": "datetime",
                  "o_orderpriority": "varchar(20)"}
-DOC_COLUMNS = {"doc_id": "int(11)", "text": "longtext", "lang": "varchar(8)", "n_chars": "int(11)"}
+DOC_COLUMNS = {"doc_id": "int(11)", "text": "longtext", "lang": "varchar(8)", "source": "varchar(20)", "n_chars": "int(11)"}
+CUSTOMER_COLUMNS = {"c_custkey": "int(11)", "c_name": "varchar(40)", "c_nationkey": "int(11)", "c_acctbal": "double", "c_mktsegment": "varchar(20)"}
 
 
 def ingest(s, d) -> dump.Dump:
@@ -59,7 +60,7 @@ add("dump_ingest_orders", lambda s, d: ingest(s, d).tables["orders_copy"],
     """SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey, o_orderstatus, o_totalprice, o_orderdate,
        CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders""")
 add("dump_ingest_texts", lambda s, d: ingest(s, d).tables["documents_copy"],
-    "SELECT CAST(doc_id AS INT) AS doc_id, text, lang, CAST(n_chars AS INT) AS n_chars FROM documents")
+    "SELECT CAST(doc_id AS INT) AS doc_id, text, lang, source, CAST(n_chars AS INT) AS n_chars FROM documents")
 
 
 def build(s, d):
@@ -75,8 +76,7 @@ add("build_stats", build, """SELECT CAST(2 AS BIGINT) AS tables_created, (SELECT
 def overlay(s, d):
     """Column types of the dump with a dictionary laid over them; the sheet is made from the data's own columns."""
     folder = new_folder(s, "dump-text")
-    as_dump(driver_table(s, d, "customer"), "customer_copy", {"c_custkey": "int(11)", "c_name": "varchar(40)", "c_nationkey": "int(11)"},
-            "c_custkey").write.option("lineSep", ";\n").text(folder)
+    as_dump(driver_table(s, d, "customer"), "customer_copy", CUSTOMER_COLUMNS, "c_custkey").write.option("lineSep", ";\n").text(folder)
     sheet = s.createDataFrame([
         ("1", "", "", "customer_copy", "c_custkey", "Primary Key", "Double", "no", "", ""),
         ("2", "", "", "customer_copy", "c_name", "", " ", "", "", ""),
@@ -85,7 +85,58 @@ def overlay(s, d):
     return dump.read_dump(s, folder, overlay=checked).tables["customer_copy"]
 
 
-add("dump_with_dictionary", overlay, "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS INT) AS c_nationkey FROM customer")
+add("dump_with_dictionary", overlay, "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+
+
+def packed(s, d, **how):
+    """The customers as a dump with other line ends or packed, read back whole."""
+    folder = new_folder(s, "dump-text")
+    end = how.pop("lineSep", ";\n")
+    as_dump(driver_table(s, d, "customer"), "customer_copy", CUSTOMER_COLUMNS, "c_custkey").write.options(lineSep=end, **how).text(folder)
+    return dump.read_dump(s, folder).tables["customer_copy"]
+
+
+_CUSTOMERS = "SELECT CAST(c_custkey AS INT) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+add("dump_gzip", lambda s, d: packed(s, d, compression="gzip"), _CUSTOMERS)
+add("dump_crlf", lambda s, d: packed(s, d, lineSep=";\r\n"), _CUSTOMERS)
+
+
+def kept_rejects(s, d):
+    """Orders with a value missing here and there, and rows of a table that is never declared."""
+    folder = new_folder(s, "dump-text")
+    orders = driver_table(s, d, "orders")
+    short = orders.where("o_orderkey % 11 = 0").select(F.concat(F.lit("INSERT INTO `orders_copy` VALUES ("), "o_orderkey", F.lit(",'"), F.repeat("o_orderpriority", 40), F.lit("')")).alias("value"))
+    lost = orders.where("o_orderkey % 13 = 0").select(F.concat(F.lit("INSERT INTO `lost` VALUES ("), "o_orderkey", F.lit(")")).alias("value"))
+    broken = orders.where("o_orderkey % 17 = 0").select(F.concat(F.lit("INSERT INTO `orders_copy` VALUES ("), "o_orderkey", F.lit(",WHAT)")).alias("value"))
+    (as_dump(orders, "orders_copy", ORDER_COLUMNS, "o_orderkey").union(short).union(lost).union(broken)).write.option("lineSep", ";\n").text(folder)
+    got = dump.read_dump(s, folder, on_reject="keep")
+    rejected = got.rejected.groupBy("table", "reason").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("sample")).alias("characters"))
+    return rejected.union(got.tables["orders_copy"].groupBy().agg(F.count(F.lit(1)).alias("rows")).select(F.lit("orders_copy"), F.lit("read"), "rows", F.lit(None)))
+
+
+add("dump_kept_rejects", kept_rejects, """
+    SELECT 'orders_copy' AS "table", 'number of values differs from the columns' AS reason, count(*) AS rows,
+      CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 3 + 40 * length(o_orderpriority)) AS BIGINT) AS characters FROM orders WHERE o_orderkey % 11 = 0
+    UNION ALL SELECT 'lost', 'row of an undeclared table', count(*), sum(length(CAST(o_orderkey AS VARCHAR))) FROM orders WHERE o_orderkey % 13 = 0
+    UNION ALL SELECT 'orders_copy', 'not a list of VALUES tuples', count(*), sum(length(CAST(o_orderkey AS VARCHAR)) + length('INSERT INTO `orders_copy` VALUES (,WHAT)')) FROM orders WHERE o_orderkey % 17 = 0
+    UNION ALL SELECT 'orders_copy', 'read', count(*), NULL FROM orders""")
+
+
+def zero_values(s, d):
+    """Zero dates, and bits written as characters, in every few orders."""
+    folder = new_folder(s, "dump-text")
+    row = driver_table(s, d, "orders").select(F.concat_ws(
+        "", F.lit("INSERT INTO `v` VALUES ("), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(",'\\0'")).when(F.col("o_orderkey") % 3 == 1, F.lit(",'\x01'")).otherwise(F.lit(",NULL")),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit(",'0000-00-00'")).otherwise(F.concat(F.lit(",'"), F.col("o_orderdate").cast("date").cast("string"), F.lit("'"))),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(",'0000-00-00 00:00:00'")).otherwise(F.concat(F.lit(",'"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("'"))), F.lit(")")).alias("value"))
+    head = s.range(1).select(F.lit("CREATE TABLE `v` (`id` bigint(20), `flag` bit(1), `day` date, `at` datetime)").alias("value"))
+    head.union(row).write.option("lineSep", ";\n").text(folder)
+    return dump.read_dump(s, folder).tables["v"]
+
+
+add("dump_zero_values", zero_values, """
+    SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS flag,
+      CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 5 <> 0 THEN date_trunc('second', o_orderdate) END AS at FROM orders""")
 add("constraint_report", lambda s, d: dictionary.constraint_report(catalog(s, d)["ENTRY_DATA"], ["c_personid", "c_entry_code"], ["c_year", "c_sequence", "c_personid"]),
     with_standins("""SELECT 'key' AS "constraint", 'c_personid,c_entry_code' AS columns,
           (SELECT count(*) FROM (SELECT 1 FROM ENTRY_DATA GROUP BY c_personid, c_entry_code HAVING count(*) > 1)) AS violations
@@ -119,6 +170,12 @@ def graph_export(s, d, which):
     return s.read.csv(f"{folder}/{which}", header=True, nullValue="\x00", emptyValue="")
 
 
+add("graph_export_codes", lambda s, d: graph_export(s, d, "codes"), with_standins(
+    """SELECT DISTINCT CAST(f.c_entry_code AS VARCHAR) AS entry_code, coalesce(c.c_entry_desc_chn, c.c_entry_desc) AS entry_method
+       FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid LEFT JOIN ENTRY_CODES c ON c.c_entry_code = f.c_entry_code WHERE f.c_entry_code IS NOT NULL"""))
+add("graph_export_places", lambda s, d: graph_export(s, d, "places"), with_standins(
+    """SELECT DISTINCT CAST(f.c_entry_addr_id AS VARCHAR) AS entry_address_id, coalesce(a.c_name_chn, a.c_name) AS entry_address
+       FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid LEFT JOIN ADDR_CODES a ON a.c_addr_id = f.c_entry_addr_id WHERE f.c_entry_addr_id IS NOT NULL"""))
 add("graph_export_people", lambda s, d: graph_export(s, d, "people"), with_standins(
     "SELECT DISTINCT CAST(b.c_personid AS VARCHAR) AS person_id, b.c_name AS name FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid"))
 add("graph_export_edges", lambda s, d: graph_export(s, d, "edges"), with_standins(

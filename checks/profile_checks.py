@@ -133,7 +133,7 @@ add("person_detail", lambda s, d: profile.detail(catalog(s, d), field_columns=("
 
 def group(s, d):
     c = catalog(s, d)
-    parts = profile.group_people(c, c["BIOG_INST_DATA"].select("c_personid"), include_status=True, include_office=False,
+    parts = profile.group_people(c, c["BIOG_INST_DATA"].select("c_personid"), include_status=True, include_office=True,
                                  include_entry=True, include_texts=True, include_addresses=True, address_mode=profile.INDEX_ADDRESSES)
     return profile.stacked(parts).groupBy("category", "owner_id").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("sequence", F.lit(0)).cast("bigint")).alias("sequences"))
@@ -145,6 +145,8 @@ add("group_people", group, with_standins("""
       SELECT 'status' AS category, c_personid AS owner_id, coalesce(c_sequence, 0) AS seq FROM STATUS_DATA
       UNION ALL SELECT 'entry', c_personid, coalesce(c_sequence, 0) FROM ENTRY_DATA
       UNION ALL SELECT 'texts', c_personid, 0 FROM BIOG_TEXT_DATA
+      UNION ALL SELECT 'office', f.c_personid, coalesce(f.c_sequence, 0) FROM POSTED_TO_OFFICE_DATA f LEFT JOIN POSTED_TO_ADDR_DATA a
+                ON a.c_posting_id = f.c_posting_id AND a.c_office_id = f.c_office_id AND a.c_personid = f.c_personid
       UNION ALL SELECT 'addresses', a.c_personid, coalesce(a.c_sequence, 0) FROM BIOG_ADDR_DATA a
                 JOIN BIOG_MAIN b ON b.c_personid = a.c_personid AND b.c_index_addr_id = a.c_addr_id)
     WHERE owner_id IN (SELECT p FROM g) GROUP BY 1, 2"""))
@@ -157,6 +159,38 @@ add("zip_by_position",
         attach=["c_alt_name_type_code"], verify=["c_sequence", "c_alt_name_chn"]),
     with_standins("""SELECT c_personid, row_number() OVER (PARTITION BY c_personid ORDER BY c_sequence NULLS FIRST, c_alt_name_chn NULLS FIRST, c_source) AS ordinal,
                      c_sequence, c_alt_name_chn, c_source, c_alt_name_type_code, true AS zip_ok FROM ALTNAME_DATA"""))
+
+
+def zipped(s, d):
+    """The right side lacks some rows, so positions shift and some rows have no partner."""
+    alt = catalog(s, d)["ALTNAME_DATA"]
+    right = alt.where("c_source is null or c_source % 3 <> 0")
+    order = ordering.nulls_first("c_sequence", "c_alt_name_chn", "c_source")
+    return joins.zip_by_position(alt.select("c_personid", "c_sequence", "c_alt_name_chn", "c_source"), right, ["c_personid"], order, order,
+                                 attach=["c_alt_name_type_code"], verify=["c_sequence", "c_alt_name_chn"])
+
+
+add("zip_misaligned", zipped, with_standins("""
+    , l AS (SELECT *, row_number() OVER (PARTITION BY c_personid ORDER BY c_sequence NULLS FIRST, c_alt_name_chn NULLS FIRST, c_source NULLS FIRST) AS o FROM ALTNAME_DATA),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c_personid ORDER BY c_sequence NULLS FIRST, c_alt_name_chn NULLS FIRST, c_source NULLS FIRST) AS o
+          FROM ALTNAME_DATA WHERE c_source IS NULL OR c_source % 3 <> 0)
+    SELECT l.c_personid, l.o AS ordinal, l.c_sequence, l.c_alt_name_chn, l.c_source, r.c_alt_name_type_code,
+      r.o IS NOT NULL AND l.c_sequence IS NOT DISTINCT FROM r.c_sequence AND l.c_alt_name_chn IS NOT DISTINCT FROM r.c_alt_name_chn AS zip_ok
+    FROM l LEFT JOIN r ON l.c_personid = r.c_personid AND l.o = r.o"""))
+
+
+def tied(s, d):
+    """Positions in an order full of ties, by both plans; they must not differ."""
+    rows = catalog(s, d)["STATUS_DATA"].select("c_status_code", "c_firstyear", "c_sequence", "c_personid")
+    order = ordering.nulls_first("c_firstyear")
+    one = ordering.with_ordinal(rows, ["c_status_code"], order).withColumn("plan", F.lit("window"))
+    return one.unionByName(ordering.with_ordinal(rows, ["c_status_code"], order, large=1).withColumn("plan", F.lit("ranges")))
+
+
+add("ordinal_with_ties", tied, with_standins("""
+    SELECT c_status_code, c_firstyear, c_sequence, c_personid, unnest(['window', 'ranges']) AS plan, ordinal FROM (
+      SELECT c_status_code, c_firstyear, c_sequence, c_personid, row_number() OVER (PARTITION BY c_status_code
+        ORDER BY c_firstyear NULLS FIRST, c_sequence NULLS FIRST, c_personid NULLS FIRST) AS ordinal FROM STATUS_DATA)"""))
 add("position_in_order", lambda s, d: ordering.with_position(
         catalog(s, d)["ENTRY_DATA"].select("c_personid", "c_year", "c_sequence"), ordering.nulls_first("c_year", "c_personid", "c_sequence")),
     with_standins("""SELECT c_personid, c_year, c_sequence, row_number() OVER (ORDER BY c_year NULLS FIRST, c_personid, c_sequence NULLS FIRST) AS position

@@ -108,6 +108,38 @@ add("duplicate_keys", lambda s, d: rc.duplicate_keys(frame(s, d, LINES), ["l_ord
     "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 
 
+# keys beyond what a double holds: of two neighbours only one has an equal on the right
+BIG = "SELECT o_orderkey + 9007199254740992 AS id, o_orderstatus AS status FROM {orders}"
+BIG_REAL = "SELECT CAST(o_orderkey + 9007199254740992 AS DOUBLE) AS id, max(o_orderstatus) AS status FROM {orders} GROUP BY 1"
+add("diff_exact_keys", lambda s, d: rc.diff(frame(s, d, BIG), frame(s, d, BIG_REAL), ["id"]).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("keys"), F.min("id").alias("first")),
+    f"""WITH l AS (SELECT CAST(id AS HUGEINT) AS id, status FROM ({BIG.format(**_T)})), r AS (SELECT CAST(id AS HUGEINT) AS id, status FROM ({BIG_REAL.format(**_T)})),
+        j AS (SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'only_left' WHEN l.id IS NULL THEN 'only_right'
+                WHEN l.status IS DISTINCT FROM r.status THEN 'mismatch' ELSE 'match' END AS bucket FROM l FULL OUTER JOIN r ON l.id = r.id)
+        SELECT bucket, count(*) AS keys, min(CAST(id AS VARCHAR)) AS first FROM j GROUP BY 1""")
+TRUTH = "SELECT o_orderstatus = 'O' AS id, count(*) AS n FROM {orders} GROUP BY 1"
+WHOLE = "SELECT CAST(o_orderkey % 3 AS INT) AS id, count(*) AS n FROM {orders} GROUP BY 1"
+add("diff_truth_keys", lambda s, d: shown(rc.diff(frame(s, d, TRUTH), frame(s, d, WHOLE), ["id"]), "id"),
+    f"""SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'only_left' WHEN l.id IS NULL THEN 'only_right' WHEN l.n <> r.n THEN 'mismatch' ELSE 'match' END AS bucket,
+          CASE WHEN l.n <> r.n THEN 'n:' || l.n || '>' || r.n ELSE '' END AS differing
+        FROM (SELECT CAST(id AS INT) AS id, n FROM ({TRUTH.format(**_T)})) l FULL OUTER JOIN ({WHOLE.format(**_T)}) r ON l.id = r.id""")
+
+
+def ordered_with_ties(s, d):
+    """One row of each status is edited; the order says nothing within a status, and the key is of another type."""
+    left = driver_table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    last = left.groupBy("o_orderstatus").agg(F.max("o_orderkey").alias("last"))
+    right = (left.join(last, "o_orderstatus").withColumn("o_orderkey", F.when(F.col("o_orderkey") == F.col("last"), -1).otherwise(F.col("o_orderkey")).cast("double"))
+             .select("o_orderkey", "o_orderstatus"))
+    return rc.diff_stats(rc.ordered_diff(left, right, ["o_orderstatus"]))
+
+
+add("ordered_diff_ties", ordered_with_ties, """
+    WITH e AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS edits FROM orders)
+    SELECT n AS rows_left, n AS rows_right, n - edits AS rows_matching, CAST(0 AS BIGINT) AS rows_only_left, CAST(0 AS BIGINT) AS rows_only_right,
+      edits AS rows_mismatch, edits = 0 AS matches FROM e""")
+
+
 def ordered(s, d):
     left, right = sides(s, d)
     return shown(rc.ordered_diff(left.select("id", "status"), right.select("id", "status"), ["id"]), "position")
@@ -253,35 +285,79 @@ add("report_dashboard", dashboards, f"""{BOTH},
     SELECT q AS query_id, CASE WHEN matches THEN 'PASS' ELSE 'FAIL' END AS verdict, rows_left, rows_right, rows_matching, rows_only_left,
       rows_only_right, rows_mismatch, CASE q WHEN 'copy' THEN '0123456789ab' ELSE '(none)' END AS source FROM x""")
 
-FINGERPRINTED = {"region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-                 "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "documents": ["doc_id", "text", "lang"]}
+
+
+def stored_rows(s, d):
+    """A report that keeps every row with both sides, in key order."""
+    folder = new_folder(s, "reports")
+    report.write_report(main_diff(s, d, with_rows=True), folder, "whole", keys=["id", "part"], every_row=True)
+    return s.read.parquet(f"{folder}/whole/rows").select(
+        "id", "part", "bucket", F.col("left_row.status").alias("left_status"), F.col("right_row.status").alias("right_status"))
+
+
+add("report_rows", stored_rows, f"{BOTH} SELECT id, part, bucket, ls AS left_status, rs AS right_status FROM v")
+
+# all columns; reals as whole hundredths and times as epoch seconds, so that both engines write them alike
+PRINTED = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "CAST(round(c_acctbal * 100) AS BIGINT)", "c_mktsegment"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "CAST(round(o_totalprice * 100) AS BIGINT)", "CAST({epoch}(o_orderdate) AS BIGINT)", "o_orderpriority"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+}
 
 
 def prints(s, d):
     out = None
-    for t, columns in FINGERPRINTED.items():
-        one = tables.fingerprint(driver_table(s, d, t).select(*columns), "md5").withColumn("table", F.lit(t))
+    for t, columns in PRINTED.items():
+        frame_ = driver_table(s, d, t).selectExpr(*[f"{c.format(epoch='unix_seconds')} AS c{i}" if "epoch" not in c
+                                                    else f"unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS c{i}" for i, c in enumerate(columns)])
+        one = tables.fingerprint(frame_, "md5").withColumn("table", F.lit(t))
         out = one if out is None else out.unionByName(one)
     return out.select("table", "rows", F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
 
 
-_H = "CAST(('0x' || substr(md5(concat_ws(chr(31), {})), 1, 15)) AS BIGINT)"
-add("table_fingerprint", prints, " UNION ALL ".join(
+_text = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || '=' || CAST({c} AS VARCHAR), '~')"
+_prints = " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", count(*) AS rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT
-        {_H.format(', '.join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in cols))} AS h FROM {t})""" for t, cols in FINGERPRINTED.items()))
+        CAST(('0x' || substr(md5({' || '.join(_text(c.format(epoch='epoch')) for c in cols)}), 1, 15)) AS BIGINT) AS h FROM {t})""" for t, cols in PRINTED.items())
+add("table_fingerprint", prints, _prints)
+
+
+def file_hash_totals(s, d):
+    """Documents staged as text files, one per line: what the hashes of the files say in sum."""
+    folder = new_folder(s, "staged")
+    driver_table(s, d, "documents").select(F.translate("text", "\r\n", "  ")).write.text(folder)
+    return tables.file_hashes(s, folder).agg(F.sum("lines").alias("lines"), F.sum("length").alias("bytes"))
+
+
+add("file_hash_totals", file_hash_totals, "SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
 
 
 def provenance(s, d):
-    """Products are the driver's tables, their source the fingerprint of each table."""
-    p = prints(s, d).select(F.col("table").alias("product"), F.col("hash_xor").cast("string").alias("source_sha"), F.concat(F.lit("/"), "table").alias("path"),
-                            F.lit("1").alias("builder_version"), "rows")
-    wanted = p.select("product", F.when(F.col("product") == "orders", "other").otherwise(F.col("source_sha")).alias("source_sha"), "path",
-                      F.when(F.col("product") == "region", "2").otherwise(F.col("builder_version")).alias("builder_version"),
-                      F.col("rows").alias("file_bytes"))
-    return tables.reusable(p, wanted).select("product", "path")
+    """Builds of all printed tables are recorded with their fingerprints; one is rebuilt, one never ends."""
+    folder, found = new_folder(s, "provenance"), prints(s, d).collect()
+    for r in found:
+        stats = s.createDataFrame([(1, r["rows"], [])], "tables_created bigint, rows_inserted bigint, tables_skipped array<string>")
+        tables.record_build(s, folder, r["table"], str(r["hash_xor"]), f"/{r['table']}", "1")
+        if r["table"] != "nation":
+            tables.record_build(s, folder, r["table"], str(r["hash_xor"]), f"/{r['table']}", "1", stats)
+    known = tables.read_provenance(s, folder)
+    return known, known.select("product", F.when(F.col("product") == "orders", "other").otherwise(F.col("source_sha")).alias("source_sha"), "path",
+                               F.when(F.col("product") == "region", "2").otherwise(F.col("builder_version")).alias("builder_version"), F.lit(1).alias("file_bytes"))
+
+
+add("provenance_rows", lambda s, d: provenance(s, d)[0].select("product", "source_sha", "rows", "started"),
+    f"""SELECT "table" AS product, CAST(hash_xor AS VARCHAR) AS source_sha, CASE WHEN "table" <> 'nation' THEN rows END AS rows, "table" = 'nation' AS started FROM ({_prints})""")
+
+
+def reuse(s, d):
+    known, wanted = provenance(s, d)
+    return tables.reusable(known, wanted).select("product", "source_sha")
 
 
-add("provenance_reuse", provenance, "SELECT unnest(['customer', 'documents']) AS product, unnest(['/customer', '/documents']) AS path")
+add("provenance_reuse", reuse,
+    f"""SELECT "table" AS product, CAST(hash_xor AS VARCHAR) AS source_sha FROM ({_prints}) WHERE "table" NOT IN ('orders', 'region', 'nation')""")
 
 
 def same_source(s, d):
@@ -290,7 +366,8 @@ def same_source(s, d):
         tables.same_source(p, "orders", "orders", {"orders": "/orders"}))
 
 
-add("same_source_gate", same_source, """SELECT false AS same_source, false AS paths_ok, false AS allowed UNION ALL SELECT true, true, true""")
+add("same_source_gate", same_source, f"""WITH p AS ({_prints}), o AS (SELECT hash_xor AS h FROM p WHERE "table" = 'orders'), c AS (SELECT hash_xor AS h FROM p WHERE "table" = 'customer')
+    SELECT o.h = c.h AS same_source, false AS paths_ok, false AS allowed FROM o, c UNION ALL SELECT o.h = o.h, true, o.h = o.h FROM o""")
 
 
 def database_health(s, d):

@@ -6,21 +6,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from prosopo.functions.exprs import short_hash, short_timestamp
-from prosopo.operators.reconcile import BUCKETS
+from prosopo.operators.reconcile import BUCKETS, in_key_order
+from prosopo.session import cut_lineage
 
 COUNTERS = ("rows_left", "rows_right", "rows_matching", "rows_only_left", "rows_only_right", "rows_mismatch")
 
 
-def write_report(result: DataFrame, folder: str, query_id: str, request: str = "{}", source_sha: str | None = None) -> DataFrame:
-    """Store a diff under ``folder/<query_id>``: ``rows`` (all that do not match, Parquet) and
-    ``stats`` (one JSON line). Both are overwritten; anything else in the folder,
+def write_report(result: DataFrame, folder: str, query_id: str, request: str = "{}", source_sha: str | None = None,
+                 keys: Sequence[str] = (), every_row: bool = False) -> DataFrame:
+    """Store a diff under ``folder/<query_id>``: ``rows`` (Parquet: all that do not match, or with
+    ``every_row`` all; a diff made ``with_rows`` brings both sides' rows along) and ``stats`` (one JSON line).
+    With ``keys`` the rows are in report order, by the text of the key. Both are overwritten; anything else in the folder,
     such as an analyst's notes, is left alone. The diff is computed once: its counters
     are taken from the rows on their way to the file.
     """
     spark = result.sparkSession
     seen = Observation()
-    (result.observe(seen, *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
-     .where("bucket <> 'match'").write.mode("overwrite").parquet(f"{folder}/{query_id}/rows"))
+    stored = result.observe(seen, *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
+    if not every_row:
+        stored = stored.where("bucket <> 'match'")
+    ((in_key_order(cut_lineage(stored, "report"), keys) if keys else stored).write.mode("overwrite").parquet(f"{folder}/{query_id}/rows"))
     n = seen.get
     both = n["match"] + n["mismatch"]
     counters = (both + n["only_left"], both + n["only_right"], n["match"], n["only_left"], n["only_right"], n["mismatch"])

@@ -1,8 +1,9 @@
 """Database dump text to typed tables.
 
-A dump is read as one statement per record (``;`` + newline ends a statement, and
+A dump is read as one statement per record (``;`` + line end ends a statement, and
 inside strings newlines are escaped), so a file splits into tasks wherever Spark
-cuts it. Tokenising is done by built-in regular-expression functions; the patterns
+cuts it. The line end is that of the dump's first line. A ``.gz`` file cannot be split:
+it is one task, and its codec tells whether it is whole. A tar archive is refused; unpack it first. Tokenising is done by built-in regular-expression functions; the patterns
 are possessive, so long statements neither backtrack nor recurse.
 
 Nothing is dropped silently: whatever does not fit becomes a rejected row with a
@@ -22,9 +23,14 @@ from prosopo.sources.types import table_schema
 STRING = r"'(?:[^'\\]++|\\.)*+'"
 BARE = r"(?:NULL|null|[+-]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?)?"
 NOISE = r"(?s)^(?:\s++|--[^\n]*+(?:\n|$)|/\*.*?\*/)*+"
-CREATE = r"(?i)^CREATE\s+TABLE\s+`([^`]+)`\s*\("
-INSERT = r"(?i)^INSERT\s+INTO\s+`([^`]+)`\s+VALUES\s*"
-COLUMN = r"(?m)(?:^|,)\s*`([^`]+)`\s+([A-Za-z][A-Za-z0-9_]*(?:\([^)]*\))?(?:\s+unsigned)?)"
+# a quoted name holds anything, a backquote doubled; heads are a keyword phrase and such a name
+NAME = r"`((?:[^`]|``)++)`"
+CREATE = rf"(?is)^CREATE\b(?:\s++TEMPORARY)?+\s++TABLE\b(?:\s++IF\s++NOT\s++EXISTS)?+\s*+{NAME}\s*+\("
+INSERT = rf"(?is)^INSERT\b\s*+INTO\b\s*+{NAME}\s*+VALUES\b\s*+"
+# the block of a CREATE is a comma list of entries; nested brackets, texts and names are each one piece
+ENTRY = rf"(?s)(?:{STRING}|`[^`]*+`|\((?:{STRING}|[^()'])*+\)|[^,()'`])++"
+# an entry that begins with a name is a column: the name, a type word, its arguments, its sign
+COLUMN = rf"(?is)^\s*+{NAME}\s++([a-z]\w*+(?:\s*+\([^)]*+\))?+(?:\s++unsigned\b)?+)"
 VALUE = rf"(?s)(?:{STRING}|{BARE})"
 TUPLE = rf"(?s)\(\s*+{VALUE[4:]}\s*+(?:,\s*+{VALUE[4:]}\s*+)*+\)"
 ITEM = rf"(?s)[(,]\s*+({VALUE[4:]})"
@@ -70,6 +76,25 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length")
 
 
+def _name(statement: str, head: str) -> Column:
+    return F.replace(F.regexp_extract(statement, head, 1), F.lit("``"), F.lit("`"))
+
+
+def _entries(create: str) -> Column:
+    """The column entries of a CREATE statement, in order."""
+    found = F.regexp_extract_all(F.regexp_replace(create, CREATE, ""), F.lit(ENTRY), F.lit(0))
+    return F.filter(found, lambda e: F.regexp_like(e, F.lit(COLUMN)))
+
+
+def separator(spark: SparkSession, path: str | Sequence[str]) -> str:
+    """What ends a statement: ``;`` and the line end of the first line."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if any(p.lower().endswith((".tar", ".tar.gz", ".tgz", ".zip", ".7z")) for p in paths):
+        raise DumpError(f"{paths}: an archive; unpack it and give its .sql file")
+    first = spark.read.text(paths, lineSep="\n").limit(1).collect()
+    return ";\r\n" if first and first[0]["value"].endswith("\r") else ";\n"
+
+
 def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per statement: file, file_size, at (place in the file), bytes, closed, kind, table,
     body, tuples (of an INSERT), left_over (what is neither tuple nor separator), reason.
@@ -77,15 +102,16 @@ def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     ``bytes`` is set once per record (record plus separator), so that the bytes of a
     file add up to its size exactly if its last record is closed.
     """
-    raw = (spark.read.text(path, lineSep=";\n")
+    end = separator(spark, path)
+    raw = (spark.read.text(path, lineSep=end)
            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record")))
     stripped = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
     raw = (raw.withColumn("closed", F.endswith(stripped, F.lit(";")))
            .withColumn("text", F.when(F.col("closed"), F.substring(stripped, F.lit(1), F.length(stripped) - 1)).otherwise(F.col("value")))
-           .withColumn("valid", F.is_valid_utf8("value")).withColumn("bytes", (F.octet_length("value") + 2).cast("bigint")))
+           .withColumn("valid", F.is_valid_utf8("value")).withColumn("bytes", (F.octet_length("value") + len(end)).cast("bigint")))
     # the usual record is one INSERT whose tuples, joined by commas, are all of it: one regular expression
-    head = F.when(F.startswith("text", F.lit("INSERT INTO `")), F.regexp_extract(F.substring("text", 1, 1000), INSERT, 0))
+    head = F.when(F.startswith("text", F.lit("INSERT INTO `")), F.regexp_extract("text", INSERT, 0))
     raw = raw.withColumn("head", head)
     raw = raw.withColumn("tail", F.when(F.col("head") != "", F.substring(F.col("text"), F.length("head") + 1, F.length("text"))))
     raw = raw.withColumn("tuples", F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)))
@@ -109,10 +135,10 @@ def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     reason = (F.when(~F.col("valid"), "not valid UTF-8")
               .when((F.col("kind") == "other") & (F.upper(F.substring("body", 1, 6)) == "INSERT"), "unknown INSERT form")
               .when((F.col("kind") == "other") & F.startswith("body", F.lit("/*")), "unterminated comment")
-              .when((F.col("kind") == "create") & ~F.regexp_like(F.regexp_replace("body", CREATE, ""), F.lit(COLUMN)), "no columns")
+              .when((F.col("kind") == "create") & (F.size(_entries("body")) == 0), "no columns")
               .when((F.col("left_over") != "") | ((F.col("kind") == "insert") & (F.size("tuples") == 0)), "not a list of VALUES tuples"))
-    table = F.when(F.col("kind") == "create", F.regexp_extract("body", CREATE, 1)).when(
-        F.col("kind") == "insert", F.regexp_extract("body", INSERT, 1))
+    table = F.when(F.col("kind") == "create", _name("body", CREATE)).when(
+        F.col("kind") == "insert", _name("body", INSERT))
     return part.select("file", "file_size", F.struct("block", "record", "part").alias("at"),
                        F.when(F.col("part") == 0, F.col("bytes")).alias("bytes"), "closed", "kind",
                        F.coalesce(table, F.lit("?")).alias("table"), "body", "tuples", "left_over", reason.alias("reason"))
@@ -121,12 +147,12 @@ def _statements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def tokenise(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """All statements and INSERT tuples of the dump in one pass over the text.
 
-    ``role`` "statement" rows describe a statement (``item``: the CREATE text, what was
-    left over, or the last 200 characters); ``role`` "row" rows are tuples cut into literals,
+    ``role`` "statement" rows describe a statement (``item``: the whole text of a CREATE and of what
+    is rejected, else the last 200 characters); ``role`` "row" rows are tuples cut into literals,
     which are decoded when their table is read. ``reason`` marks what must not pass.
     """
     s = _statements(spark, path)
-    info = (F.when(F.col("kind") == "create", F.col("body")).when(F.col("left_over") != "", F.substring("left_over", 1, 200))
+    info = (F.when((F.col("kind") == "create") | F.col("reason").isNotNull(), F.col("body"))
             .otherwise(F.substring("body", -200, 200)))
     s = s.select("file", "file_size", "at", "bytes", "closed", "kind", "table", "reason",
                  F.posexplode(F.concat(F.array(info), "tuples")).alias("pos", "item"))
@@ -147,17 +173,15 @@ def unfinished_files(statements: DataFrame) -> DataFrame:
     """
     last = F.max(F.struct("at", "kind", "closed", "item"))
     per_file = statements.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("file_size").alias("size"), last.alias("last"))
-    return (per_file.where((F.col("bytes") != F.col("size")) & (F.col("last.kind") != "blank") & ~F.col("last.closed"))
+    packed = F.endswith(F.lower("file"), F.lit(".gz"))       # its size is not that of the text; its codec notices a cut
+    return (per_file.where(~packed & (F.col("bytes") != F.col("size")) & (F.col("last.kind") != "blank") & ~F.col("last.closed"))
             .select("file", F.col("last.item").alias("tail")))
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
     """(table, position, column, mysql_type) from the CREATE TABLE statements."""
-    inside = F.regexp_replace("item", CREATE, "")
-    pairs = F.arrays_zip(F.regexp_extract_all(inside, F.lit(COLUMN), F.lit(1)).alias("column"),
-                         F.regexp_extract_all(inside, F.lit(COLUMN), F.lit(2)).alias("mysql_type"))
-    return (statements.where("kind = 'create'").select("table", F.posexplode(pairs).alias("position", "c"))
-            .select("table", "position", F.col("c.column").alias("column"), F.col("c.mysql_type").alias("mysql_type")))
+    return (statements.where("kind = 'create'").select("table", F.posexplode(_entries("item")).alias("position", "entry"))
+            .select("table", "position", _name("entry", COLUMN).alias("column"), F.regexp_extract("entry", COLUMN, 2).alias("mysql_type")))
 
 
 def decode_literal(token: Column) -> Column:
@@ -185,7 +209,7 @@ def normalise(value: Column, zero_dates: bool = True) -> Column:
 class Dump:
     tables: Catalog
     columns: DataFrame      # table, position, column, mysql_type
-    rejected: DataFrame     # table, file, at, row_no, reason, sample
+    rejected: DataFrame     # table, file, at, row_no, reason, sample (the whole row or statement)
     skipped: tuple[str, ...]
     literals: dict[str, tuple[DataFrame, list[tuple[str, str]]]]   # per table: cut but undecoded rows, columns
 
@@ -246,11 +270,11 @@ def read_dump(spark: SparkSession, path: str | Sequence[str], on_reject: str = "
               .when((F.col("role") == "row") & (F.size("tokens") != width), "number of values differs from the columns"))
     rejected = (staged.where(wanted).withColumn("reason", reason).where("reason is not null").select(
         "table", "file", "at", "row_no", "reason",
-        F.substring(F.coalesce("item", F.array_join("tokens", ",", "NULL")), 1, 200).alias("sample")))
+        F.coalesce("item", F.array_join("tokens", ",", "NULL")).alias("sample")))
     if on_reject == "error":
         bad = rejected.take(1)
         if bad:
-            raise DumpError(f"{bad[0]['table']}: {bad[0]['reason']}: {bad[0]['sample']!r}")
+            raise DumpError(f"{bad[0]['table']}: {bad[0]['reason']}: {bad[0]['sample'][:200]!r}")
     if not by_table:
         raise DumpError("the dump declares no tables")
     good = {t: rows.where((F.col("table") == t) & (F.size("tokens") == len(c))) for t, c in by_table.items()}

@@ -5,6 +5,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prosopo.catalog import Catalog
+
 FETCH_ROWS = 10_000  # fixed value: rows per fetch
 
 
@@ -36,5 +38,15 @@ def list_columns(spark: SparkSession, url: str, schema: str, hidden: Sequence[st
 
 
 def read_table(spark: SparkSession, url: str, table: str, split: tuple[str, int, int, int] | None = None,
-               properties: Mapping[str, str] | None = None) -> DataFrame:
+               properties: Mapping[str, str] | None = None, one_task: bool = False) -> DataFrame:
+    """A table, read by the tasks of ``split``. Without a split one task would read it all, which has to be said: ``one_task``."""
+    if split is None and not one_task:
+        raise ValueError(f"{table}: give a split (column, lower, upper, tasks), or one_task=True for a small table")
     return spark.read.format("jdbc").options(**table_options(url, table, split, properties)).load()
+
+
+def read_catalog(spark: SparkSession, url: str, schema: str, splits: Mapping[str, tuple[str, int, int, int]] = {}, small: Sequence[str] = (),
+                 hidden: Sequence[str] = (), properties: Mapping[str, str] | None = None) -> Catalog:
+    """All base tables of a schema as they are typed there; each needs a split or a place in ``small``."""
+    names = [r["table"] for r in list_columns(spark, url, schema, hidden, properties).select("table").distinct().collect()]    # one row per table
+    return Catalog({t: read_table(spark, url, t, splits.get(t), properties, one_task=t in small) for t in sorted(names)})

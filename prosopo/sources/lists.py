@@ -5,6 +5,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prosopo.session import cut_lineage
+
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
     """Codes from a tab-separated list (first field; other lines are an error)."""
@@ -32,9 +34,11 @@ def graph_tables(rows: DataFrame, person: Sequence[str], code: Sequence[str], pl
                  edge: Sequence[str]) -> dict[str, DataFrame]:
     """A query result as people, codes, places (nodes, one row each) and person-code edges.
 
-    Nodes are distinct over their own columns, so a person with many facts is reduced
-    on the map side.
+    The result is written once and the four tables read from it. Nodes are distinct over their
+    own columns, so a person with many facts is reduced on the map side.
     """
+    rows = cut_lineage(rows.select(*dict.fromkeys([*person, *code, *place, *edge])), "graph-rows")
+
     def nodes(columns: Sequence[str]) -> DataFrame:
         return rows.select(*columns).where(F.col(columns[0]).isNotNull()).distinct()
     return {"people": nodes(person), "codes": nodes(code), "places": nodes(place), "edges": rows.select(*edge)}

@@ -26,20 +26,22 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, skipped: Sequence
 
 
 def _as_text(c: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+    """The value with its length before it, so that no value can look like a column's border."""
+    v = F.col(c).cast("string")
+    return F.coalesce(F.concat(F.length(v).cast("string"), F.lit("="), v), F.lit("~"))
 
 
 def fingerprint(df: DataFrame, digest: str = "xxhash64") -> DataFrame:
     """(rows, hash_sum, hash_xor): equal for equal row multisets in any order.
 
     ``xxhash64`` is the fast choice; ``md5`` gives values any other engine can recompute
-    (first 60 bits of the MD5 of the columns, each ``=value`` or ``~`` for NULL, joined by U+001F).
+    (first 60 bits of the MD5 of the columns, each ``length=value`` or ``~`` for NULL).
     """
     if digest == "xxhash64":
         # xxhash64 skips NULLs, so their places are hashed too
         h = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
     elif digest == "md5":
-        h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[_as_text(c) for c in df.columns])), 1, 15), 16, 10).cast("bigint")
+        h = F.conv(F.substring(F.md5(F.concat(*[_as_text(c) for c in df.columns])), 1, 15), 16, 10).cast("bigint")
     else:
         raise ValueError("digest must be 'xxhash64' or 'md5'")
     return df.select(h.alias("h")).agg(
@@ -48,8 +50,31 @@ def fingerprint(df: DataFrame, digest: str = "xxhash64") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of staged files, one task per file; never cached."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, lines, hash_sum, hash_xor) of staged text or binary files; never cached.
+
+    Files are read line by line and split like any text, so none is held whole; the lines' hashes
+    are combined without order. ``length`` is the file's own.
+    """
+    h = F.xxhash64(F.col("value").cast("binary"))
+    return (spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), h.alias("h"))
+            .groupBy("path", "length").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor")))
+
+
+def record_build(spark: SparkSession, folder: str, product: str, source_sha: str, path: str, builder_version: str, stats: DataFrame | None = None) -> None:
+    """Appends a provenance row: without ``stats`` that the build of a product has started, with them that it is done."""
+    row = spark.createDataFrame([(product, source_sha, path, builder_version)], "product string, source_sha string, path string, builder_version string")
+    counts = ([F.lit(None).cast("bigint").alias("tables"), F.lit(None).cast("bigint").alias("rows")] if stats is None
+              else [F.col("tables_created").alias("tables"), F.col("rows_inserted").alias("rows")])
+    rows = row if stats is None else row.join(stats.select("tables_created", "rows_inserted").limit(1), how="cross")    # one row by one row
+    (rows.select("product", "source_sha", "path", "builder_version", *counts, F.current_timestamp().alias("built_at"), F.lit(stats is None).alias("started"))
+     .write.mode("append").parquet(folder))
+
+
+def read_provenance(spark: SparkSession, folder: str) -> DataFrame:
+    """The last row of each product; ``started`` is true where its last build did not end."""
+    rows = spark.read.schema(PROVENANCE).parquet(folder)
+    last = rows.groupBy("product").agg(F.max_by(F.struct(*rows.columns), F.struct("built_at", ~F.col("started"))).alias("r"))
+    return last.select("r.*")
 
 
 def reusable(provenance: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -60,6 +85,8 @@ def reusable(provenance: DataFrame, wanted: DataFrame) -> DataFrame:
     its file is there and not empty.
     """
     keys = ["product", "source_sha", "path", "builder_version"]
+    if "started" in provenance.columns:
+        provenance = provenance.where(~F.col("started"))
     return wanted.where(F.coalesce(F.col("file_bytes"), F.lit(0)) > 0).join(
         provenance.select(*keys).distinct(), keys, "left_semi")
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -20,15 +21,16 @@ def read(spark, tmp_path):
 
 
 def test_rows_and_types(read):
-    got = read(CREATE + "INSERT INTO `t` VALUES (1,'hello',NULL),(-2,'',1.5e-7),\n(3,'中華',1.0E+10);\n").tables["t"]
+    got = read(CREATE + "INSERT INTO `t` VALUES (40,'river',NULL),(-7,'',2.5e-3),\n(41,'ελιά',6.0E+2);\n").tables["t"]
     assert got.dtypes == [("id", "int"), ("name", "string"), ("score", "double")]
-    assert rows(got) == [(-2, "", 1.5e-7), (1, "hello", None), (3, "中華", 1e10)]
+    assert rows(got) == [(-7, "", 2.5e-3), (40, "river", None), (41, "ελιά", 600.0)]
 
 
-def test_escapes(read):
-    text = r"INSERT INTO `t` VALUES (1,'O\'Hara\nNext\tTab\\back\0',1),(2,'\\\\n \\n \q \" \Z\b\r',NULL),(3,'\\\'',0);" + "\n"
-    got = {r["id"]: r["name"] for r in read(CREATE + text).tables["t"].collect()}
-    assert got == {1: "O'Hara\nNext\tTab\\back\x00", 2: "\\\\n \\n q \" \x1a\x08\r", 3: "\\'"}
+@pytest.mark.parametrize("written,meant", [
+    (r"it\'s", "it's"), (r"a\nb\rc\td", "a\nb\rc\td"), (r"\0end\Z\b", "\x00end\x1a\x08"), (r"c:\\new\\table", r"c:\new\table"),
+    (r"\\\\n", r"\\n"), (r"\w\%\_", "w%_"), (r"\\\'", r"\'"), ('say \\"so\\"', 'say "so"')])
+def test_escapes(read, written, meant):
+    assert read(CREATE + f"INSERT INTO `t` VALUES (9,'{written}',0);\n").tables["t"].first()["name"] == meant
 
 
 def test_long_texts_with_many_escapes(read):
@@ -37,10 +39,38 @@ def test_long_texts_with_many_escapes(read):
     assert got["name"] == "\n'" * 200_000
 
 
-def test_structure_characters_inside_strings(read):
-    got = read(CREATE + "INSERT INTO `t` VALUES (1,'a; b',1),(2,'(paren), ''',2);\n".replace("''", "\\'") +
-               "INSERT INTO `t` VALUES (3,'end);',0);\n").tables["t"]
-    assert [r["name"] for r in got.orderBy("id").collect()] == ["a; b", "(paren), '", "end);"]
+@pytest.mark.parametrize("text", [";", ");", "x; INSERT INTO y", "1),(2", "`q`", "-- no comment", "/* nor this */", "(((", ",,,"])
+def test_structure_characters_inside_strings(read, text):
+    got = read(CREATE + f"INSERT INTO `t` VALUES (1,'{text}',1),(2,'{text}{text}',NULL);\nINSERT INTO `t` VALUES (3,'{text}',2);\n").tables["t"]
+    assert [r["name"] for r in got.orderBy("id").collect()] == [text, text * 2, text]
+
+
+def test_names_with_backquotes_and_odd_columns(read):
+    text = ("CREATE TABLE IF NOT EXISTS `odd``name` (`a,b` int(11) COMMENT 'x, `y` z', `c``d` decimal(8, 2) unsigned, `e` enum('(','`',','),\n KEY `k` (`a,b`,`e`), CHECK (`a,b` > (0)));\n"
+            "INSERT INTO `odd``name` VALUES (1,2.50,'(');\n")
+    got = read(text).tables["odd`name"]
+    assert got.dtypes == [("a,b", "int"), ("c`d", "decimal(8,2)"), ("e", "string")] and [tuple(map(str, r)) for r in got.collect()] == [("1", "2.50", "(")]
+
+
+def test_other_line_ends(spark, read):
+    text = CREATE.replace("\n", "\r\n") + "".join(f"INSERT INTO `t` VALUES ({i},'a\\r\\nb',{i});\r\n" for i in range(50))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = read(text).tables["t"]
+        assert got.count() == 50 and got.select("name").distinct().first()[0] == "a\r\nb"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_packed_files(spark, tmp_path):
+    data = (CREATE + "INSERT INTO `t` VALUES (1,'a',2),(2,'b',3);\n").encode()
+    (tmp_path / "d.sql.gz").write_bytes(gzip.compress(data))
+    assert dump.read_dump(spark, str(tmp_path / "d.sql.gz")).tables["t"].count() == 2
+    (tmp_path / "e.sql.gz").write_bytes(gzip.compress(data)[:-12])
+    with pytest.raises(Exception):
+        dump.read_dump(spark, str(tmp_path / "e.sql.gz"))
+    with pytest.raises(dump.DumpError, match="unpack"):
+        dump.read_dump(spark, "/in/data_20250101.tar.gz")
 
 
 def test_comments_bookkeeping_and_interleaving(read):
@@ -60,8 +90,9 @@ def test_several_statements_on_one_line(read):
 @pytest.mark.parametrize("text,match", [
     (CREATE + "INSERT IGNORE INTO `t` VALUES (1,'a',1);\n", "unknown INSERT form"),
     (CREATE + "INSERT INTO `t` (id) VALUES (1);\n", "unknown INSERT form"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a',2) BAD;\n", "not a list"),
-    (CREATE + "INSERT INTO `t` VALUES (1,'a',NOTAVALUE);\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (5,'z',8) ON DUPLICATE KEY UPDATE `id` = 5;\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (5,'z',now());\n", "not a list"),
+    (CREATE + "INSERT INTO `t` VALUES (5,x'7a',8);\n", "not a list"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a';\n", "not a list"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a);\n", "not a list|truncated"),
     (CREATE + "INSERT INTO `t` VALUES (1,'a');\n", "number of values"),
@@ -80,10 +111,12 @@ def test_nothing_is_dropped_silently(read, text, match):
 
 
 def test_rejects_can_be_kept(read):
-    got = read(CREATE + "INSERT INTO `t` VALUES (1,'a',2),(2,'b',BAD),(3,'c'),('x','d',1);\n", on_reject="keep")
+    long = "w" * 300
+    got = read(CREATE + f"INSERT INTO `t` VALUES (8,'k',2),(9,'l',today),(10,'{long}'),('no','m',1);\nINSERT INTO `gone` VALUES ('{long}');\n", on_reject="keep")
     assert rows(got.rejected.select("table", "row_no", "reason")) == [
-        ("t", -1, "not a list of VALUES tuples"), ("t", 1, "number of values differs from the columns")]
-    assert rows(got.tables["t"]) == [(None, "d", 1.0), (1, "a", 2.0)]
+        ("gone", 0, "row of an undeclared table"), ("t", -1, "not a list of VALUES tuples"), ("t", 1, "number of values differs from the columns")]
+    assert all(long in r["sample"] for r in got.rejected.collect())       # rejected items are kept whole
+    assert rows(got.tables["t"]) == [(None, "m", 1.0), (8, "k", 2.0)]
     assert rows(got.bad_casts()) == [("t", "id", 1)]
 
 
@@ -176,8 +209,27 @@ def test_build_and_fingerprints(spark, tmp_path):
         assert one != tables.fingerprint(a.fillna("x"), digest).first()
         moved = spark.createDataFrame([(None, "q")], "i string, s string"), spark.createDataFrame([("q", None)], "i string, s string")
         assert tables.fingerprint(moved[0], digest).first() != tables.fingerprint(moved[1], digest).first()
-    hashes = tables.file_hashes(spark, f"{tmp_path}/a").collect()
-    assert all(len(h["sha256"]) == 64 and h["length"] > 0 for h in hashes)
+    one, two = (spark.createDataFrame([("ab", "c"), ("a", "bc")][i:i + 1], "i string, s string") for i in (0, 1))
+    assert tables.fingerprint(one, "md5").first() != tables.fingerprint(two, "md5").first()
+    border = spark.createDataFrame([("x\x1f1=y", None)], "i string, s string"), spark.createDataFrame([("x", "y")], "i string, s string")
+    assert tables.fingerprint(border[0], "md5").first() != tables.fingerprint(border[1], "md5").first()
+
+
+def test_file_hashes(spark, tmp_path):
+    for name, data in (("a", b"one\ntwo\n"), ("b", b"two\none\n"), ("c", b"one\ntwa\n"), ("d", b"\xff\x00\nend")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"][-1]: (r["length"], r["lines"], r["hash_sum"], r["hash_xor"]) for r in tables.file_hashes(spark, str(tmp_path)).collect()}
+    assert got["a"] == got["b"] != got["c"] and got["d"][:2] == (6, 2)
+
+
+def test_recorded_builds(spark, tmp_path):
+    stats = spark.createDataFrame([(3, 40, ["z"])], "tables_created bigint, rows_inserted bigint, tables_skipped array<string>")
+    for product, done in (("a", None), ("a", stats), ("b", None), ("c", None), ("c", stats), ("c", None)):
+        tables.record_build(spark, str(tmp_path), product, "s1", f"/{product}", "1", done)
+    known = tables.read_provenance(spark, str(tmp_path))
+    assert rows(known.select("product", "tables", "rows", "started")) == [("a", 3, 40, False), ("b", None, None, True), ("c", None, None, True)]
+    want = known.select("product", "source_sha", "path", "builder_version", F.lit(1).alias("file_bytes"))
+    assert rows(tables.reusable(known, want).select("product")) == [("a",)]
 
 
 def test_provenance(spark):
@@ -196,6 +248,8 @@ def test_jdbc_options():
     o = jdbc.table_options("jdbc:mysql://h/db", "BIOG_MAIN", ("c_personid", 1, 600000, 64), {"user": "u"})
     assert o == {"url": "jdbc:mysql://h/db", "dbtable": "BIOG_MAIN", "fetchsize": "10000", "user": "u", "partitionColumn": "c_personid",
                  "lowerBound": "1", "upperBound": "600000", "numPartitions": "64"}
+    with pytest.raises(ValueError, match="split"):
+        jdbc.read_table(None, "jdbc:mysql://h/db", "BIOG_MAIN")
     assert "BASE TABLE" in jdbc.listing_query("db") and "'d''b'" in jdbc.listing_query("d'b")
 
 
