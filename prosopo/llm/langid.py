@@ -30,7 +30,7 @@ TRAIN_DOCS = 600        #: documents per language the models are counted on, at
 CALIBRATION_DOCS = 400  #: further documents per language the rejection is calibrated on, at most
 SLICE = 400_000         #: characters scored at once
 LENGTHS = (0, 40, 200, 1000)   #: rejection is calibrated apart for these least lengths
-MARGIN = 0.5            #: nats a character above the highest calibration value before a text is rejected
+MARGIN = 1.0            #: nats a character above the highest calibration value before a text is rejected
 START = "\x02"
 _OTHER = re.compile(r"[\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -228,6 +228,8 @@ def train(labelled: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS,
             last = float("inf")
             for i in order_:
                 last = limits[i] = limits[i] if limits[i] < float("inf") else last
+        for i in reversed(range(len(limits) - 1)):      # a short text is surprising more easily, never less
+            limits[i] = max(limits[i], limits[i + 1])
     return model
 
 
