@@ -95,10 +95,12 @@ def shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int
         return 0, 1, []
     width = (high - low) // BLOCKS + 1
     sizes = pages.where("page_id is not null").groupBy(F.floor((F.col("page_id") - low) / width).alias("block")).agg(F.sum("size").alias("bytes")).collect()
-    out, before = [], 0
+    out, shard, filled = [], 0, 0
     for block, size in sorted(tuple(r) for r in sizes):
-        out.append((block, before // shard_bytes))
-        before += size
+        if filled and filled + size > shard_bytes:
+            shard, filled = shard + 1, 0
+        out.append((block, shard))
+        filled += size
     return low, width, out
 
 
@@ -116,7 +118,7 @@ def write(table: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
         roles(pages, revisit_bytes), allowMissingColumns=True)
     rows = (both.withColumn("block", F.floor((F.col("page_id") - low) / width)).join(where, "block", "left")
             .select(F.coalesce("shard", F.lit(-1).cast("long")).alias("shard"), "page_id", "digest", "refers_to", "url", "html")
-            .repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url"))
+            .repartitionById(dealt[-1][1] + 1 if dealt else 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
@@ -194,7 +196,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.repartition("shard", "part").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.repartition(max(1, manifest.count()), "shard", "part").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
