@@ -142,10 +142,13 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
             right = by_codes(right, relation.code, request.codes, request.on_empty)
         if _persons_filtered(request) and "c_personid" in keys:
             right = of_ids(right, persons.select("c_personid"), "c_personid")
+        placed = hits.select(*keys).join(right, list(keys))     # rows with a place, on the join's columns alone
         hits = expand(hits, right, keys, "__places")
         if request.place_of == "fact":
-            hits = by_places(hits, place, request.places, hierarchy, request.include_subordinate_units)
-    xy_counts = _xy_counts(catalog, hits, relation.place) if relation.xy_field else None
+            hits, placed = (by_places(d, place, request.places, hierarchy, request.include_subordinate_units) for d in (hits, placed))
+    else:
+        placed = hits
+    xy_counts = _xy_counts(catalog, placed, relation.place) if relation.xy_field else None
     if relation.label:
         codes, key, labels = relation.label
         hits = with_label(hits, catalog[codes], relation.code, key, *labels, name="__label")
