@@ -166,6 +166,29 @@ def test_wide_fingerprints_find_similar_texts(table):
     assert got[901] == 900 and got[903] == 902 and got[904] == 904
 
 
+def spliced(rng, n, same):
+    """Two texts of ``n`` different words that share their first ``same``."""
+    words = [f"w{rng.randrange(10 ** 9)}" for _ in range(2 * n)]
+    return " ".join(words[:n]), " ".join(words[:same] + words[n:2 * n - same])
+
+
+def test_wide_links_are_those_of_the_shingle_sets(table):
+    rng = random.Random(8)
+    rows, k = [], 0
+    for same in (*[181] * 60, *[172] * 60):      # similarity 0.82, and 0.75
+        for t in spliced(rng, 200, same):
+            rows.append((k, t))
+            k += 1
+    line = "one long line that stands here again and again as a footer " * 40      # few shingles, each often
+    rows += [(k, line + spliced(rng, 30, 0)[0]), (k + 1, line + spliced(rng, 30, 0)[0])]
+    sets = {i: frozenset(tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows}
+    got = {r[0]: r[1] for r in simhash_wide.component_ids(table(docs(rows), SCHEMA)).collect()}
+    want = closure(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    wrong = [i for i in got if got[i] != i and want[i] == i]
+    assert not wrong                                                # nothing goes without a true link
+    assert sum(got[i] == want[i] for i in range(120)) >= 119        # and the true ones are found
+
+
 # -- packing ------------------------------------------------------------------------------
 
 def test_pieces_cover_every_document_once(table):
