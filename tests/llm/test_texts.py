@@ -189,6 +189,28 @@ def test_wide_links_are_those_of_the_shingle_sets(table):
     assert sum(got[i] == want[i] for i in range(120)) >= 119        # and the true ones are found
 
 
+def test_wide_links_survive_a_family_of_likenesses(table):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(5, len(words) - 5), n):
+            out[at] = word()
+        return out
+    base = [word() for _ in range(400)]
+    rows = []
+    for k in range(150):        # texts of one template are alike by some 0.67; each has a twin, alike by 0.82 or more
+        w = edited(base, 8)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited(w, 8)))]
+    sets = {i: frozenset(tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows}
+    want = closure(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = {r[0]: r[1] for r in simhash_wide.component_ids(table(docs(rows), SCHEMA)).collect()}
+    assert len({want[i] for i in want}) > 100
+    assert all(want[i] == want[j] for i, j in got.items())
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
 # -- packing ------------------------------------------------------------------------------
 
 def test_pieces_cover_every_document_once(table):
