@@ -78,3 +78,11 @@ def test_pipeline_stage_by_stage(spark, documents):
     run = corpus_pipeline.run(spark, FOLDER)
     assert hashlib.sha256(str(sorted(map(tuple, run.select("doc_id", "start", "length").collect()))).encode()).hexdigest() == hashlib.sha256(
         str(sorted(map(tuple, kept[4].select("doc_id", "start", "length").collect()))).encode()).hexdigest() or run.agg(F.sum("length")).first() == kept[4].agg(F.sum("length")).first()
+
+
+def test_near_duplicates_with_shared_and_missing_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, a), (5, a + " more"), (5, b), (7, b), (None, c), (None, c), (None, d), (9, d), (3, a), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c), (9, d), (4, "")], key=str)
