@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-A model is trained on at most ``TRAIN_DOCS`` whole documents per language, chosen by a hash of the
-text (a bounded sample: a documented parameter), and calibrated on other documents. The n-grams of all languages lie in one sorted array of hashes with one row of log probabilities
+A model is trained on at most ``TRAIN_DOCS`` different whole texts per language, chosen by a hash of the
+text (a bounded sample: a documented parameter), and calibrated on other texts. The n-grams of all languages lie in one sorted array of hashes with one row of log probabilities
 per hash and a column per language; contexts lie in a second one with their back-off weights. A text is
 scored by whole arrays: the longest known n-gram at each character, then the back-off chain for the
 few that are unknown. The language with the lowest cross-entropy per character wins; a text whose
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from prosopo.llm.common import texts
 
@@ -186,25 +186,30 @@ def count_grams(labelled: DataFrame, order: int = ORDER) -> dict[str, Counter]:
 
 
 def sample(labelled: DataFrame, docs: int, salt: str) -> DataFrame:
-    """About ``docs`` rows of each language (all of a rarer one), by a hash of the text; a filter, no shuffle of texts."""
-    per = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not per:
+    """The ``docs`` different texts of each language (all of a rarer one) with the smallest salted hash, each once, however often it is
+    repeated; only hashes are shuffled to find them."""
+    hashed = labelled.select("lang", "text", F.xxhash64(F.lit(salt), "text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = {r[0]: r[1] for r in hashed.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= docs).groupBy("lang").agg(F.max("h")).collect()}
+    if not last:
         return labelled.limit(0)
-    share = F.coalesce(F.create_map(*(F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, docs / n))))[F.col("lang")], F.lit(0.0))
-    return labelled.where(F.pmod(F.xxhash64(F.lit(salt), "text"), F.lit(1_000_003)) < share * 1_000_003)
+    limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))[F.col("lang")]
+    return hashed.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(labelled: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
     """Models of the languages of (lang, text) rows, with rejection limits; None without any row.
 
-    Half of the texts, by hash, may be counted, the other half may calibrate.
+    Half of the texts, by hash, may be counted, the other half may calibrate. A language with texts in one half only uses them for both.
     """
     usable = labelled.where("lang is not null and text is not null").select("lang", "text")
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2))
-    counts = count_grams(sample(usable.where(half == 0), train_docs, "train"), order)
-    rest = usable.where(half == 1)
-    if not counts:      # too few texts to hold any back
-        counts, rest = count_grams(sample(usable, train_docs, "train"), order), usable
+    halves: dict[str, set[int]] = defaultdict(set)
+    for lang, h in usable.select("lang", half).distinct().collect():
+        halves[lang].add(h)
+    alone = F.col("lang").isin([lang for lang, found in halves.items() if len(found) == 1])
+    counts = count_grams(sample(usable.where((half == 0) | alone), train_docs, "train"), order)
+    rest = usable.where((half == 1) | alone)
     if not counts:
         return None
     model = fit(counts, order)

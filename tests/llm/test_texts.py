@@ -303,6 +303,19 @@ def test_languages_on_texts_held_out(table):
     assert got[904].lang_pred == "aa" and got[905].rejected and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_copies_do_not_crowd_out_a_language(table):
+    rng = random.Random(4)
+    rows = []
+    for k in range(4):      # one text holds most rows of the language
+        rows += [(f"hot{k}", say("aa", 20, rng))] * 2000 + [(f"hot{k}", say("bb", 20, rng)) for _ in range(60)]
+    got = langid.sample(table(rows, "lang string, text string"), 20, "train").collect()
+    assert len(got) == len(set(got)) == 80 and all(sum(r.lang == f"hot{k}" for r in got) == 20 for k in range(4))
+    rows += [(f"one{k}", say("cc", 30, rng)) for k in range(8)]      # languages of a single text
+    model = langid.train(table(rows, "lang string, text string"), train_docs=20, calibration_docs=20)
+    assert model.languages == sorted({lang for lang, _ in rows})
+    assert all(max(limits) < float("inf") for lang, limits in model.limits.items() if lang.startswith("one"))
+
+
 def test_probabilities_sum_to_one():
     from collections import Counter
     text = langid.START * 3 + "abracadabra abra"
