@@ -46,3 +46,24 @@ def cut_and_count(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
     seen = Observation()
     table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
     return table, seen.get["n"]
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets") -> DataFrame:
+    """Write ``df`` to the shared folder bucketed by ``keys`` and return the written table.
+
+    Joins and groupings by the keys read it without an exchange. Nothing is shuffled when writing: a task writes a file
+    for each bucket it meets, so rows that come dealt by the keys make a file a bucket. The table is known by its folder only;
+    its name leaves the session's catalog at once.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    table = f"prosopo_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def bucket_count(spark: SparkSession, parts: int = 0) -> int:
+    """Buckets for tables that hold a share of an input of ``parts`` partitions: no fewer than the session's shuffle partitions."""
+    return max(1, min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))))
