@@ -75,3 +75,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
         before = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def own_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text) of ``docs``: row is a different number for each row - the id, or where ids are null or repeated a written number -
+    and a null text is empty. Only these columns go on, so no name of ``docs`` can clash."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not rows.groupBy("id").count().where("count > 1 or id is null").take(1):
+        return rows.select(F.col("id").alias("row"), "id", "text")
+    # written once: a second evaluation could number them otherwise
+    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "own-rows")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prosopo.llm import bpe, langid, licenses, neardup, oracles, packing, simhash, suffixdedup, topk, urlfilter, warc
+from prosopo.llm import bpe, brown, centroids, langid, licenses, neardup, oracles, packing, resample, simhash, suffixdedup, topk, urlfilter, warc
 from prosopo.llm.common import load
 
 
@@ -66,6 +66,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_suffix, op3_urls, op4_topk, op5_pack, op6_licenses, op7_warc, op8_language, op9_bpe, op10_simhash)}
+def op11_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(7)) == 2
+    return brown.score_texts(load(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), percent=25, least_words=20, longest=2, buckets=10_000, seed="7")
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.whole_vectors(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", dim=64, scale=1024)
+    order = F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256)
+    placed, found = centroids.cluster(vectors, dim=64, k=8, rounds=10, seed_order=order)
+    return centroids.with_inertia(placed, found).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_suffix, op3_urls, op4_topk, op5_pack, op6_licenses, op7_warc, op8_language, op9_bpe, op10_simhash,
+                                   op11_brown, op12_resample, op13_centroids)}
 ORACLES = {"op3_urls": oracles.urls(URL_RULES), "op4_topk": oracles.TOPK, "op6_licenses": oracles.license_scan(licenses.BASE, licenses.OWN),
-           "op7_warc": oracles.WARC}
+           "op7_warc": oracles.WARC, "op12_resample": oracles.resampled(25, 20, 10_000, "7"), "op13_centroids": oracles.centroids(64, 8, 10, 1024, "3")}
