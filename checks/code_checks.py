@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from checks.standins import catalog, driver_table, with_standins
-from prosopo.operators import filters, joins, ordering
-from prosopo.plans import code_queries as cq, people
+from prosopo.operators import filters, joins, namesearch, ordering
+from prosopo.plans import code_queries as cq, people, request_batch as rb
 from prosopo.plans.fields import Field
 from prosopo.plans.relations import ACCESSORS, ASSOCIATION, BASIC, ENTRY, OFFICE, STATUS, TEXT
 
@@ -288,3 +288,109 @@ add("most_orphan_kin", lambda s, d: joins.most_orphans(catalog(s, d)["KIN_DATA"]
     with_standins("""SELECT c_personid, count(*) AS orphan_count FROM KIN_DATA k
                      WHERE NOT EXISTS (SELECT 1 FROM BIOG_MAIN b WHERE b.c_personid = k.c_kin_id)
                      GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"""))
+
+
+# ---- many requests at once: the requests are rows made from the data, alike in Spark and DuckDB
+MATRIX = """
+    SELECT 'code-' || CAST(c_entry_code AS STRING) AS request_id, c_entry_code AS code, CAST(NULL AS INT) AS dy, CAST(NULL AS INT) AS low, CAST(NULL AS INT) AS high, CAST(NULL AS BIGINT) AS place FROM {ENTRY_CODES}
+    UNION ALL
+    SELECT 'dynasty-' || CAST(c_entry_code AS STRING) || '-' || CAST(c_dy AS STRING), c_entry_code, c_dy, CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS BIGINT) FROM {ENTRY_CODES} CROSS JOIN {DYNASTIES}
+    UNION ALL
+    SELECT 'years-' || CAST(c_entry_code AS STRING) || '-' || CAST(c_dy AS STRING), c_entry_code, CAST(NULL AS INT), coalesce(c_end, 1010), c_start, CAST(NULL AS BIGINT) FROM {ENTRY_CODES} CROSS JOIN {DYNASTIES}
+    UNION ALL
+    SELECT 'place-' || CAST(c_addr_id AS STRING), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), c_addr_id FROM {ADDR_CODES}"""
+
+
+def listed(c):
+    return F.when(F.col(c).isNull(), F.array().cast("array<bigint>")).otherwise(F.array(F.col(c).cast("bigint")))
+
+
+def as_requests(df, **given):
+    """A frame of requests: the given columns, NULL for all others."""
+    types = dict(p.rsplit(" ", 1) for p in rb.REQUEST.split(", "))
+    return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+
+
+def matrix_requests(s, d):
+    c = catalog(s, d)
+    names = ("ENTRY_CODES", "DYNASTIES", "ADDR_CODES")
+    raw = s.sql(MATRIX.format(**{n: "{" + n + "}" for n in names}), **{n: c[n] for n in names})
+    return as_requests(raw, request_id=F.col("request_id"), codes=listed("code"), places=listed("place"), dynasty_ids=listed("dy"), fact_from=F.col("low"), fact_to=F.col("high"))
+
+
+def request_matrix(s, d):
+    """Some ninety requests by code, code and dynasty, code and years, place."""
+    return rb.run_requests(catalog(s, d), ENTRY, matrix_requests(s, d)).select(
+        "request_id", "person_id", "sequence", "entry_code", "entry_method", "entry_year", "dynasty", "entry_address", "entry_xy_count")
+
+
+_IN = {n: n for n in ("ENTRY_CODES", "DYNASTIES", "ADDR_CODES")}
+add("request_matrix", request_matrix, with_standins(f"""
+    , r AS ({MATRIX.format(**_IN)}),
+    hits AS (SELECT r.request_id, f.*, b.c_dy, xa.x_coord, xa.y_coord FROM r JOIN ENTRY_DATA f ON (r.code IS NULL OR f.c_entry_code = r.code)
+      AND (r.place IS NULL OR f.c_entry_addr_id = r.place) AND (r.low IS NULL OR f.c_year BETWEEN least(r.low, r.high) AND greatest(r.low, r.high))
+      JOIN BIOG_MAIN b ON b.c_personid = f.c_personid AND (r.dy IS NULL OR b.c_dy = r.dy) LEFT JOIN ADDR_CODES xa ON xa.c_addr_id = f.c_entry_addr_id)
+    SELECT h.request_id, h.c_personid AS person_id, coalesce(h.c_sequence, 0) AS "sequence", CAST(h.c_entry_code AS VARCHAR) AS entry_code,
+      coalesce(c.c_entry_desc_chn, c.c_entry_desc) AS entry_method, h.c_year AS entry_year, coalesce(dy.c_dynasty_chn, dy.c_dynasty) AS dynasty,
+      coalesce(ea.c_name_chn, ea.c_name) AS entry_address,
+      CASE WHEN h.x_coord IS NULL OR h.y_coord IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY h.request_id, h.x_coord, h.y_coord) END AS entry_xy_count
+    FROM hits h LEFT JOIN ENTRY_CODES c ON c.c_entry_code = h.c_entry_code LEFT JOIN DYNASTIES dy ON dy.c_dy = h.c_dy
+    LEFT JOIN ADDR_CODES ea ON ea.c_addr_id = h.c_entry_addr_id"""))
+
+
+def request_matrix_top(s, d):
+    """The first 50 postings of each dynasty and region: persons by their index place and all units below, one plan for all."""
+    c = catalog(s, d)
+    raw = s.sql("""SELECT CAST(d.c_dy AS STRING) || '/' || CAST(p.c_belongs_to AS STRING) AS request_id, d.c_dy, p.c_belongs_to
+                   FROM {dy} d CROSS JOIN (SELECT DISTINCT c_belongs_to FROM {up}) p""", dy=c["DYNASTIES"], up=c["ADDR_BELONGS_DATA"])
+    asked = as_requests(raw, request_id=F.col("request_id"), dynasty_ids=listed("c_dy"), person_places=listed("c_belongs_to"),
+                        include_subordinate_person_units=F.lit(True), row_limit=F.lit(50))
+    return rb.run_requests(c, OFFICE, asked).select("request_id", "person_id", "posting_id", "sequence", "office_code", "office", "office_address_id",
+                                                    "office_place_count", "office_xy_count", "place_workflow")
+
+
+add("request_matrix_top", request_matrix_top, with_standins("""
+    , below(root, id) AS (SELECT DISTINCT c_belongs_to, c_belongs_to FROM ADDR_BELONGS_DATA UNION SELECT b.root, h.c_addr_id FROM below b JOIN ADDR_BELONGS_DATA h ON h.c_belongs_to = b.id),
+    sizes AS (SELECT c_posting_id, c_office_id, c_personid, count(*) AS places FROM POSTED_TO_ADDR_DATA GROUP BY ALL),
+    hits AS (SELECT CAST(b.c_dy AS VARCHAR) || '/' || CAST(w.root AS VARCHAR) AS request_id, f.*, a.c_addr_id, coalesce(s.places, 0) AS places,
+        coalesce(o.c_office_chn, o.c_office_trans, o.c_office_pinyin) AS label, xa.x_coord, xa.y_coord
+      FROM POSTED_TO_OFFICE_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid JOIN DYNASTIES d ON d.c_dy = b.c_dy JOIN below w ON w.id = b.c_index_addr_id
+      LEFT JOIN POSTED_TO_ADDR_DATA a ON a.c_posting_id = f.c_posting_id AND a.c_office_id = f.c_office_id AND a.c_personid = f.c_personid
+      LEFT JOIN sizes s ON s.c_posting_id = f.c_posting_id AND s.c_office_id = f.c_office_id AND s.c_personid = f.c_personid
+      LEFT JOIN OFFICE_CODES o ON o.c_office_id = f.c_office_id LEFT JOIN ADDR_CODES xa ON xa.c_addr_id = a.c_addr_id),
+    counted AS (SELECT *, CASE WHEN x_coord IS NULL OR y_coord IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY request_id, x_coord, y_coord) END AS xy FROM hits)
+    SELECT request_id, c_personid AS person_id, c_posting_id AS posting_id, coalesce(c_sequence, 0) AS "sequence", CAST(c_office_id AS VARCHAR) AS office_code, label AS office,
+      c_addr_id AS office_address_id, places AS office_place_count, xy AS office_xy_count, 'person' AS place_workflow FROM counted
+    QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY coalesce(label, ''), c_firstyear NULLS FIRST, c_personid NULLS FIRST, c_posting_id NULLS FIRST,
+      c_sequence NULLS FIRST, c_addr_id NULLS FIRST) <= 50""", recursive=True))
+
+#: keywords of one, two and more characters in both cases, whole names, numbers, words of alternative names only, and one that nobody has
+WORDS = """
+    SELECT DISTINCT keyword FROM (
+      SELECT substr(c_name, 1, 1) AS keyword FROM {ADDR_CODES} UNION ALL SELECT lower(substr(c_name, 1, 2)) FROM {ADDR_CODES} UNION ALL SELECT c_name FROM {ADDR_CODES}
+      UNION ALL SELECT c_surname FROM {BIOG_MAIN} UNION ALL SELECT lower(substr(c_name_chn, 1, 7)) FROM {BIOG_MAIN} UNION ALL SELECT CAST(c_personid AS STRING) FROM {ALTNAME_DATA}
+      UNION ALL SELECT upper(substr(c_alt_name_chn, 1, 4)) FROM {ALTNAME_DATA} UNION ALL SELECT c_alt_name FROM {ALTNAME_DATA} UNION ALL SELECT 'no such name') x
+    WHERE trim(keyword) <> ''"""
+
+
+def person_search_batch(s, d):
+    c = catalog(s, d)
+    names = ("ADDR_CODES", "BIOG_MAIN", "ALTNAME_DATA")
+    words = s.sql(WORDS.format(**{n: "{" + n + "}" for n in names}), **{n: c[n] for n in names})
+    return namesearch.persons_by_keywords(c["BIOG_MAIN"], c["ALTNAME_DATA"], words.select(F.col("keyword").alias("keyword_id"), "keyword")).withColumnRenamed("keyword_id", "keyword")
+
+
+add("person_search_batch", person_search_batch, with_standins(f"""
+    , words AS ({WORDS.format(ADDR_CODES="ADDR_CODES", BIOG_MAIN="BIOG_MAIN", ALTNAME_DATA="ALTNAME_DATA")}),
+    names AS (SELECT DISTINCT c_personid AS p, lower(n) AS n FROM (SELECT c_personid, c_name AS n FROM BIOG_MAIN UNION ALL SELECT c_personid, c_name_chn FROM BIOG_MAIN
+        UNION ALL SELECT c_personid, c_alt_name_chn FROM ALTNAME_DATA UNION ALL SELECT c_personid, c_alt_name FROM ALTNAME_DATA) WHERE n IS NOT NULL AND c_personid IN (SELECT c_personid FROM BIOG_MAIN))
+    SELECT DISTINCT keyword, CAST(p AS BIGINT) AS person_id FROM words JOIN names ON contains(n, lower(trim(keyword))) WHERE NOT regexp_full_match(trim(keyword), '[+-]?[0-9]+')
+    UNION SELECT keyword, CAST(c_personid AS BIGINT) FROM words JOIN BIOG_MAIN ON regexp_full_match(trim(keyword), '[+-]?[0-9]+') AND c_personid = TRY_CAST(trim(keyword) AS BIGINT)"""))
+
+# ---- windows of any width: one person's window is 100 000 years wide, some have no beginning or no end
+WINDOWS = """SELECT c_personid AS window_id, CAST(CASE WHEN c_personid % 11 = 0 THEN NULL WHEN c_personid = 5 THEN -50000 ELSE 900 + c_personid % 300 END AS INT) AS low,
+    CAST(CASE WHEN c_personid % 13 = 0 THEN NULL WHEN c_personid = 5 THEN 50000 ELSE 900 + c_personid % 300 + c_personid % 17 - 1 END AS INT) AS high FROM {BIOG_INST_DATA}"""
+add("events_in_windows",
+    lambda s, d: joins.in_windows(catalog(s, d)["BIOG_TEXT_DATA"].select("c_textid", "c_year"), "c_year", s.sql(WINDOWS, BIOG_INST_DATA=catalog(s, d)["BIOG_INST_DATA"]), "low", "high"),
+    with_standins(f""", w AS ({WINDOWS.format(BIOG_INST_DATA="BIOG_INST_DATA")})
+        SELECT f.c_textid, f.c_year, w.* FROM BIOG_TEXT_DATA f JOIN w ON f.c_year BETWEEN w.low AND w.high"""))
