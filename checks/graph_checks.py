@@ -136,3 +136,16 @@ add("place_closure", lambda s, d: graph.descendants(catalog(s, d)["ADDR_BELONGS_
     , below(root, id, depth) AS (SELECT c_addr_id, c_addr_id, 0 FROM ADDR_CODES
       UNION SELECT root, h.c_addr_id, depth + 1 FROM below JOIN ADDR_BELONGS_DATA h ON h.c_belongs_to = below.id)
     SELECT root, id, min(depth) AS depth FROM below GROUP BY 1, 2""", recursive=True))
+
+# chains of a hundred persons, each above the next
+CHAIN = "SELECT c_personid AS c_addr_id, c_personid - 1 AS c_belongs_to FROM {BIOG_MAIN} WHERE c_personid % 100 <> 0"
+
+
+def chain_closure(s, d):
+    c = catalog(s, d)
+    return graph.descendants(s.sql(CHAIN, BIOG_MAIN=c["BIOG_MAIN"]), c["BIOG_MAIN"].select("c_personid"), per_root=True)
+
+
+add("chain_closure", chain_closure, with_standins("""
+    SELECT a.c_personid AS root, b.c_personid AS id, CAST(b.c_personid - a.c_personid AS INT) AS depth
+    FROM BIOG_MAIN a JOIN BIOG_MAIN b ON a.c_personid // 100 = b.c_personid // 100 AND a.c_personid <= b.c_personid"""))

@@ -4,10 +4,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from prosopo.operators.joins import id_set, of_ids
-from prosopo.session import cut_and_count, cut_lineage
+from prosopo.session import bucket_count, bucketed, bucketed_and_count, cut_lineage
 
 
 def _id_frame(spark, ids, name: str) -> DataFrame:
@@ -23,31 +23,47 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def closure(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((above, below, depth) of all pairs joined by a path of ``edges`` (above, below), depth of the shortest; rounds taken).
+
+    Paths double: once all paths of up to 2^k steps are known, those of up to 2^(k+1) are a path of just 2^k steps and a known one.
+    So the rounds are the logarithm of the depth, and only pairs found in the last round are carried on. No node
+    is paired with itself; cycles are harmless.
+    """
+    step = (edges.select(F.col("above").cast("bigint").alias("above"), F.col("below").cast("bigint").alias("below"))
+            .where("above is not null and below is not null and above <> below").distinct().withColumn("depth", F.lit(1)))
+    def write(pairs: DataFrame, longest: int) -> tuple[DataFrame, int]:
+        seen = Observation()
+        table = cut_lineage(pairs.observe(seen, F.count_if(F.col("depth") == longest).alias("n")), "paths")
+        return table, seen.get["n"]
+
+    step, open_ = write(step, 1)
+    known, reach, rounds = [step], 1, 1
+    while open_:       # pairs of just 2^k steps may go on
+        right = _union(known).select(F.col("above").alias("__mid"), F.col("below").alias("__to"), F.col("depth").alias("__more"))
+        longer = (step.where(F.col("depth") == reach).join(right, F.col("below") == F.col("__mid")).where("above <> __to")
+                  .groupBy("above", F.col("__to").alias("__below")).agg(F.min(F.col("depth") + F.col("__more")).alias("depth"))
+                  .withColumnRenamed("__below", "below")
+                  .join(_union(known).select("above", "below"), ["above", "below"], "left_anti").select("above", "below", "depth"))
+        rounds, reach = rounds + 1, 2 * reach
+        step, open_ = write(longer, reach)
+        known.append(step)
+    return _union(known), rounds
+
+
 def descendants(hierarchy: DataFrame, roots, per_root: bool = False,
                 child: str = "c_addr_id", parent: str = "c_belongs_to") -> DataFrame:
     """Places below the given ones, the given ones included; cycles are harmless.
 
-    ``per_root=True`` gives (root, id, depth) pairs instead of one id set.
+    ``per_root=True`` gives (root, id, depth) pairs instead of one id set. The pairs of the whole hierarchy - as
+    many as places times their depth - are found first, in a number of rounds that is the logarithm of the depth.
     """
-    spark = hierarchy.sparkSession
-    edges = (hierarchy.select(F.col(child).cast("bigint").alias("__child"), F.col(parent).cast("bigint").alias("__parent"))
-             .where("__child is not null and __parent is not null").distinct())
-    found = _id_frame(spark, roots, "id").where("id is not null").distinct()
+    found = _id_frame(hierarchy.sparkSession, roots, "root").where("root is not null").distinct()
+    pairs, _ = closure(hierarchy.select(F.col(parent).alias("above"), F.col(child).alias("below")))
+    below = found.join(pairs, F.col("root") == F.col("above"))
     if per_root:
-        found = found.select(F.col("id").alias("root"), "id")
-    keys = found.columns
-    rounds = [cut_lineage(found.withColumn("depth", F.lit(0)), "places")]
-    while True:
-        step = (rounds[-1].drop("depth").join(edges, F.col("id") == F.col("__parent"))
-                .select(*[F.col("__child").alias("id") if k == "id" else F.col(k) for k in keys]).distinct()
-                .join(_union(rounds).select(*keys), keys, "left_anti")
-                .withColumn("depth", F.lit(len(rounds))))
-        step, found_now = cut_and_count(step, "places")
-        if not found_now:
-            break
-        rounds.append(step)
-    out = _union(rounds)
-    return out if per_root else out.select("id")
+        return found.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).union(below.select("root", F.col("below").alias("id"), "depth"))
+    return found.select(F.col("root").alias("id")).union(below.select(F.col("below").alias("id"))).distinct()
 
 
 def neighbours(edges: DataFrame, ids: DataFrame, source: str, key: str | None = None) -> DataFrame:
@@ -99,7 +115,8 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
     state is one (seed, kin, step vector) within the caps, seed itself excluded,
     with the round it was first reached in and the smallest code path. Keeping all
     vectors while looping makes the reached set independent of visit order; the
-    caps bound them to (up+1)(down+1)(marriage+1)(collateral+1) per pair.
+    caps bound them to (up+1)(down+1)(marriage+1)(collateral+1) per pair. Links and rounds are written bucketed, by person and by
+    state, so that a round exchanges its new step alone; of known states only the state's columns are read.
 
     ``best_only`` keeps one row per (seed, kin): direct first, then fewest steps. The loop ends after
     ``caps.rounds`` rounds as the rule says; ``with_complete`` adds a column that is false for seeds
@@ -110,14 +127,15 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
               .agg(F.min(F.array("kin_code")).alias("path"))
               .withColumn("hop", F.lit(1)).withColumn("is_derived", F.lit(False)))
     # parallel edges with one step vector reach the same states: one is enough
-    links = cut_lineage(
+    buckets = bucket_count(edges.sparkSession)
+    links = bucketed(
         edges.where("kin_person_id is not null")
         .groupBy(F.col("person_id").alias("__from"), F.col("kin_person_id").alias("__to"),
                  *[F.col(s).alias(f"__{s}") for s in _STEPS])
-        .agg(F.min("kin_code").alias("__code")), "kin-links")
+        .agg(F.min("kin_code").alias("__code")).repartition(buckets, "__from"), ["__from"], buckets, "kin-links")
     within = (F.col("up_step") <= caps.up) & (F.col("down_step") <= caps.down) \
         & (F.col("marriage_step") <= caps.marriage) & (F.col("collateral_step") <= caps.collateral)
-    rounds = [cut_lineage(direct, "kin-direct")]
+    rounds = [bucketed(direct.repartition(buckets, *_STATE), _STATE, buckets, "kin-direct")]
     frontier = rounds[0].where(within & (F.col("kin_person_id") != F.col("seed_id")))
 
     def next_round(hop: int) -> DataFrame:
@@ -126,13 +144,13 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
                         *[(F.col(s) + F.col(f"__{s}")).alias(s) for s in _STEPS],
                         F.concat("path", F.array("__code")).alias("path"))
                 .where(within & (F.col("kin_person_id") != F.col("seed_id")))
-                .groupBy(*_STATE).agg(F.min("path").alias("path")))
-        known = _union(rounds).select(*_STATE)
-        return (step.join(known, _STATE, "left_anti")
-                .withColumn("hop", F.lit(hop)).withColumn("is_derived", F.lit(True)))
+                .groupBy(*_STATE).agg(F.min("path").alias("path")).repartition(buckets, *_STATE))
+        for known in rounds:
+            step = step.join(known.select(*_STATE), _STATE, "left_anti")
+        return step.withColumn("hop", F.lit(hop)).withColumn("is_derived", F.lit(True))
 
     for hop in range(2, caps.rounds + 2):
-        frontier, found = cut_and_count(next_round(hop).select(*rounds[0].columns), "kin-round")
+        frontier, found = bucketed_and_count(next_round(hop).select(*rounds[0].columns), _STATE, buckets, "kin-round")
         if not found:
             break
         rounds.append(frontier)
@@ -174,19 +192,21 @@ def expand_network(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
     ``edges`` is (from_id, to_id), any mix of kin and association edges.
     """
-    links = cut_lineage(
+    buckets, pair = bucket_count(edges.sparkSession), ["seed_id", "person_id"]
+    links = bucketed(
         edges.select(F.col("from_id").cast("bigint").alias("__from"), F.col("to_id").cast("bigint").alias("__to"))
-        .where("__from is not null and __to is not null and __from <> __to").distinct(), "links")
+        .where("__from is not null and __to is not null and __from <> __to").distinct().repartition(buckets, "__from"), ["__from"], buckets, "links")
     start = _id_frame(edges.sparkSession, seeds, "seed_id").where("seed_id is not null").distinct()
-    rounds = [cut_lineage(start.select("seed_id", F.col("seed_id").alias("person_id"), F.lit(0).alias("hop")), "reach")]
+    rounds = [bucketed(start.select("seed_id", F.col("seed_id").alias("person_id"), F.lit(0).alias("hop")).repartition(buckets, *pair), pair, buckets, "reach")]
     for hop in range(1, hops + 1):
         step = (rounds[-1].join(links, F.col("person_id") == F.col("__from"))
-                .select("seed_id", F.col("__to").alias("person_id")).distinct()
-                .join(_union(rounds).select("seed_id", "person_id"), ["seed_id", "person_id"], "left_anti")
-                .withColumn("hop", F.lit(hop)))
+                .select("seed_id", F.col("__to").alias("person_id")).distinct().repartition(buckets, *pair))
+        for known in rounds:
+            step = step.join(known.select(*pair), pair, "left_anti")
+        step = step.withColumn("hop", F.lit(hop))
         if hop == hops:  # nothing reads the last round twice
             return _union([*rounds, step])
-        step, found = cut_and_count(step, "reach")
+        step, found = bucketed_and_count(step, pair, buckets, "reach")
         if not found:
             break
         rounds.append(step)

@@ -67,3 +67,10 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets"
 def bucket_count(spark: SparkSession, parts: int = 0) -> int:
     """Buckets for tables that hold a share of an input of ``parts`` partitions: no fewer than the session's shuffle partitions."""
     return max(1, min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def bucketed_and_count(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets") -> tuple[DataFrame, int]:
+    """As :func:`bucketed`, with the number of rows, counted as they are written."""
+    seen = Observation()
+    table = bucketed(df.observe(seen, F.count(F.lit(1)).alias("n")), keys, buckets, name)
+    return table, seen.get["n"]

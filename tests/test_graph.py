@@ -129,3 +129,49 @@ def test_kinship_says_where_the_rounds_ended_it(spark):
     seeds = spark.createDataFrame([(1,), (15,), (50,)], "id long")
     got = g.expand_kinship(edges, seeds, with_complete=True).groupBy("seed_id").agg(F.count("*").alias("n"), F.min("complete").alias("c"))
     assert rows(got) == [(1, 11, False), (15, 5, True), (50, 1, True)]
+
+
+def test_closure_by_doubling(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "above long, below long")
+    pairs, rounds = g.closure(chain)
+    assert rounds <= 10
+    assert pairs.agg(F.count("*"), F.count_if(F.col("depth") == F.col("below") - F.col("above")), F.max("depth")).first()[:] == (125250, 125250, 500)
+    r = random.Random(4)
+    edges = [(r.randrange(20), r.choice([None, r.randrange(20), r.randrange(20)])) for _ in range(45)] + [(3, 3), (None, 1)]
+    pairs, _ = g.closure(spark.createDataFrame(edges, "above int, below int"))
+    expected = set()
+    for s in range(20):
+        dist, frontier, depth = {s: 0}, {s}, 0
+        while frontier:
+            depth += 1
+            frontier = {b for a, b in edges if a in frontier and b is not None} - set(dist)
+            dist.update({b: depth for b in frontier})
+        expected |= {(s, b, d) for b, d in dist.items() if b != s}
+    assert rows(pairs) == sorted(expected, key=lambda r: tuple((x is not None, str(x)) for x in r))
+    assert rows(g.closure(spark.createDataFrame([], "above long, below long"))[0]) == []
+
+
+def test_known_states_are_not_exchanged(spark):
+    """In each round of the kinship and network loops the written rounds and links are read in their buckets."""
+    from prosopo.operators import graph
+    plans, write = [], graph.bucketed_and_count
+
+    def keep(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+    steps = "up_step int, down_step int, marriage_step int, collateral_step int"
+    kin = spark.createDataFrame([(i, i + 1, 1, 1, 0, 0, 0) for i in range(9)], f"person_id long, kin_person_id long, kin_code int, {steps}")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    graph.bucketed_and_count = keep
+    try:
+        assert graph.expand_kinship(kin, caps=graph.KinCaps(up=4)).count() == 9 + 8 + 7 + 6
+        graph.expand_network(kin.select(F.col("person_id").alias("from_id"), F.col("kin_person_id").alias("to_id")), kin.select("person_id"), 4).count()
+    finally:
+        graph.bucketed_and_count = write
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    # a round more is a bucketed scan more and no exchange more
+    kin_plans = [p for p in plans if "up_step" in p]
+    for part in (kin_plans, [p for p in plans if "up_step" not in p]):
+        scans, exchanges = [p.count("Bucketed: true") for p in part], [p.count("Exchange") for p in part]
+        assert len(part) >= 3 and scans == [scans[0] + i for i in range(len(part))] and set(exchanges) == {exchanges[0]} and exchanges[0] <= 3
