@@ -44,6 +44,20 @@ def expand(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
             .select(*left.columns, count, *[c for c in right.columns if c not in keys]))
 
 
+def fan_out(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left outer join on ``keys`` as an inner join, which Spark can split at a hot key of either side, and the rows without a match.
+
+    Nothing is measured first; both joins deal their sides alike, so they share the shuffles.
+    """
+    matched = left.join(right, list(keys)).select(*left.columns, *[c for c in right.columns if c not in keys])
+    return matched.unionByName(left.join(right, list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def of_keys(df: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose keys occur in ``rows``."""
+    return df.join(rows.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def with_kin_person(kin: DataFrame, person: DataFrame, keep_orphans: bool = True,
                     kin_key: str = "c_kin_id", person_key: str = "c_personid") -> DataFrame:
     """Attach the kin's person row; ``keep_orphans=False`` drops kin without one."""
@@ -100,17 +114,42 @@ def zip_by_position(left: DataFrame, right: DataFrame, keys: Sequence[str],
         *[F.col(f"__a_{c}").alias(c) for c in attach], ok.alias("zip_ok"))
 
 
-def in_dynasty_window(df: DataFrame, dynasties: DataFrame, year: str) -> DataFrame:
-    """Attach every dynasty whose start-end window holds the row's year.
+def dyadic_cover(windows: DataFrame, low: str, high: str, levels: int = 40) -> DataFrame:
+    """``windows`` with (level, block): the aligned blocks of 2^level whole numbers that together are just [low, high].
 
-    A dynasty spans few years, so windows are unrolled to one row per year and the
-    range join becomes an equi-join. A missing bound reads as 0.
+    At each level at most two blocks belong to a window - a first one with an odd number, a last one with an even number - so a
+    window gives at most twice as many rows as its width has binary digits. An empty window gives none.
     """
+    spread = windows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    first = F.expr(f"-shiftright(-CAST({low} AS BIGINT), level)")               # of the blocks that lie wholly inside
+    last = F.expr(f"shiftright(CAST({high} AS BIGINT) + 1, level) - 1")
+    ends = F.array(F.when(F.pmod(first, F.lit(2)) == 1, first), F.when(F.pmod(last, F.lit(2)) == 0, last))
+    return spread.where(first <= last).withColumn("block", F.explode(F.array_compact(ends)))
+
+
+def in_windows(df: DataFrame, value: str, windows: DataFrame, low: str, high: str) -> DataFrame:
+    """Inner join of rows and windows [low, high] of whole numbers on low <= value <= high, without unrolling or comparing all with all.
+
+    Windows are cut into aligned blocks (:func:`dyadic_cover`); each different value looks up the blocks it lies in, one a level in
+    use. Both sides are logarithmic in the width. A NULL or fractional value and a window with a NULL bound match nothing.
+    """
+    cover = cut_lineage(dyadic_cover(windows.where(f"{low} is not null and {high} is not null"), low, high), "cover")
+    levels = [r["level"] for r in cover.select("level").distinct().collect()]        # at most 41
+    if not levels:
+        return df.join(windows, F.lit(False), "inner")
+    whole = F.col("__value").try_cast("bigint")
+    values = (df.select(F.col(value).alias("__value")).distinct().where(whole == F.col("__value"))
+              .withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("block", F.expr("shiftright(try_cast(__value AS BIGINT), level)")))
+    met = values.join(cover, ["level", "block"]).drop("level", "block")
+    return df.join(met, F.col(value) == F.col("__value"), "inner").drop("__value")
+
+
+def in_dynasty_window(df: DataFrame, dynasties: DataFrame, year: str) -> DataFrame:
+    """Attach every dynasty whose start-end window holds the row's year. A missing bound reads as 0."""
     start, end = (F.coalesce(F.col(c), F.lit(0)) for c in ("c_start", "c_end"))
-    years = (dynasties.where(F.col("c_dy").isNotNull() & (start <= end))
-             .select(F.col("c_dy").alias("window_dy"), start.alias("window_start"), end.alias("window_end"),
-                     F.explode(F.sequence(start, end)).alias("__year")))
-    return df.join(years, F.col(year) == F.col("__year"), "inner").drop("__year")
+    windows = (dynasties.where(F.col("c_dy").isNotNull() & (start <= end))
+               .select(F.col("c_dy").alias("window_dy"), start.alias("window_start"), end.alias("window_end")))
+    return in_windows(df, year, windows, "window_start", "window_end")
 
 
 def dynasty_bounds(dynasties: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from prosopo.catalog import Catalog
 from prosopo.operators.aggregates import place_counts
 from prosopo.operators.filters import Ids, by_codes, by_ids, by_places, by_years, is_empty, overlaps_years, persons_by_keyword
-from prosopo.operators.joins import expand, of_ids, with_label, with_person
+from prosopo.operators.joins import expand, fan_out, of_ids, of_keys, with_label, with_person
 from prosopo.operators.ordering import first_rows, keep_first, nulls_first, row_limit
 from prosopo.plans.fields import attach
 from prosopo.session import cut_lineage
@@ -142,13 +142,11 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
             right = by_codes(right, relation.code, request.codes, request.on_empty)
         if _persons_filtered(request) and "c_personid" in keys:
             right = of_ids(right, persons.select("c_personid"), "c_personid")
-        placed = hits.select(*keys).join(right, list(keys))     # rows with a place, on the join's columns alone
-        hits = expand(hits, right, keys, "__places")
+        hits = fan_out(hits, right, keys) if limited else expand(hits, right, keys, "__places")
         if request.place_of == "fact":
-            hits, placed = (by_places(d, place, request.places, hierarchy, request.include_subordinate_units) for d in (hits, placed))
-    else:
-        placed = hits
-    xy_counts = _xy_counts(catalog, placed, relation.place) if relation.xy_field else None
+            hits = by_places(hits, place, request.places, hierarchy, request.include_subordinate_units)
+        hits = cut_lineage(hits, "placed")     # the one fan-out: rows and place counts read it
+    xy_counts = _xy_counts(catalog, hits, relation.place) if relation.xy_field else None
     if relation.label:
         codes, key, labels = relation.label
         hits = with_label(hits, catalog[codes], relation.code, key, *labels, name="__label")
@@ -160,7 +158,11 @@ def code_query(catalog: Catalog, relation: Relation, request: CodeRequest) -> Da
              *nulls_first(*catalog[relation.table].columns)]
     rows = hits
     if limited:
-        rows = with_person(hits.orderBy(*order).limit(row_limit(request.limit, request.cap)), persons)
+        rows = hits.orderBy(*order).limit(row_limit(request.limit, request.cap))
+        if relation.fan_out is not None:      # matches of the rows that remain
+            sizes = of_keys(right, rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__places"))
+            rows = rows.join(sizes, list(keys), "left").withColumn("__places", F.coalesce("__places", F.lit(0)))
+        rows = with_person(rows, persons)
     if xy_counts is not None:
         rows = (rows.join(xy_counts, F.col(relation.place) == F.col("__place"), "left").drop("__place")
                 .withColumn("xy_count", F.coalesce("xy_count", F.lit(0))))
@@ -178,11 +180,11 @@ def _persons_filtered(request: CodeRequest) -> bool:
 def _xy_counts(catalog: Catalog, hits: DataFrame, place: str) -> DataFrame | None:
     """(__place, xy_count): how many matching rows share the place's coordinates, whatever the limit.
 
-    Counted in one pass over the place column alone and written, one row per place.
+    Counted in one narrow pass over the place column, as part of the query's own job.
     """
     if PLACES not in catalog or not {"x_coord", "y_coord"} <= set(catalog[PLACES].columns):
         return None
-    return cut_lineage(place_counts(hits, place, catalog[PLACES], "c_addr_id", "x_coord", "y_coord"), "xy")
+    return place_counts(hits, place, catalog[PLACES], "c_addr_id", "x_coord", "y_coord")
 
 
 def entry_query(catalog: Catalog, request: CodeRequest) -> DataFrame:

@@ -85,3 +85,20 @@ def test_labels(spark):
     df = spark.createDataFrame([(None, "b"), ("", "b"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(exprs.label(F.col("a"), F.col("b"))).collect()] == ["b", "", None]
     assert [r[0] for r in df.select(exprs.joined_display(F.col("a"), F.col("b"))).collect()] == ["b", " b", None]
+
+
+def test_range_join_by_aligned_blocks(spark):
+    import random
+    from prosopo.operators import joins as j
+    r = random.Random(8)
+    spans = [(i, a, a + r.choice([-1, 0, 1, 7, 300])) for i, a in enumerate(r.randint(-400, 400) for _ in range(60))]
+    spans += [(100, None, 5), (101, 5, None), (102, None, None), (103, -50_000, 50_000)]
+    years = [r.randint(-500, 500) for _ in range(200)] + [None, 50_000, 50_001, -50_000, -50_001]
+    windows = spark.createDataFrame(spans, "id int, lo int, hi int")
+    got = sorted((x["y"], x["id"]) for x in j.in_windows(spark.createDataFrame([(y,) for y in years], "y int"), "y", windows, "lo", "hi").collect())
+    assert got == sorted((y, i) for y in years for i, lo, hi in spans if None not in (y, lo, hi) and lo <= y <= hi)
+    cover = j.dyadic_cover(windows.where("lo is not null and hi is not null"), "lo", "hi").groupBy("id").count()
+    assert max(x["count"] for x in cover.collect()) <= 2 * 17       # a window of 100 001 years has 17 binary digits
+    doubles = spark.createDataFrame([(5.0,), (5.5,), (float("nan"),)], "y double")
+    assert [x["y"] for x in j.in_windows(doubles, "y", spark.createDataFrame([(1, 5, 6)], "id int, lo int, hi int"), "lo", "hi").collect()] == [5.0]
+    assert j.in_windows(doubles, "y", windows.where("id = 102"), "lo", "hi").count() == 0
