@@ -380,3 +380,39 @@ add("database_health", database_health, with_standins("""
     SELECT 'BIOG_MAIN' AS "table", unnest(['c_personid', 'c_dy']) AS "column", 'ok' AS status, (SELECT count(*) FROM BIOG_MAIN) AS rows
     UNION ALL SELECT 'ENTRY_DATA', unnest(['c_entry_code', 'c_missing']), unnest(['ok', 'missing column']), (SELECT count(*) FROM ENTRY_DATA)
     UNION ALL SELECT 'NO_TABLE', 'x', 'missing table', NULL"""))
+
+# ---- decimals against other numbers: keys above 2^53, which doubles cannot tell apart, fractions, and two scales
+_KINDS = {
+    "double": ("CAST(9007199254740992 + o_orderkey AS DECIMAL(20,0))", "CAST(9007199254740992 + o_orderkey AS DOUBLE)", "o_orderkey % 2 = 0"),
+    "bigint": ("CAST(9007199254740992 + o_orderkey AS DECIMAL(20,0))", "9007199254740992 + o_orderkey", "o_orderkey % 3 = 0"),
+    "float": ("CAST(o_orderkey * 0.25 AS DECIMAL(12,2))", "CAST(o_orderkey * 0.5 AS FLOAT)", "o_orderkey < 1000000"),
+    "scale": ("CAST(o_orderkey * 0.25 AS DECIMAL(12,2))", "CAST(o_orderkey * 0.125 AS DECIMAL(14,4))", "true"),
+}
+
+
+def diff_decimal_keys(s, d):
+    """One diff a kind of key; each side also has a row without a key."""
+    out = None
+    for kind, (left, right, where) in _KINDS.items():
+        a = frame(s, d, f"SELECT {left} AS k, o_orderstatus AS v FROM {{orders}} UNION ALL SELECT NULL, min(o_orderstatus) FROM {{orders}}")
+        b = frame(s, d, f"SELECT {right} AS k, o_orderstatus AS v FROM {{orders}} WHERE {where} UNION ALL SELECT NULL, min(o_orderstatus) FROM {{orders}}")
+        part = rc.diff(a, b, ["k"]).select(F.lit(kind).alias("kind"), F.col("k").alias("id"), "bucket")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _plain_text(c):
+    return f"CASE WHEN contains(CAST({c} AS VARCHAR), '.') THEN rtrim(rtrim(CAST({c} AS VARCHAR), '0'), '.') ELSE CAST({c} AS VARCHAR) END"
+
+
+add("diff_decimal_keys", diff_decimal_keys, " UNION ALL ".join(f"""
+    SELECT '{kind}' AS kind, {_plain_text('coalesce(l.k, r.k)')} AS id,
+      CASE WHEN NOT coalesce(r.here, false) THEN 'only_left' WHEN NOT coalesce(l.here, false) THEN 'only_right' WHEN l.v <> r.v THEN 'mismatch' ELSE 'match' END AS bucket
+    FROM (SELECT CAST({left} AS DECIMAL(30,4)) AS k, o_orderstatus AS v, true AS here FROM orders UNION ALL SELECT NULL, min(o_orderstatus), true FROM orders) l
+    FULL JOIN (SELECT CAST({f"CAST({right} AS BIGINT)" if kind == "double" else right} AS DECIMAL(30,4)) AS k, o_orderstatus AS v, true AS here FROM orders WHERE {where} UNION ALL SELECT NULL, min(o_orderstatus), true FROM orders) r
+    ON l.k IS NOT DISTINCT FROM r.k""" for kind, (left, right, where) in _KINDS.items()))
+
+add("ordered_diff_decimal",
+    lambda s, d: rc.ordered_diff(frame(s, d, "SELECT CAST(9007199254740992 + o_orderkey AS DECIMAL(20,0)) AS v FROM {orders}"),
+                                 frame(s, d, "SELECT CAST(9007199254740992 + o_orderkey AS DOUBLE) AS v FROM {orders}"), ["v"]).select("position", "bucket"),
+    """SELECT row_number() OVER (ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 2 = 0 THEN 'match' ELSE 'mismatch' END AS bucket FROM orders""")

@@ -33,6 +33,9 @@ def same_value(left: Column, lt: T.DataType, right: Column, rt: T.DataType) -> C
         return left.isNull() & right.isNull()
     left, right = _plain(left, lt), _plain(right, rt)
     whole, real = (T.IntegralType, T.BooleanType), (T.DoubleType, T.FloatType)
+    if isinstance(lt, T.DecimalType) != isinstance(rt, T.DecimalType):
+        # a decimal against another kind of number: exactly, as text
+        return exact_text(left, lt).eqNullSafe(exact_text(right, rt))
     if isinstance(lt, real) and isinstance(rt, whole):
         return same_value(right, rt, left, lt)
     if isinstance(lt, whole) and isinstance(rt, real):
@@ -57,14 +60,31 @@ _WHOLE, _REAL = (T.IntegralType, T.BooleanType), (T.DoubleType, T.FloatType)
 
 
 def exact_text(c: Column, t: T.DataType) -> Column:
-    """A whole or real number as text that is equal exactly where the numbers are: 5, 5.0 and true's 1 are whole,
-    2^53 + 1 is not 2^53; a real number with a fraction keeps its own text."""
+    """A number as text that is equal exactly where the numbers are: 5, 5.0, 5.00 and true's 1 are whole, 2^53 + 1 is not 2^53.
+
+    A decimal loses its trailing zeros. A real number with a fraction stands for the decimal it is written as - 0.1 equals the decimal
+    0.1 - and a float is widened by its own digits. Without exponents as long as the number lies between 1e-18 and 1e20.
+    """
     if isinstance(t, _REAL):
-        d = c.cast("double")
-        return F.when((d == F.floor(d).cast("double")) & (F.abs(d) < 1e37), d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+        d = c.cast("double") if isinstance(t, T.DoubleType) else c.cast("string").cast("double")
+        wide = c.cast("double")
+        written = d.cast("string").try_cast("decimal(38,18)")
+        # a fraction of more than 18 digits keeps its own text, which no decimal of up to 18 places has
+        return (F.when((F.rint(wide) == wide) & (F.abs(wide) < 9.2e18), wide.cast("bigint").cast("string"))
+                .when((F.rint(wide) == wide) & (F.abs(wide) < 1e37), wide.cast("decimal(38,0)").cast("string"))
+                .when((F.abs(d) < 1e20) & (written.cast("double") == d), _no_zeros(written.cast("string"))).otherwise(d.cast("string")))
+    if isinstance(t, T.DecimalType):
+        return _no_zeros(c.cast("string")) if t.scale else c.cast("string")
     return _plain(c, t).cast("string")
 
 
+def _no_zeros(text: Column) -> Column:
+    """A decimal's text without an exponent, trailing zeros and a bare point; zero has no sign."""
+    cut = F.regexp_replace(F.when(text.contains("E"), F.format_string("%s", text.cast("decimal(38,18)"))).otherwise(text), r"(\.\d*?)0+$", "$1")
+    cut = F.regexp_replace(cut, r"\.$", "")
+    return F.when(cut == "-0", "0").otherwise(cut)
+
+
 def _shared_key(left: Column, lt: T.DataType, right: Column, rt: T.DataType) -> tuple[Column, Column]:
     """Both sides of a key in one type in which equality means equality of values. NULL stays NULL."""
     if isinstance(lt, T.NullType) or isinstance(rt, T.NullType):
@@ -73,6 +93,8 @@ def _shared_key(left: Column, lt: T.DataType, right: Column, rt: T.DataType) ->
     if _family(lt) != _family(rt):      # a number never equals a text: both are tagged
         tag = lambda c, t: F.concat(F.lit(_family(t) + ":"), c.cast("string"))
         return tag(left, lt), tag(right, rt)
+    if isinstance(lt, T.DecimalType) or isinstance(rt, T.DecimalType):
+        return (left, right) if lt == rt else (exact_text(left, lt), exact_text(right, rt))
     if isinstance(lt, (*_WHOLE, *_REAL)) and isinstance(rt, (*_WHOLE, *_REAL)):
         if isinstance(lt, _REAL) != isinstance(rt, _REAL):
             return exact_text(left, lt), exact_text(right, rt)

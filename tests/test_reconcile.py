@@ -182,3 +182,26 @@ def test_reports_with_other_side_names(spark, tmp_path):
         ' "stats": {"rows_a": 3, "rows_b": 2, "rows_matching": 2, "rows_only_in_a": 1, "rows_only_in_b": 0, "rows_value_mismatch": 0, "matches": false}}')
     got = report.dashboard(report.read_reports(spark, f"{tmp_path}/*/diff.json", "a", "b")).first()
     assert tuple(got) == ("x", "FAIL", 3, 2, 2, 1, 0, 0, "(none)", "2026-05-28T10:00:00")
+
+
+def test_decimal_keys_against_other_numbers(spark):
+    from decimal import Decimal as D
+    from pyspark.sql import functions as F
+    from prosopo.operators import reconcile as rc
+    big = 2 ** 53
+    frame = lambda values, kind: spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"k {kind}, v int")
+    found = lambda a, b: sorted((r["k"], r["bucket"]) for r in rc.diff(a, b, ["k"], compare=[]).where("k is not null").collect())
+    wide = frame([D(big), D(big + 1), D(7), D(0), None], "decimal(20,0)")
+    assert found(wide, frame([float(big), 7.0, -0.0, None], "double")) == sorted([(str(big), "match"), (str(big + 1), "only_left"), ("7", "match"), ("0", "match")])
+    assert found(wide, frame([big, big + 1, 7], "bigint")) == sorted([(str(big), "match"), (str(big + 1), "match"), ("7", "match"), ("0", "only_left")])
+    places = frame([D("0.50"), D("0.10"), D("1.00"), D("2.25")], "decimal(10,2)")
+    assert found(places, frame([D("0.5000"), D("1"), D("2.2501")], "decimal(12,4)")) == [("0.1", "only_left"), ("0.5", "match"), ("1", "match"), ("2.25", "only_left"), ("2.2501", "only_right")]
+    assert found(places, frame([0.5, 0.1, 1.0], "float")) == [("0.1", "match"), ("0.5", "match"), ("1", "match"), ("2.25", "only_left")]
+    assert found(places, frame([0.1, 1e25, 1e-30, float("inf")], "double")) == sorted(
+        [("0.1", "match"), ("0.5", "only_left"), ("1", "only_left"), ("2.25", "only_left"), ("10000000000000000000000000", "only_right"), ("1.0E-30", "only_right"), ("Infinity", "only_right")])
+    # values, too: 2^53 + 1 is not the double 2^53
+    a = spark.createDataFrame([(1, D(big + 1)), (2, D(big)), (3, None)], "k int, v decimal(20,0)")
+    b = spark.createDataFrame([(1, float(big)), (2, float(big)), (3, None)], "k int, v double")
+    assert sorted((r["k"], r["bucket"]) for r in rc.diff(a, b, ["k"]).collect()) == [(1, "mismatch"), (2, "match"), (3, "match")]
+    same = rc.ordered_diff(a.select("v"), b.select("v"), ["v"])
+    assert sorted(r["bucket"] for r in same.collect()) == ["match", "match", "mismatch"]
