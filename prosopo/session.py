@@ -30,14 +30,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/prosopo/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
+def cut_lineage(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's options, and return the written table.
 
     A table (rather than an RDD checkpoint) keeps column pruning and file
     statistics for the plans that read it again, and survives lost executors.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,8 +48,8 @@ def cut_and_count(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets") -> DataFrame:
-    """Write ``df`` to the shared folder bucketed by ``keys`` and return the written table.
+def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder bucketed by ``keys``, with the writer's options, and return the written table.
 
     Joins and groupings by the keys read it without an exchange. Nothing is shuffled when writing: a task writes a file
     for each bucket it meets, so rows that come dealt by the keys make a file a bucket. The table is known by its folder only;
@@ -57,7 +57,7 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "buckets"
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     table = f"prosopo_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    df.write.format("parquet").options(**options).bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {table}")
