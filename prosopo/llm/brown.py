@@ -34,6 +34,9 @@ from prosopo.llm.common import own_rows, ship
 from prosopo.session import bucket_count, bucketed, cut_lineage
 
 BLOCK = 1 << 20      #: tokens of a block, at most
+PLACE_BITS = 21      #: a block's dictionary has fewer than 2^21 words: at most one for each of its tokens and contexts
+BLOCK_BITS = 20      #: a task makes fewer than 2^20 blocks
+CLASS_BITS = 10      #: fewer than 2^10 classes
 CLASSES = 32
 CORE = 2048          #: words that are exchanged in rounds: the most frequent ones
 ROUNDS = 8           #: rounds of exchanging core words, at most
@@ -57,7 +60,7 @@ def words_of(text: str) -> list[bytes]:
 def token_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks of (row, id, held, text). A piece is its context, the token before it, then its tokens; counts are of training tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << BLOCK_BITS
         places, tokens, pieces = Places(), array("I"), []
 
         def out() -> pa.RecordBatch:
@@ -132,13 +135,16 @@ def gains(after: np.ndarray, before: np.ndarray, own: np.ndarray, near: np.ndarr
     def side(mine: np.ndarray, all_mine: np.ndarray, other: np.ndarray, cells: np.ndarray) -> None:
         # cells[c] are the counts of pairs of class c and each class b in which the word may be put
         w, c = np.nonzero(mine)
-        cell = cells[c].copy()
-        cell[np.arange(len(w)), near[w]] -= all_mine[w, c]
+        row = np.arange(len(w))
+        cell, then = cells[c], xlogx(cells)[c]
+        cell[row, near[w]] -= all_mine[w, c]
         home = np.flatnonzero(c == near[w])
         cell[home] -= other[w[home]]
         cell[home, near[w[home]]] += own[w[home]]
-        term = xlogx(cell + mine[w, c][:, None]) - xlogx(cell)
-        term[np.arange(len(w)), c] = 0           # pairs within b: below
+        then[row, near[w]] = xlogx(cell[row, near[w]])
+        then[home] = xlogx(cell[home])
+        term = xlogx(cell + mine[w, c][:, None]) - then
+        term[row, c] = 0                         # pairs within b: below
         if len(w):
             found, starts = np.unique(w, return_index=True)
             out[found] += np.add.reduceat(term, starts, axis=0)
@@ -163,27 +169,42 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, near: n
     return np.where(g[at, best] > g[at, near], best, near)
 
 
-def core_counts(blocks: DataFrame, core: dict[str, int], classes: np.ndarray, k: int) -> np.ndarray:
-    """(core + 1, 2k + 1): how often each core word, and as the last row all others, stand before and after each class and before themselves.
+def core_pairs(blocks: DataFrame, core: dict[str, int]) -> DataFrame:
+    """(pairs, counts) of each block's training bigrams, written once: core words by number, all others as one more number.
 
-    Core and classes are bounded by parameters; what a task adds up is core x classes numbers.
+    Pairs are sorted and held as their differences, which are small and compress well.
     """
     size = len(core) + 1
-    shared = blocks.sparkSession.sparkContext.broadcast((core, classes.astype(np.int64)))
+    shared = blocks.sparkSession.sparkContext.broadcast(core)      # bounded by the parameter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core_, classes_ = shared.value
-        total = np.zeros((size, 2 * k + 1), np.int64)
+        get = shared.value.get
         for batch in batches:
             for r in batch.to_pylist():
-                word = np.array([core_.get(w, size - 1) for w in r["words"]], np.int64)
+                word = np.array([get(w, size - 1) for w in r["words"]], np.uint32)
                 one, two, _ = bigrams(r["sizes"], r["held"], r["tokens"], True)
-                one, two = word[one], word[two]
-                total[:, :k] += np.bincount(one * k + classes_[two], minlength=size * k).reshape(size, k)
-                total[:, k:2 * k] += np.bincount(two * k + classes_[one], minlength=size * k).reshape(size, k)
-                total[:, 2 * k] += np.bincount(one[one == two], minlength=size)
-        parts = range(0, size, PART)
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[i:i + PART].tobytes() for i in parts], pa.binary())], ["part", "counts"])
+                pairs, counts = np.unique(word[one] * np.uint32(size) + word[two], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([np.diff(pairs, prepend=np.uint32(0)).astype("<u4").tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())], ["pairs", "counts"])
+
+    return cut_lineage(blocks.select("words", "sizes", "held", "tokens").mapInArrow(run, "pairs binary, counts binary"), "brown-pairs", compression="zstd")
+
+
+def core_counts(pairs: DataFrame, size: int, classes: np.ndarray, k: int) -> np.ndarray:
+    """(size, 2k + 1): how often each core word, and as the last row all others, stand before and after each class and before themselves.
+
+    ``size`` and the classes are bounded by parameters; what a task adds up is size x classes numbers.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, 2 * k + 1))
+        for batch in batches:
+            for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one, two = np.divmod(np.cumsum(np.frombuffer(keys, "<u4"), dtype=np.int64), size)
+                n = np.frombuffer(n, "<u4").astype(np.float64)           # exact below 2 ** 53
+                total[:, :k] += np.bincount(one * k + classes[two], n, minlength=size * k).reshape(size, k)
+                total[:, k:2 * k] += np.bincount(two * k + classes[one], n, minlength=size * k).reshape(size, k)
+                total[:, 2 * k] += np.bincount(one[one == two], n[one == two], minlength=size)
+        parts, whole = range(0, size, PART), total.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([whole[i:i + PART].tobytes() for i in parts], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -193,7 +214,7 @@ def core_counts(blocks: DataFrame, core: dict[str, int], classes: np.ndarray, k:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
     kind = "part long, counts binary"
-    summed = blocks.select("words", "sizes", "held", "tokens").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind)
+    summed = pairs.mapInArrow(run, kind).repartition("part").mapInArrow(add, kind)
     found = np.zeros((size, 2 * k + 1), np.int64)
     for part, counts in summed.collect():
         rows = np.frombuffer(bytes(counts), np.int64).reshape(-1, 2 * k + 1)
@@ -203,11 +224,11 @@ def core_counts(blocks: DataFrame, core: dict[str, int], classes: np.ndarray, k:
 
 def exchange_core(blocks: DataFrame, core: dict[str, int], k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(class of each core word and, last, of the rest; counts of class pairs) after the rounds."""
-    size = len(core)
+    size, pairs = len(core), core_pairs(blocks, core)
     classes = np.append(np.minimum(np.arange(size), k - 1), k - 1)       # the most frequent ones apart, all others together
     best = (-np.inf, classes, None)
     for number in range(rounds + 1):
-        counts = core_counts(blocks, core, classes, k)
+        counts = core_counts(pairs, size + 1, classes, k)
         grid = np.zeros((k, k), np.int64)
         np.add.at(grid, classes, counts[:, :k])
         value = likelihood(grid.astype(np.float64))
@@ -243,8 +264,8 @@ def exchange_rest(blocks: DataFrame, core: dict[str, int], classes: np.ndarray,
                 keys, n = np.unique(np.concatenate([one[a] * wide + cls[two[a]], two[b] * wide + k + cls[one[b]], one[a & (one == two)] * wide + 2 * k]), return_counts=True)
                 at = keys // wide
                 found, starts = np.unique(at, return_index=True)
-                entries = ((keys % wide).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
-                ends = np.append(starts, len(keys)).astype(np.int32) * 8
+                entries = ((keys % wide) << PLACE_BITS | n).astype("<u4")         # a count in a block has at most 20 digits
+                ends = np.append(starts, len(keys)).astype(np.int32) * 4
                 packed = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(entries.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array([r["words"][i] for i in found.tolist()], pa.string()), packed], ["word", "entries"])
 
@@ -267,10 +288,10 @@ def exchange_rest(blocks: DataFrame, core: dict[str, int], classes: np.ndarray,
                 new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
                 run = np.cumsum(new) - 1
                 binary = part.column(1)
-                entries = np.frombuffer(b"".join(binary.to_pylist()), np.uint64)
-                owner = np.repeat(run, pc.binary_length(binary).to_numpy() // 8)
-                flat = owner * wide + (entries >> np.uint64(32)).astype(np.int64)
-                counts = np.bincount(flat, weights=(entries & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=(run[-1] + 1) * wide).astype(np.int64).reshape(-1, wide)
+                entries = np.frombuffer(b"".join(binary.to_pylist()), "<u4").astype(np.int64)
+                owner = np.repeat(run, pc.binary_length(binary).to_numpy() // 4)
+                flat = owner * wide + (entries >> PLACE_BITS)
+                counts = np.bincount(flat, weights=entries & ((1 << PLACE_BITS) - 1), minlength=(run[-1] + 1) * wide).astype(np.int64).reshape(-1, wide)
                 names = words.filter(pa.array(new)).to_pylist()
                 if open_word is not None:
                     if names[0] == open_word:
@@ -288,31 +309,37 @@ def exchange_rest(blocks: DataFrame, core: dict[str, int], classes: np.ndarray,
 
 
 def emission(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """(block, c, cls) in the blocks' buckets: counts and classes of each block's dictionary, in its order; class -1 and count 0 are unknown."""
+    """(block, c, cls) in the blocks' buckets: counts and classes of each block's dictionary, in its order; class -1 and count 0 are unknown.
+
+    What is shuffled is two numbers a word: its block and place in one, its count and class in the other.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, cs, classes = None, [], []
+        block, parts = None, []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(cs).astype("<i8").tobytes()], pa.binary()),
-                                               pa.array([np.concatenate(classes).astype("<i4").tobytes()], pa.binary())], ["block", "c", "cls"])
+            found = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([(found >> CLASS_BITS).astype("<i8").tobytes()], pa.binary()),
+                                               pa.array([((found & ((1 << CLASS_BITS) - 1)) - 1).astype("<i4").tobytes()], pa.binary())], ["block", "c", "cls"])
 
         for batch in batches:
-            numbers, c, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            numbers, found = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            numbers = numbers >> PLACE_BITS
             cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
                 if block is not None and numbers[a] != block:
                     yield out()
-                    cs, classes = [], []
+                    parts = []
                 block = int(numbers[a])
-                cs.append(c[a:b]), classes.append(cls[a:b])
+                parts.append(found[a:b])
         if block is not None:
             yield out()
 
-    listed = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    named = (listed.join(words, "word", "left").select("block", "pos", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("cls", F.lit(-1)).alias("cls"))
-             .repartition(buckets, "block").sortWithinPartitions("block", "pos").select("block", "c", "cls"))
+    listed = blocks.select("block", F.posexplode("words").alias("pos", "word")).select((F.shiftleft("block", PLACE_BITS) + F.col("pos")).alias("at"), "word")
+    known = words.select("word", (F.shiftleft("c", CLASS_BITS) + F.col("cls") + 1).alias("found"))
+    named = (listed.join(known, "word", "left").select("at", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+             .repartition(buckets, F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at"))
     return bucketed(named.mapInArrow(run, "block long, c binary, cls binary"), ["block"], buckets, "brown-emission")
 
 
@@ -388,10 +415,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     ``held_out`` says, of the column ``id``, which rows are not learned from; NULL counts as false.
     """
+    if not 0 < core < 65536 or not 1 < classes < 1 << CLASS_BITS or not 0 < block <= BLOCK:
+        raise ValueError(f"core must lie in 1..65535, classes in 2..{(1 << CLASS_BITS) - 1}, block in 1..{BLOCK}")
     spark = ship(docs.sparkSession)
     buckets = bucket_count(spark)
     rows = own_rows(docs, id_col, text_col).withColumn("held", F.coalesce(held_out, F.lit(False)))
-    blocks = bucketed(token_blocks(rows, block), ["block"], buckets, "brown-blocks")
+    blocks = bucketed(token_blocks(rows, block), ["block"], buckets, "brown-blocks", compression="zstd")
     counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select("e.words", "e.counts").where("counts > 0")
     counted = cut_lineage(counted.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "brown-words")
     n, v, once = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
