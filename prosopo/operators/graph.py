@@ -135,7 +135,7 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
         .agg(F.min("kin_code").alias("__code")).repartition(buckets, "__from"), ["__from"], buckets, "kin-links")
     within = (F.col("up_step") <= caps.up) & (F.col("down_step") <= caps.down) \
         & (F.col("marriage_step") <= caps.marriage) & (F.col("collateral_step") <= caps.collateral)
-    rounds = [bucketed(direct.repartition(buckets, *_STATE), _STATE, buckets, "kin-direct")]
+    rounds = [bucketed(direct, _STATE, buckets, "kin-direct")]
     frontier = rounds[0].where(within & (F.col("kin_person_id") != F.col("seed_id")))
 
     def next_round(hop: int) -> DataFrame:
@@ -144,7 +144,8 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
                         *[(F.col(s) + F.col(f"__{s}")).alias(s) for s in _STEPS],
                         F.concat("path", F.array("__code")).alias("path"))
                 .where(within & (F.col("kin_person_id") != F.col("seed_id")))
-                .groupBy(*_STATE).agg(F.min("path").alias("path")).repartition(buckets, *_STATE))
+                .groupBy(*_STATE).agg(F.min("path").alias("path")))
+        # the grouping deals the step as the rounds were dealt: their buckets are as many as shuffle partitions
         for known in rounds:
             step = step.join(known.select(*_STATE), _STATE, "left_anti")
         return step.withColumn("hop", F.lit(hop)).withColumn("is_derived", F.lit(True))
@@ -200,7 +201,7 @@ def expand_network(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     rounds = [bucketed(start.select("seed_id", F.col("seed_id").alias("person_id"), F.lit(0).alias("hop")).repartition(buckets, *pair), pair, buckets, "reach")]
     for hop in range(1, hops + 1):
         step = (rounds[-1].join(links, F.col("person_id") == F.col("__from"))
-                .select("seed_id", F.col("__to").alias("person_id")).distinct().repartition(buckets, *pair))
+                .select("seed_id", F.col("__to").alias("person_id")).distinct())
         for known in rounds:
             step = step.join(known.select(*pair), pair, "left_anti")
         step = step.withColumn("hop", F.lit(hop))
