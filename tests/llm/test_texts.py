@@ -189,8 +189,8 @@ def test_wide_links_are_those_of_the_shingle_sets(table):
     assert sum(got[i] == want[i] for i in range(120)) >= 119        # and the true ones are found
 
 
-def test_wide_links_survive_a_family_of_likenesses(table):
-    rng = random.Random(9)
+def family(rng, n, twins):
+    """``n`` texts of one template, alike by some 0.67, of which the first ``twins`` have a twin alike by 0.82 or more."""
     word = lambda: f"w{rng.randrange(10 ** 9)}"
 
     def edited(words, n):
@@ -198,12 +198,24 @@ def test_wide_links_survive_a_family_of_likenesses(table):
         for at in rng.sample(range(5, len(words) - 5), n):
             out[at] = word()
         return out
-    base = [word() for _ in range(400)]
-    rows = []
-    for k in range(150):        # texts of one template are alike by some 0.67; each has a twin, alike by 0.82 or more
+    base, rows = [word() for _ in range(400)], []
+    for k in range(n):
         w = edited(base, 8)
-        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited(w, 8)))]
-    sets = {i: frozenset(tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows}
+        rows.append((2 * k, " ".join(w)))
+        if k < twins:
+            rows.append((2 * k + 1, " ".join(edited(w, 8))))
+    return rows
+
+
+def shingle_sets(rows, size=5):
+    return {i: frozenset(tuple(t.split()[j:j + size]) for j in range(len(t.split()) - size + 1)) for i, t in rows}
+
+
+@pytest.mark.parametrize("block", [1000, 40])
+def test_wide_links_survive_a_family_of_likenesses(table, monkeypatch, block):
+    monkeypatch.setattr(simhash_wide, "BLOCK", block)
+    rows = family(random.Random(9), 150, 150)
+    sets = shingle_sets(rows)
     want = closure(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     got = {r[0]: r[1] for r in simhash_wide.component_ids(table(docs(rows), SCHEMA)).collect()}
     assert len({want[i] for i in want}) > 100
@@ -211,6 +223,23 @@ def test_wide_links_survive_a_family_of_likenesses(table):
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
+def test_wide_rows_keep_every_column(table):
+    rng = random.Random(10)
+    x, y = spliced(rng, 200, 190)
+    long_ = " ".join(f"v{rng.randrange(10 ** 9)}" for _ in range(60_000))
+    rows = [(5, x, 77, "a", 1, "p", 9), (3, y, 99, "b", 2, "q", 8), (7, long_, 1, "c", 3, "r", 7), (8, long_ + " end", 1, "d", 4, "s", 6), (None, x, 2, "e", 5, "t", 5)]
+    got = simhash_wide.first_rows(table(rows, "doc_id long, body string, row long, text string, id int, cls string, n int"), text_col="body")
+    assert got.columns == ["doc_id", "body", "row", "text", "id", "cls", "n"]
+    assert sorted(tuple(r) for r in got.collect()) == [rows[1], rows[2]]
+
+
+def test_shared_shingles_are_counted():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300), dtype=np.uint64)) for _ in range(60)]
+    counts = simhash_wide.shared(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(i + 1, 60))
+
+
 # -- packing ------------------------------------------------------------------------------
 
 def test_pieces_cover_every_document_once(table):
