@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.standins import catalog, driver_table, with_standins
-from prosopo.operators import reconcile as rc
+from prosopo.operators import checksums as cs, reconcile as rc
 from prosopo.plans import people, report
 from prosopo.session import new_folder
 from prosopo.sources import tables
@@ -90,6 +90,27 @@ add("diff_with_rows", lambda s, d: main_diff(s, d, with_rows=True).select(
     f"{BOTH} SELECT id, part, bucket, ls AS left_status, rs AS right_status FROM v")
 
 
+def by_checksums(s, d):
+    """(rows, stats) from two stored tables whose checksums are compared first."""
+    return cs.checksum_diff(*(cs.checksummed(x, ["id", "part"], COMPARED, bits=6) for x in sides(s, d)))
+
+
+# ten of the keys, or so, are edited: the others are known by their checksums alone
+EDITED = "SELECT id, part, CASE WHEN id % 1537 = 5 THEN 'Y' ELSE status END AS status, n, price FROM ({left})"
+
+
+def few_edits(s, d):
+    left = sides(s, d)[0].drop("grade")
+    right = s.sql(EDITED.replace("({left})", "{left}"), left=left)
+    return cs.checksum_diff(*(cs.checksummed(x, ["id", "part"], COMPARED, bits=6) for x in (left, right)))
+
+
+add("diff_by_checksums", lambda s, d: shown(by_checksums(s, d)[0], "id", "part"), f"{BOTH} SELECT id, part, bucket, differing FROM v WHERE bucket <> 'match'")
+add("diff_by_checksums_stats", lambda s, d: by_checksums(s, d)[1], f"{BOTH} SELECT {STATS} FROM v")
+add("diff_by_checksums_few", lambda s, d: shown(few_edits(s, d)[0], "id", "part"), f"""WITH l AS ({LEFT.format(**_T)})
+    SELECT id, part, 'mismatch' AS bucket, 'status:' || status || '>Y' AS differing FROM l WHERE id % 1537 = 5""")
+
+
 def last_rows(s, d):
     return shown(rc.diff(frame(s, d, LINES), frame(s, d, LINES_B), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_returnflag"],
                          on_duplicate="last", order_by=["l_partkey", "l_suppkey"]), "l_orderkey", "l_linenumber")
