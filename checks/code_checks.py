@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.standins import catalog, driver_table, with_standins
 from prosopo.operators import filters, joins, namesearch, ordering
+from prosopo.operators.aggregates import union_all
 from prosopo.plans import code_queries as cq, people, request_batch as rb
 from prosopo.plans.fields import Field
 from prosopo.plans.relations import ACCESSORS, ASSOCIATION, BASIC, ENTRY, OFFICE, STATUS, TEXT
@@ -227,6 +228,18 @@ BASIC_SQL = """SELECT b.c_personid AS person_id, b.c_name_chn AS name_chn, b.c_n
 add("person_search_all", lambda s, d: people.search(catalog(s, d), None, limit=None), with_standins(BASIC_SQL.format(who="BIOG_MAIN")))
 add("person_search_page", lambda s, d: people.search(catalog(s, d), " ", limit=5000, offset=30),
     with_standins("SELECT * FROM (" + BASIC_SQL.format(who="BIOG_MAIN") + ") ORDER BY person_id LIMIT 5000 OFFSET 30"))
+
+
+def search_in_pages(s, d):
+    """A search read in five pages, with the page's number: together they are the whole."""
+    c = catalog(s, d)
+    hits = people.search_pages(c, None)
+    size = hits.total // 5 + 1
+    return union_all([people.search_page(c, hits, size, k * size).withColumn("page", F.lit(k).cast("bigint")) for k in range(5)])
+
+
+add("person_search_pages", search_in_pages, with_standins(", n AS (" + BASIC_SQL.format(who="BIOG_MAIN") + """)
+    SELECT *, (row_number() OVER (ORDER BY person_id) - 1) // ((SELECT count(*) FROM n) // 5 + 1) AS page FROM n"""))
 # an underscore is no digit: this is a name, not person 17
 add("person_search_underscore", lambda s, d: people.search(catalog(s, d), "1_7").unionByName(people.search(catalog(s, d), "+17")),
     with_standins(BASIC_SQL.format(who="BIOG_MAIN") + " WHERE b.c_personid = 17 OR contains(lower(coalesce(b.c_name, '')), '1_7') OR contains(lower(coalesce(b.c_name_chn, '')), '1_7')"))

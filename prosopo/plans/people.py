@@ -10,6 +10,7 @@ from prosopo.operators.aggregates import union_all
 from prosopo.operators.filters import Ids, by_places, persons_by_keyword
 from prosopo.operators.joins import id_set, of_ids
 from prosopo.operators.ordering import first_rows
+from prosopo.operators.paging import Pages, paged
 from prosopo.plans.profile import basic
 from prosopo.plans.relations import PERSONS
 
@@ -25,6 +26,17 @@ def search(catalog: Catalog, keyword: str | None = None, limit: int | None = Non
     return basic(catalog, hits).orderBy("person_id")
 
 
+def search_pages(catalog: Catalog, keyword: str | None = None, ranges: int | None = None) -> Pages:
+    """The hits of a search, written once in ranges of their id; :func:`search_page` gives any page of them."""
+    alt = catalog["ALTNAME_DATA"] if "ALTNAME_DATA" in catalog else None
+    return paged(persons_by_keyword(catalog[PERSONS], alt, keyword), [F.asc("c_personid")], ranges=ranges)
+
+
+def search_page(catalog: Catalog, hits: Pages, limit: int | None, offset: int = 0) -> DataFrame:
+    """A page as :func:`search` gives it; labels are joined to its rows only."""
+    return basic(catalog, hits.page(limit, offset)).orderBy("person_id")
+
+
 def people_by_ids(catalog: Catalog, ids: DataFrame) -> DataFrame:
     return basic(catalog, of_ids(catalog[PERSONS], id_set(ids), "c_personid"))
 
