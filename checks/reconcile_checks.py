@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.standins import catalog, driver_table, with_standins
 from prosopo.operators import checksums as cs, reconcile as rc
-from prosopo.plans import people, report
+from prosopo.plans import people, report, report_store
 from prosopo.session import new_folder
 from prosopo.sources import tables
 
@@ -308,6 +308,31 @@ add("report_dashboard", dashboards, f"""{BOTH},
 
 
 
+def stored_reports(s, d):
+    """Three reports in one store: one stored once, one rewritten with other columns, and one whose rewrite ended half-way."""
+    store = new_folder(s, "store")
+    left, right = sides(s, d)
+    report_store.store_report(rc.diff(left, right, ["id", "part"], ["n"]), store, "rewritten", source_sha="feedfacefeedface")
+    report_store.store_report(rc.diff(left, right, ["id", "part"], COMPARED), store, "half-way", source_sha="0123456789abcdef")
+    report_store.store_report(rc.diff(left, left, ["id", "part"], COMPARED), store, "same")
+    report_store.store_report(rc.diff(left, right, ["id", "part"], ["status"]), store, "rewritten", source_sha="feedfacefeedface")
+    report_store.store_rows(rc.diff(left, right, ["id", "part"], ["price"]), store, "half-way", "lost", 1)
+    return store
+
+
+add("report_store_dashboard", lambda s, d: report_store.store_dashboard(s, stored_reports(s, d)).drop("generated"), f"""{BOTH},
+    w AS (SELECT bucket FROM v),
+    u AS (SELECT CASE WHEN bucket IN ('match', 'mismatch') THEN CASE WHEN ls IS DISTINCT FROM rs THEN 'mismatch' ELSE 'match' END ELSE bucket END AS bucket FROM v),
+    e AS (SELECT 'match' AS bucket FROM l),
+    st AS (SELECT 'half-way' AS query_id, '0123456789ab' AS source, {STATS} FROM w UNION ALL SELECT 'rewritten', 'feedfacefeed', {STATS} FROM u
+           UNION ALL SELECT 'same', '(none)', {STATS} FROM e)
+    SELECT query_id, CASE WHEN matches THEN 'PASS' ELSE 'FAIL' END AS verdict, * EXCLUDE (query_id, matches) FROM st""")
+add("report_store_rows", lambda s, d: report_store.report_rows(s, stored_reports(s, d)).select(
+        "query_id", F.col("key")["id"].alias("id"), F.col("key")["part"].alias("part"), "bucket"), f"""{BOTH}
+    SELECT 'half-way' AS query_id, CAST(id AS VARCHAR) AS id, CAST(part AS VARCHAR) AS part, bucket FROM v WHERE bucket <> 'match'
+    UNION ALL SELECT 'rewritten', CAST(id AS VARCHAR), CAST(part AS VARCHAR), bucket FROM v WHERE bucket LIKE 'only%' OR bucket = 'mismatch' AND ls IS DISTINCT FROM rs""")
+
+
 def stored_rows(s, d):
     """A report that keeps every row with both sides, in key order."""
     folder = new_folder(s, "reports")
