@@ -195,6 +195,8 @@ add("map_export", map_export, with_standins("""SELECT f.c_personid, f.c_entry_co
 
 add("top_codes", lambda s, d: ag.top_codes(catalog(s, d)["POSTED_TO_OFFICE_DATA"], "c_office_id", "c_personid", 50),
     with_standins("SELECT c_office_id, count(DISTINCT c_personid) AS people FROM POSTED_TO_OFFICE_DATA GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
+add("top_codes_pruned", lambda s, d: ag.top_codes_pruned(catalog(s, d)["POSTED_TO_OFFICE_DATA"], "c_office_id", "c_personid", 50),
+    with_standins("SELECT c_office_id, count(DISTINCT c_personid) AS people FROM POSTED_TO_OFFICE_DATA GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"))
 add("code_by_dynasty", lambda s, d: ag.code_by_dynasty(catalog(s, d)["ENTRY_DATA"], catalog(s, d)["BIOG_MAIN"], "c_entry_code", 20),
     with_standins("""SELECT f.c_entry_code, b.c_dy, count(DISTINCT f.c_personid) AS people FROM ENTRY_DATA f JOIN BIOG_MAIN b ON b.c_personid = f.c_personid
                      GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20"""))
