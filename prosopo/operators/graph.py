@@ -169,14 +169,24 @@ def expand_kinship(edges: DataFrame, seeds: DataFrame | None = None, caps: KinCa
     return out
 
 
-def reduce_relation(kin: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+MAX_RULES = 10_000      #: rules up to which each task holds them all
+
+
+def reduce_relation(kin: DataFrame, rules: DataFrame, path: str = "path", most: int = MAX_RULES) -> DataFrame:
     """Compose a code path to one code with a rule table (code1, code2 -> code).
 
     Rules apply from the left as long as they match; ``reduced_code`` is NULL where
-    some step has no rule (the summed step vector then stands for the relation).
-    Paths are at most as long as the number of rounds, so this is one join per position.
+    some step has no rule (the summed step vector then stands for the relation); NULL steps are passed over.
+
+    Up to ``most`` rules, each (code1, code2) once, are an automaton: the code so far is the state, the next code leads to
+    another, and each path is folded where it lies, without a join. Larger or ambiguous rule tables are joined once a position; paths are at most as long as
+    the number of rounds.
     """
     rules = rules.select(F.col("code1").alias("__c1"), F.col("code2").alias("__c2"), F.col("code").alias("__c"))
+    telling = rules.where("__c1 is not null and __c2 is not null")
+    some = telling.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__c1", "__c2").alias("pairs")).first()
+    if some["n"] <= most and some["n"] == some["pairs"]:
+        return _fold_path(kin, telling, path)
     longest = kin.agg(F.max(F.size(path))).first()[0] or 0
     out = kin.withColumn("reduced_code", F.get(path, F.lit(0)))
     for i in range(1, longest):
@@ -188,6 +198,19 @@ def reduce_relation(kin: DataFrame, rules: DataFrame, path: str = "path") -> Dat
     return out
 
 
+def _fold_path(kin: DataFrame, rules: DataFrame, path: str) -> DataFrame:
+    """Each path folded through the rules, which reach it as one value: a map of states, each a map of the codes that lead on."""
+    kind = kin.schema[path].dataType.elementType
+    rules = rules.select(*[F.col(c).cast(kind).alias(c) for c in ("__c1", "__c2", "__c")])
+    states = rules.groupBy("__c1").agg(F.map_from_entries(F.collect_list(F.struct("__c2", "__c"))).alias("__on"))
+    automaton = states.agg(F.map_from_entries(F.collect_list(F.struct("__c1", "__on"))).alias("__on"))
+    step = lambda state, code: F.when(code.isNull(), state).otherwise(F.try_element_at(F.try_element_at(F.col("__rules"), state), code))
+    rest = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
+    return (kin.withColumn("__rules", automaton.scalar())
+            .withColumn("reduced_code", F.aggregate(F.coalesce(rest, F.array().cast(f"array<{kind.simpleString()}>")), F.get(path, F.lit(0)), step))
+            .drop("__rules"))
+
+
 def expand_network(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Persons reached from each seed within ``hops`` edges: (seed_id, person_id, hop).
 

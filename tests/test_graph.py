@@ -65,6 +65,23 @@ def test_seeds_restrict_without_changing_answers(spark):
     assert rows(g.expand_kinship(kin, seeds)) == every
 
 
+def test_reduction_by_automaton_and_by_joins_agree(spark):
+    rng = random.Random(4)
+    rules = spark.createDataFrame([(a, b, rng.randrange(9)) for a in range(9) for b in range(9) if rng.random() < 0.8] + [(None, 1, 2), (1, None, 2)], "code1 int, code2 int, code int")
+    data = [(i, [rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 8, None]) for _ in range(rng.randrange(7))]) for i in range(400)] + [(400, None), (401, [])]
+    kin = spark.createDataFrame(data, "id long, path array<int>")
+    folded, joined = g.reduce_relation(kin, rules), g.reduce_relation(kin, rules, most=10)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(folded) and "Join" in plan(joined)
+    assert rows(folded.select("id", "reduced_code")) == rows(joined.select("id", "reduced_code"))
+    assert folded.columns == joined.columns
+    wide = spark.createDataFrame([(1, [2, 3])], "id long, path array<bigint>")
+    assert rows(g.reduce_relation(wide, spark.createDataFrame([(2, 3, 5)], "code1 int, code2 int, code int")).select("reduced_code")) == [(5,)]
+    assert rows(g.reduce_relation(wide, rules.where("false")).select("reduced_code")) == [(None,)]
+    twice = spark.createDataFrame([(2, 3, 5), (2, 3, 6)], "code1 int, code2 int, code int")
+    assert rows(g.reduce_relation(wide, twice).select("reduced_code")) == [(5,), (6,)]
+
+
 def test_reduction_stops_where_a_rule_is_missing(spark):
     kin = spark.createDataFrame([(1, [1]), (2, [1, 2]), (3, [1, 2, 3]), (4, [1, 9])], "id int, path array<int>")
     rules = spark.createDataFrame([(1, 2, 12), (12, 3, 123)], "code1 int, code2 int, code int")
