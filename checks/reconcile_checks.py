@@ -380,6 +380,22 @@ def file_hash_totals(s, d):
 add("file_hash_totals", file_hash_totals, "SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
 
 
+def ordered_files(s, d):
+    """The orders as text files in key order, one for each ten thousand keys: hashes of numbered lines, which another engine can recompute."""
+    folder = new_folder(s, "file-order")
+    lines = driver_table(s, d, "orders").select(F.expr("o_orderkey div 10000").alias("part"), "o_orderkey",
+                                                F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(folder)
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part")
+    return tables.file_hashes(s, f"{folder}/part=*", "md5").select(part, "lines", "length", F.col("hash_sum").cast("string").alias("hash_sum"))
+
+
+add("file_hash_ordered", ordered_files, """WITH l AS (SELECT o_orderkey // 10000 AS part, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority) AS t,
+      row_number() OVER (PARTITION BY o_orderkey // 10000 ORDER BY o_orderkey) AS n FROM orders)
+    SELECT part, count(*) AS lines, CAST(sum(strlen(t) + 1) AS BIGINT) AS length, CAST(sum(CAST('0x' || substr(md5(n || ':' || t), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum
+    FROM l GROUP BY part""")
+
+
 def provenance(s, d):
     """Builds of all printed tables are recorded with their fingerprints; one is rebuilt, one never ends."""
     folder, found = new_folder(s, "provenance"), prints(s, d).collect()

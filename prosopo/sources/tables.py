@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+
+from prosopo.session import cut_lineage
 
 PROVENANCE = ("product string, source_sha string, path string, builder_version string, "
               "tables bigint, rows bigint, built_at timestamp, started boolean")
@@ -49,14 +51,28 @@ def fingerprint(df: DataFrame, digest: str = "xxhash64") -> DataFrame:
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, digest: str = "xxhash64") -> DataFrame:
     """(path, length, lines, hash_sum, hash_xor) of staged text or binary files; never cached.
 
-    Files are read line by line and split like any text, so none is held whole; the lines' hashes
-    are combined without order. ``length`` is the file's own.
+    A line is hashed with its number in the file, so the order of lines counts. Files are read line by line and split like any text, so none is held
+    whole: rows before a line are counted within its split and over the splits before it. ``length`` is the file's own, so a missing last
+    line break shows too. ``xxhash64`` is the fast choice; with ``md5`` any other engine can recompute the values (first 60 bits of the MD5 of number, colon and line).
     """
-    h = F.xxhash64(F.col("value").cast("binary"))
-    return (spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), h.alias("h"))
+    if digest not in ("xxhash64", "md5"):
+        raise ValueError("digest must be 'xxhash64' or 'md5'")
+    line = F.col("value").cast("binary")
+    read = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), (F.xxhash64(line) if digest == "xxhash64" else line).alias("line"))
+    # written once: a second reading could split and number the rows otherwise. Rows of a split are numbered one after the other
+    rows = cut_lineage(read, "file-lines")
+    splits = rows.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)     # a row a split
+    splits = splits.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    number = F.col("row") + F.col("shift")
+    h = (F.xxhash64(number, "line") if digest == "xxhash64"
+         else F.conv(F.substring(F.md5(F.concat(number.cast("string").cast("binary"), F.lit(b":"), F.col("line"))), 1, 15), 16, 10).cast("bigint"))
+    return (rows.join(splits, ["path", "block"]).select("path", "length", h.alias("h"))
             .groupBy("path", "length").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor")))
 
 
