@@ -63,6 +63,21 @@ add("dump_ingest_texts", lambda s, d: ingest(s, d).tables["documents_copy"],
     "SELECT CAST(doc_id AS INT) AS doc_id, text, lang, source, CAST(n_chars AS INT) AS n_chars FROM documents")
 
 
+def newest(s, d):
+    """Three dated dumps in parts, the newest that can be read compressed: it is chosen by its name and read."""
+    folder = new_folder(s, "dumps")
+    orders = driver_table(s, d, "orders")
+    for name, how, rows in (("orders_20240229.sql", {}, orders.where("o_orderstatus = 'F'")), ("orders_20251105.sql.gz", {"compression": "gzip"}, orders),
+                            ("orders_20260101.7z", {}, orders.where("o_orderstatus = 'O'"))):
+        as_dump(rows, "orders_copy", ORDER_COLUMNS, "o_orderkey").write.options(lineSep=";\n", **how).text(f"{folder}/{name}")
+    found = dump.latest_dump(dump.list_files(s, folder, parts=True), "orders_", dump.READABLE).first()
+    return dump.read_dump(s, found["path"]).tables["orders_copy"].withColumn("date_tag", F.lit(found["date_tag"]))
+
+
+add("dump_newest", newest, """SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+    '20251105' AS date_tag FROM orders""")
+
+
 def build(s, d):
     """Ingest, write the tables, and report what was built."""
     got = ingest(s, d)

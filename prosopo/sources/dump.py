@@ -52,28 +52,34 @@ class DumpError(ValueError):
     """The dump holds something that would be lost or guessed."""
 
 
-def latest_dump(files: DataFrame, prefix: str, suffix: str = ".tar.gz") -> DataFrame:
+def latest_dump(files: DataFrame, prefix: str, suffix: str | Sequence[str] = ".tar.gz") -> DataFrame:
     """The file whose name carries the largest 8-digit date tag (never the newest by mtime).
 
-    ``files`` has a ``path`` column. Other names are ignored; none, or two with one tag,
-    is an error.
+    ``files`` has a ``path`` column. Other names are ignored; none, or two with one tag and suffix,
+    is an error. Of several suffixes the first is preferred where a tag has more than one, e.g. ``READABLE``, which :func:`read_dump` takes as they are.
     """
+    suffixes = [suffix] if isinstance(suffix, str) else list(suffix)
     escape = lambda s: "".join("\\" + c if not c.isalnum() else c for c in s)
     name = F.element_at(F.split("path", "/"), -1)
-    tag = F.regexp_extract(name, f"^{escape(prefix)}(\\d{{8}}){escape(suffix)}$", 1)
-    tagged = files.withColumn("date_tag", tag).where("date_tag <> ''")
-    twice = tagged.groupBy("date_tag").count().where("count > 1").take(1)
+    tags = [F.regexp_extract(name, f"^{escape(prefix)}(\\d{{8}}){escape(x)}$", 1) for x in suffixes]
+    rank = F.coalesce(*[F.when(t != "", F.lit(i)) for i, t in enumerate(tags)])
+    tagged = files.withColumn("date_tag", F.concat(*tags)).withColumn("__rank", rank).where("__rank is not null")
+    twice = tagged.groupBy("date_tag", "__rank").count().where("count > 1").take(1)
     if twice:
         raise DumpError(f"several dumps carry the tag {twice[0]['date_tag']}")
-    newest = tagged.orderBy(F.desc("date_tag")).limit(1)
+    newest = tagged.orderBy(F.desc("date_tag"), "__rank").limit(1).drop("__rank")
     if not newest.take(1):
-        raise DumpError(f"no {prefix}YYYYMMDD{suffix} found")
+        raise DumpError(f"no {prefix}YYYYMMDD{' or '.join(suffixes)} found")
     return newest
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of the files in a folder; their content is not read."""
-    return spark.read.format("binaryFile").load(folder).select("path", "length")
+READABLE = (".sql", ".sql.gz")      #: suffixes of dumps that need no unpacking
+
+
+def list_files(spark: SparkSession, folder: str, parts: bool = False) -> DataFrame:
+    """(path, length) of the files in a folder, or with ``parts`` of the folders in it that hold a dump in parts; their content is not read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*" if parts else folder).select("path", "length")
+    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.sum("length").alias("length")) if parts else files
 
 
 def _name(statement: str, head: str) -> Column:

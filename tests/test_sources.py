@@ -197,6 +197,23 @@ def test_latest_dump(spark):
         dump.latest_dump(spark.createDataFrame([("/a/data_20250101.tar.gz",), ("/b/data_20250101.tar.gz",)], "path string"), "data_")
     with pytest.raises(dump.DumpError, match="no data_"):
         dump.latest_dump(names("x.rar"), "data_")
+    # one that can be read is taken as it is; of one day's dumps the first suffix
+    some = names("data_20260520.tar.gz", "data_20260101.sql.gz", "data_20260101.sql", "data_20251231.sql", "data_20260101xsql")
+    assert dump.latest_dump(some, "data_", dump.READABLE).first()["path"] == "/in/data_20260101.sql"
+    assert dump.latest_dump(some, "data_", (".sql.gz", ".sql")).first()["path"] == "/in/data_20260101.sql.gz"
+    assert dump.latest_dump(some, "data_", (*dump.READABLE, ".tar.gz")).first()["date_tag"] == "20260520"
+    assert dump.latest_dump(some, "data_").columns == ["path", "date_tag"]
+    with pytest.raises(dump.DumpError, match="no data_"):
+        dump.latest_dump(names("data_20260520.tar.gz"), "data_", dump.READABLE)
+
+
+def test_the_newest_dump_is_chosen_and_read(spark, tmp_path):
+    insert = lambda n: f"CREATE TABLE `t` (\n  `id` int(11) DEFAULT NULL\n);\nINSERT INTO `t` VALUES ({n});\n".encode()
+    (tmp_path / "d_20250101.sql").write_bytes(insert(1))
+    (tmp_path / "d_20260101.sql.gz").write_bytes(gzip.compress(insert(2)))
+    (tmp_path / "d_20270101.tar.gz").write_bytes(b"not a dump")
+    path = dump.latest_dump(dump.list_files(spark, str(tmp_path)), "d_", dump.READABLE).first()["path"]
+    assert rows(dump.read_dump(spark, path).tables["t"]) == [(2,)]
 
 
 def test_build_and_fingerprints(spark, tmp_path):
