@@ -294,3 +294,14 @@ def test_lists(spark, tmp_path):
     (tmp_path / "places.txt").write_text("10, 11,12\n")
     assert rows(lists.read_codes(spark, str(tmp_path / "codes.txt"))) == [(36,), (7,)]
     assert rows(lists.read_places(spark, str(tmp_path / "places.txt"))) == [(10,), (11,), (12,)]
+
+
+def test_dump_text_is_read_in_small_splits(spark, tmp_path, monkeypatch):
+    from prosopo.sources import dump
+    text = "CREATE TABLE `v` (`id` bigint(20));\n" + "".join(f"INSERT INTO `v` VALUES ({i});\n" for i in range(4000))
+    (tmp_path / "d.sql").write_text(text)
+    monkeypatch.setattr(dump, "SPLIT_BYTES", 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = dump.read_dump(spark, str(tmp_path / "d.sql"), stage=str(tmp_path / "stage"))
+    assert got.tables["v"].count() == 4000 and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert len(list((tmp_path / "stage/role=row/table=v").glob("*.parquet"))) >= len(text) // 20_000
