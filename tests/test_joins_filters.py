@@ -102,3 +102,26 @@ def test_range_join_by_aligned_blocks(spark):
     doubles = spark.createDataFrame([(5.0,), (5.5,), (float("nan"),)], "y double")
     assert [x["y"] for x in j.in_windows(doubles, "y", spark.createDataFrame([(1, 5, 6)], "id int, lo int, hi int"), "lo", "hi").collect()] == [5.0]
     assert j.in_windows(doubles, "y", windows.where("id = 102"), "lo", "hi").count() == 0
+
+
+def test_expand_writes_no_sizes_where_no_key_is_large(spark, monkeypatch):
+    names, cut = [], j.cut_lineage
+    monkeypatch.setattr(j, "cut_lineage", lambda df, name="step": (names.append(name), cut(df, name))[1])
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, 10), (1, 11), (None, 12), (3, 13)], "k int, w int")
+    want = rows(j.expand(a, b, ["k"], "n", 1))
+    assert "sizes" in names
+    names.clear()
+    assert rows(j.expand(a, b, ["k"], "n")) == want
+    assert not names
+
+
+def test_windows_of_many_pairs_are_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(j, "PAIRS", 50)
+    df = spark.range(600).selectExpr("id", "case when id % 7 = 0 then null else cast(id % 5 as double) end as y", "map('a', id) as m")
+    windows = spark.range(40).selectExpr("id as w", "cast(id % 4 - 1 as int) as lo", "cast(id % 4 + id % 3 as int) as hi")
+    got = j.in_windows(df, "y", windows, "lo", "hi")
+    want = sorted((i, w) for i in range(600) if i % 7 for w in range(40) if w % 4 - 1 <= i % 5 <= w % 4 + w % 3)
+    assert sorted((r["id"], r["w"]) for r in got.collect()) == want
+    assert got.columns == ["id", "y", "m", "w", "lo", "hi"]
+    assert got.rdd.getNumPartitions() >= 2 * len(want) // 50
