@@ -9,6 +9,7 @@ import pytest
 
 from prosopo.llm import bpe, langid, licenses, packing, simhash, simhash_wide, suffixdedup
 from prosopo.llm.queries import vocabulary
+from prosopo.session import cut_lineage
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeéß") for _ in range(R.randint(2, 7))) for _ in range(60)]
@@ -233,6 +234,30 @@ def test_wide_rows_keep_every_column(table):
     assert sorted(tuple(r) for r in got.collect()) == [rows[1], rows[2]]
 
 
+def test_wide_index_grows_with_the_texts_alone(table, monkeypatch):
+    """Unrelated texts share no entry, however many there are; a text has the same rows in every corpus."""
+    from prosopo.llm import common
+    written, plans = {}, []
+
+    def keep(df, name="step", **options):
+        if name == "simhash-edges":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = cut_lineage(df, name, **options)
+        written.setdefault(name, []).append(out)
+        return out
+    monkeypatch.setattr(simhash_wide, "cut_lineage", keep)
+    monkeypatch.setattr(common, "cut_lineage", keep)
+    rng = random.Random(12)
+    rows = [(k, spliced(rng, 30, 0)[0]) for k in range(1500)]
+    x, y = spliced(rng, 200, 192)
+    got = {r[0]: r[1] for r in simhash_wide.component_ids(table(docs([*rows, (9000, x), (9001, y)]), SCHEMA)).collect()}
+    assert got == {**{k: k for k, _ in rows}, 9000: 9000, 9001: 9000}
+    assert written["simhash-index"][0].count() == 0
+    assert 0 < written["simhash-entries"][0].count() <= simhash_wide.tables(0.8, simhash_wide.MISS)
+    assert written["simhash-texts"][0].count() == 2         # texts that no entry names are not sent
+    assert plans and not any("Generate" in p for p in plans)
+
+
 def test_shared_shingles_are_counted():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300), dtype=np.uint64)) for _ in range(60)]
