@@ -1,10 +1,12 @@
 """Repeats, fingerprints, packing, BPE, languages and licences, against brute force or the library they must equal."""
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prosopo.llm import bpe, langid, licenses, packing, simhash, simhash_wide, suffixdedup
@@ -78,6 +80,36 @@ def test_repeats_with_shared_and_missing_ids(table):
     assert suffixdedup.remove_repeats(table([], SCHEMA)).count() == 0
 
 
+class Taken:
+    """Stands for a table whose rows go through a function of batches: keeps the function."""
+    select = repartition = sortWithinPartitions = lambda self, *a: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def most_memory(run, batch):
+    tracemalloc.start()
+    try:
+        made = sum(b.num_rows for b in run(iter([batch])))
+        return made, tracemalloc.get_traced_memory()[1] / batch.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_take_memory_by_slices_not_batches():
+    rng, n = np.random.default_rng(3), 4000
+    text = [bytes(x).decode() for x in rng.integers(97, 123, (n, 2500), dtype=np.uint8)]
+    long = pa.table({"doc": np.arange(n), "tie": np.zeros(n, np.int64), "text": text}).combine_chunks().to_batches()[0]
+    made, share = most_memory(suffixdedup.find_runs(Taken(), 100), long)
+    assert made > n * 2400 / 69 and share < 6
+    n = 40000
+    contexts = {"kind": np.zeros(n, np.int8), "route": np.arange(n), "doc": np.arange(n), "tie": np.zeros(n, np.int64), "lo": np.zeros(n, np.int64), "n": np.full(n, 35, np.int32),
+                "off": np.full(n, 20, np.int32), "bytes": [x[:134].encode() for x in (text * 10)]}
+    _, share = most_memory(suffixdedup.sort_buckets(Taken(), 100), pa.table(contexts).combine_chunks().to_batches()[0])
+    assert share < 8
+
+
 def test_stripped_text_keeps_whole_characters(table):
     a = "é" * 80 + "tail"
     columns = ("doc_id", "text", "lang", "source", "n_chars")
