@@ -81,6 +81,26 @@ def test_facts_are_read_once(small, spark, tmp_path):
     assert plans[0].count("/ENTRY_DATA]") == 1 and "CartesianProduct" not in plans[0] and "NestedLoop" not in plans[0] and "Python" not in plans[0]
 
 
+def test_only_persons_asked_for_fan_out(small, monkeypatch):
+    from prosopo.plans import request_batch
+    seen, expand = [], request_batch.expand
+    monkeypatch.setattr(request_batch, "expand", lambda left, *a: seen.append(left) or expand(left, *a))
+    homes = {"at": CodeRequest(person_places=[11], dynasty_ids=[15]), "other": CodeRequest(person_places=[10], dynasty_ids=[6]),
+             "year": CodeRequest(person_places=[10], index_years=(1, 2))}
+    got = run_requests(small, OFFICE, homes).collect()
+    assert sorted((r[0], *map(str, r[1:])) for r in got) == singles(small, OFFICE, homes)
+    assert {r.c_personid for r in seen[0].collect()} == {2}     # 1 lives at 10, but no request there takes its dynasty or year
+
+
+def test_named_fields_are_those_of_all(small):
+    homes = {"below": CodeRequest(person_places=[20], include_subordinate_person_units=True, limit=2)}
+    names = ["office", "office_xy_count", "person_id", "posting_id"]
+    some = run_requests(small, OFFICE, homes, names).select(*names)
+    assert rows(some) == rows(run_requests(small, OFFICE, homes).select(*names)) != []
+    with pytest.raises(ValueError, match="fields"):
+        run_requests(small, OFFICE, homes, ["no_field"])
+
+
 def test_many_name_searches_equal_single_ones(small, spark):
     words = [(f"k{i}", w) for i, w in enumerate(KEYWORDS)] + [("null", None), ("blank", "  "), ("again", "ann")]
     got = rows(persons_by_keywords(small["BIOG_MAIN"], small["ALTNAME_DATA"], spark.createDataFrame(words, "keyword_id string, keyword string")))
