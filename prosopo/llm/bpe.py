@@ -1,7 +1,9 @@
 """BPE encoding and decoding with a word-level vocabulary, by tree concatenation.
 
 Text is cut at ASCII white space into chunks; no token spans such a cut, so a chunk's ids do not
-depend on its neighbours and are cached per worker (bounded). A long unsplit run is a single word to
+depend on its neighbours. Texts are taken some megabytes at a time as Arrow arrays: each different chunk
+is cut into words once, each different word is encoded once (and cached per worker, bounded), and words
+are strung to chunks and chunks to texts by array operations. A long unsplit run is a single word to
 the vocabulary and would cost its encoder one long pass: it is cut into leaves, the leaves are encoded
 in parallel by Spark, and neighbours are joined pairwise up a tree. At each join a window around
 the border is encoded anew and grown until its first and last tokens are those the two sides had;
@@ -19,7 +21,9 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,11 +33,15 @@ from prosopo.session import cut_lineage
 LONG_RUN = 4096      #: a run of so many characters without white space is encoded as a tree
 LEAF = 512           #: symbols of a leaf
 CACHE = 300_000      #: chunks, and words, kept per worker
+SLICE = 8 << 20      #: bytes of text encoded at once; a longer text is taken alone
 #: How the vocabulary file splits normalised text; fixed value. Other files are encoded chunk by chunk.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-#: Text whose splitting is the same in every version of Unicode: Basic Latin to Latin Extended-B.
-_LATIN = re.compile("[\x00-\u024f]*")
+#: The steps of the normaliser that goes with it; on the text below they only lower the case, as ``str.lower`` does.
+KNOWN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+#: Words, and the line feed that ends a chunk, which itself holds no ASCII white space.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
+#: Not in the text whose splitting is the same in every version of Unicode, Basic Latin to Latin Extended-B.
+_NOT_LATIN = r"[^\x{0}-\x{24f}]"
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -45,23 +53,40 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def room(cache: dict, wanted: int, needed: list | None = None) -> None:
-    """Drops the oldest quarter of a full cache, but not what is needed now."""
-    if len(cache) + wanted > CACHE and cache:
-        keep = {k: cache[k] for k in set(needed or ()) if k in cache}
-        for k in list(islice(cache, max(CACHE // 4, min(wanted, len(cache))))):
+#: Numbers of ids, ids in decimal and decoded texts of some texts, chunks or words.
+Parts = tuple[np.ndarray, pa.Array, pa.Array]
+
+
+def room(cache: dict) -> None:
+    """Drops the oldest quarter of a full cache."""
+    if len(cache) >= CACHE:
+        for k in list(islice(cache, max(CACHE // 4, 1))):
             del cache[k]
-        cache.update(keep)
 
 
-def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    """One after the other; parts without an id count for nothing."""
-    if not parts:
-        return 0, b"", b""
-    n, ids, text = zip(*parts)
-    if 0 in n:
-        return joined([p for p in parts if p[0]])
-    return sum(n), b" ".join(ids), b" ".join(text)
+def listed(made: list[tuple[int, bytes, bytes]]) -> Parts:
+    n, ids, text = zip(*made) if made else ((), (), ())
+    return np.array(n, np.int64), pa.array(ids, pa.large_binary()), pa.array(text, pa.large_binary())
+
+
+def mixed(first: pa.Array, a: Parts, b: Parts) -> Parts:
+    """The parts of ``a`` where ``first`` holds and those of ``b`` elsewhere, each in their order."""
+    if not len(a[0]):
+        return b
+    first = first.to_numpy(zero_copy_only=False)
+    at = np.where(first, np.cumsum(first) - 1, len(a[0]) + np.cumsum(~first) - 1)
+    return np.concatenate((a[0], b[0]))[at], *(pa.concat_arrays([x, y]).take(pa.array(at)) for x, y in zip(a[1:], b[1:]))
+
+
+def strung(parts: Parts, places: np.ndarray, bounds: np.ndarray) -> Parts:
+    """The parts at ``places`` one after the other, from each bound to the next; parts without an id count for nothing."""
+    n, ids, text = parts
+    some = n[places] > 0
+    bounds = np.concatenate(([0], np.cumsum(some)))[bounds]
+    places = places[some]
+    total = np.concatenate(([0], np.cumsum(n[places])))[bounds]
+    ends, taken, blank = pa.array(bounds, pa.int32()), pa.array(places), pa.scalar(b" ", pa.large_binary())
+    return np.diff(total), *(pc.binary_join(pa.ListArray.from_arrays(ends, x.take(taken)), blank) for x in (ids, text))
 
 
 class WordBpe:
@@ -83,12 +108,16 @@ class WordBpe:
         self.rank = {tuple(p): i for i, p in enumerate(pairs)}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.words_seen: dict[str, tuple[int, bytes, bytes]] = {}
+        self.special_texts = special
+        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
+        self.words_seen: dict[str, tuple[int, ...]] = {}
+        by_id = {i: t.encode() for t, i in self.vocab.items()}
+        self.tokens = listed([(1, b"%d" % i, by_id.get(i, b"")) for i in range(max(by_id, default=-1) + 1)])
         # a decoder would join tokens its own way; without one they are joined by blanks, chunk by chunk or not
         self.by_chunks = spec.get("decoder") is None
         split = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_words = self.by_chunks and split == [KNOWN_SPLIT, None]
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_words = self.by_chunks and split == [KNOWN_SPLIT, None] and steps == KNOWN_NORMALIZER
         self.letters = byte_letters()
 
     @classmethod
@@ -106,35 +135,57 @@ class WordBpe:
     def made(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         return len(ids), " ".join(map(str, ids)).encode(), self.tok.decode(ids, skip_special_tokens=False).encode()
 
-    def word(self, word: str) -> tuple[int, bytes, bytes]:
-        """A word of the pre-tokeniser: the model alone, on the word's bytes as the vocabulary writes them."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word of the pre-tokeniser: the model alone, on the word's bytes as the vocabulary writes them."""
         if (got := self.words_seen.get(word)) is None:
-            tokens = self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
-            got = len(tokens), b" ".join(b"%d" % t.id for t in tokens), " ".join(t.value for t in tokens).encode()
-            room(self.words_seen, 1)
+            shown = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+            got = tuple([t.id for t in self.tok.model.tokenize(shown)])
+            room(self.words_seen)
             self.words_seen[word] = got
         return got
 
-    def chunk(self, chunk: bytes) -> tuple[int, bytes, bytes]:
-        text = chunk.decode()
-        if self.by_words and _LATIN.fullmatch(text):
-            text = text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
-            return joined([self.word(w) for w in _WORDS.findall(text)])
-        return self.plain(text)
+    def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """A chunk that is not cut into words here."""
+        if (got := self.chunks.get(chunk)) is None:
+            got = self.plain(chunk)
+            room(self.chunks)
+            self.chunks[chunk] = got
+        return got
+
+    def latin_chunks(self, chunks: pa.Array) -> Parts:
+        """Chunks from Basic Latin to Latin Extended-B, each different word of them encoded once."""
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar("\n", pa.large_string()))[0].as_py()
+        found = _WORDS.findall(lines.lower() + "\n") if len(chunks) else []
+        words = pa.array(found, pa.large_string()).dictionary_encode()
+        places, ids, bounds, end = words.indices.to_numpy(), [], [0], -1
+        for k, word in enumerate(words.dictionary.to_pylist()):
+            if word == "\n":
+                end = k
+            else:
+                ids += self.word(word)
+            bounds.append(len(ids))
+        made = strung(self.tokens, np.array(ids, np.int64), np.array(bounds))
+        return strung(made, places, np.concatenate(([0], np.flatnonzero(places == end) + 1)))
+
+    def split_texts(self, texts: pa.Array) -> Parts:
+        """Texts without special tokens, each different chunk of them encoded once."""
+        cut = pc.ascii_split_whitespace(texts)
+        chunks = cut.values.dictionary_encode()
+        different = chunks.dictionary
+        odd = pc.match_substring_regex(different, _NOT_LATIN) if self.by_words else pa.array(np.ones(len(different), bool))
+        made = mixed(odd, listed([self.chunk(c) for c in different.filter(odd).to_pylist()]), self.latin_chunks(different.filter(pc.invert(odd))))
+        return strung(made, chunks.indices.to_numpy(), cut.offsets.to_numpy())
+
+    def encode_texts(self, texts: pa.Array) -> Parts:
+        """Whole texts (large_string), none of them null."""
+        whole = pa.array(np.full(len(texts), not self.by_chunks))
+        for token in self.special_texts:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        return mixed(whole, listed([self.plain(t) for t in texts.filter(whole).to_pylist()]), self.split_texts(texts.filter(pc.invert(whole))))
 
     def encode(self, text: str) -> tuple[int, bytes, bytes]:
-        """A whole text, from the cache where a chunk is known."""
-        if not self.by_chunks or self.special and self.special.search(text):
-            return self.plain(text)
-        words = (text.lower() if text.isascii() else text).encode().split()
-        chunks = self.chunks
-        new = [w for w in set(words) if w not in chunks]
-        if new:
-            room(chunks, len(new), words)
-            for w in words if len(new) > CACHE else new:
-                if w not in chunks:
-                    chunks[w] = self.chunk(w)
-        return joined([chunks[w] for w in words])
+        n, ids, decoded = self.encode_texts(pa.array([text], pa.large_string()))
+        return int(n[0]), ids[0].as_py(), decoded[0].as_py()
 
     # -- the tree ------------------------------------------------------------------------
 
@@ -189,6 +240,16 @@ class WordBpe:
         return parts[0] if parts else []
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in their order, of ``SLICE`` bytes together or one longer text each time."""
+    before = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + SLICE, "right")) - 1)
+        yield texts[at:end]
+        at = end
+
+
 def digest(made: tuple[int, bytes, bytes]) -> tuple[int, str, str]:
     return made[0], hashlib.sha256(made[1]).hexdigest(), hashlib.sha256(made[2]).hexdigest()
 
@@ -206,8 +267,9 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(path)
-        for batch, values in texts(batches):
-            made = [digest(bpe.encode(t)) for t in values]
+        for batch in batches:
+            whole = batch.column(1).fill_null("").cast(pa.large_string())   # cast before it is sliced: some array functions misread a slice that is cast
+            made = [digest(m) for part in slices(whole) for m in zip(*(x.tolist() for x in bpe.encode_texts(part)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m[0] for m in made], pa.int64()), *(pa.array([m[k] for m in made], pa.string()) for k in (1, 2))],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -367,6 +367,32 @@ def test_cache_may_overflow(monkeypatch):
         assert model.encode(text) == model.plain(text)
 
 
+def test_words_are_found_at_once(monkeypatch):
+    """The words of all chunks are found in one pass, not chunk by chunk."""
+    found, calls = bpe._WORDS, []
+
+    class Words:
+        def findall(self, text):
+            calls.append(text)
+            return found.findall(text)
+
+    monkeypatch.setattr(bpe, "_WORDS", Words())
+    model, text = bpe.WordBpe(vocabulary("word_bpe_49k.json")), prose(500)
+    assert model.encode(text) == model.plain(text) and len(calls) == 1
+
+
+@pytest.mark.parametrize("size", [1, 50, 400, 1 << 20])
+def test_texts_of_a_slice_stay_apart(monkeypatch, size):
+    monkeypatch.setattr(bpe, "SLICE", size)
+    model, rng = bpe.WordBpe(vocabulary("word_bpe_49k.json")), random.Random(5)
+    ends = ["", "\n", " İĳ J\u030c", " \x85\xa0", " 数据 Ⅷ", "!?" * 5, "<|endoftext|>"]
+    texts = [prose(rng.randint(0, 30), rng) + rng.choice(ends) for _ in range(120)] + ["", " "]
+    parts = list(bpe.slices(pa.array(["left out", *texts], pa.large_string())[1:]))
+    assert [t for p in parts for t in p.to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len(t.encode()) for t in p.to_pylist()) <= size for p in parts)
+    assert [m for p in parts for m in zip(*(x.tolist() for x in model.encode_texts(p)))] == [model.plain(t) for t in texts]
+
+
 # -- languages ----------------------------------------------------------------------------
 
 SYLLABLES = {"aa": ["ka", "tok", "mi", "ren"], "bb": ["schu", "eit", "ung", "ber"], "cc": ["ção", "lhe", "nho", "ques"]}
