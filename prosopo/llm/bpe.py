@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -33,7 +34,7 @@ from prosopo.session import cut_lineage
 LONG_RUN = 4096      #: a run of so many characters without white space is encoded as a tree
 LEAF = 512           #: symbols of a leaf
 CACHE = 300_000      #: chunks, and words, kept per worker
-SLICE = 8 << 20      #: bytes of text encoded at once; a longer text is taken alone
+SLICE = 4 << 20      #: bytes of text encoded at once; a longer text is taken alone
 #: How the vocabulary file splits normalised text; fixed value. Other files are encoded chunk by chunk.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The steps of the normaliser that goes with it; on the text below they only lower the case, as ``str.lower`` does.
@@ -110,7 +111,7 @@ class WordBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.special_texts = special
         self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
-        self.words_seen: dict[str, tuple[int, ...]] = {}
+        self.words_seen: dict[str, bytes] = {}
         by_id = {i: t.encode() for t, i in self.vocab.items()}
         self.tokens = listed([(1, b"%d" % i, by_id.get(i, b"")) for i in range(max(by_id, default=-1) + 1)])
         # a decoder would join tokens its own way; without one they are joined by blanks, chunk by chunk or not
@@ -135,11 +136,11 @@ class WordBpe:
     def made(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         return len(ids), " ".join(map(str, ids)).encode(), self.tok.decode(ids, skip_special_tokens=False).encode()
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word of the pre-tokeniser: the model alone, on the word's bytes as the vocabulary writes them."""
+    def word(self, word: str) -> bytes:
+        """Ids (32 bits each) of a word of the pre-tokeniser: the model alone, on the word's bytes as the vocabulary writes them."""
         if (got := self.words_seen.get(word)) is None:
             shown = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = tuple([t.id for t in self.tok.model.tokenize(shown)])
+            got = array("i", [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
             room(self.words_seen)
             self.words_seen[word] = got
         return got
@@ -155,16 +156,15 @@ class WordBpe:
     def latin_chunks(self, chunks: pa.Array) -> Parts:
         """Chunks from Basic Latin to Latin Extended-B, each different word of them encoded once."""
         lines = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar("\n", pa.large_string()))[0].as_py()
-        found = _WORDS.findall(lines.lower() + "\n") if len(chunks) else []
-        words = pa.array(found, pa.large_string()).dictionary_encode()
-        places, ids, bounds, end = words.indices.to_numpy(), [], [0], -1
+        words = pa.array(_WORDS.findall(lines.lower() + "\n") if len(chunks) else [], pa.large_string()).dictionary_encode()
+        places, ids, bounds, end = words.indices.to_numpy(), bytearray(), array("q", [0]), -1
         for k, word in enumerate(words.dictionary.to_pylist()):
             if word == "\n":
                 end = k
             else:
                 ids += self.word(word)
             bounds.append(len(ids))
-        made = strung(self.tokens, np.array(ids, np.int64), np.array(bounds))
+        made = strung(self.tokens, np.frombuffer(ids, np.int32), np.frombuffer(bounds, np.int64) // 4)
         return strung(made, places, np.concatenate(([0], np.flatnonzero(places == end) + 1)))
 
     def split_texts(self, texts: pa.Array) -> Parts:
