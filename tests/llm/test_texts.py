@@ -1,6 +1,7 @@
 """Repeats, fingerprints, packing, BPE, languages and licences, against brute force or the library they must equal."""
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -8,10 +9,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from prosopo.llm import bpe, langid, licenses, packing, simhash, simhash_wide, suffixdedup
+from prosopo.llm import bpe, common, langid, licenses, packing, simhash, simhash_wide, suffixdedup
 from prosopo.llm.queries import vocabulary
-from prosopo.session import cut_lineage
+from prosopo.session import RELEASE, cut_lineage
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeéß") for _ in range(R.randint(2, 7))) for _ in range(60)]
@@ -120,6 +122,48 @@ def test_stripped_text_keeps_whole_characters(table):
     assert set(got) == {1, 2, 4} and got[4] == (None, 0) and got[2] == ("xnew", 4)
 
 
+@pytest.mark.parametrize("shared_ids", [False, True])
+def test_texts_are_dealt_out_once(spark, table, shared_ids):
+    a, rng = prose(60), random.Random(5)
+    df = table([(i // (1 + shared_ids), prose(40, rng) + a + prose(40, rng), "s", i) for i in range(40)], "doc_id long, text string, source string, n_chars long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (suffixdedup.strip_repeats(df, ("doc_id", "text", "source", "n_chars")), suffixdedup.remove_repeats(df)):
+            plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+            assert sum("ReusedExchange [doc" in x and "text" in x for x in plan) == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    def files():
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {x for x in kept if "/shuffle_" in x}
+    before, setting = files(), spark.conf.get(RELEASE, None)
+    step = cut_lineage(spark.range(1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):     # files go a little later
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(RELEASE, None) == setting
+    assert step.count() == 7
+
+
+def test_components_take_no_round_for_stars(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "cut_lineage", lambda df, name: written.append(name) or cut_lineage(df, name))
+    stars = [(b, a) for a in (1, 2, 3) for b in range(10 * a, 10 * a + 9)]
+    got = dict(common.components(spark.createDataFrame(stars, "a long, b long")).collect())
+    assert got == {**{b: a for b, a in stars}, 1: 1, 2: 2, 3: 3} and len(written) == 1
+    chain = [(i, i + 1) for i in range(50)] + [(60, 61), (61, 60), (62, 62)]
+    got = dict(common.components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(51)}, 60: 60, 61: 60}
+    assert not common.components(spark.createDataFrame([], "a long, b long")).collect()
+
+
 # -- fingerprints -------------------------------------------------------------------------
 
 def plain_fingerprint(text, size=3):
