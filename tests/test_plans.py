@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from prosopo.operators import aggregates as ag
 from prosopo.plans import code_queries as cq, people, profile
 from prosopo.plans.relations import ACCESSORS, DETAIL, ENTRY, OFFICE, POSTING, STATUS
+from prosopo.session import ALL_KEYS, cut_lineage
 from tests.conftest import rows
 
 
@@ -129,3 +130,30 @@ def test_plans_stay_in_the_jvm_and_push_filters_down(spark, tmp_path, small):
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     top = cq.entry_query(stored, cq.entry_request(entry_codes=[36], limit=5)). _jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_postings_are_dealt_once_by_person(small, spark, monkeypatch):
+    """Labels and persons are joined before the placed rows are written, by one deal of them; no row is shuffled for either afterwards."""
+    placed = []
+
+    def keep(df, name="step", **options):
+        out = cut_lineage(df, name, **options)
+        if name == "placed":
+            placed.append((out.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+    monkeypatch.setattr(cq, "cut_lineage", keep)
+    extra = small["BIOG_MAIN"].withColumn("c_unused", F.lit("long text that no field shows"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rows(cq.office_query(small.with_tables(BIOG_MAIN=extra), cq.office_request()))
+        monkeypatch.setattr(cq, "LARGE_GROUP_ROWS", 0)      # every person owns too much: the fan-out is dealt by all its keys
+        assert rows(cq.office_query(small, cq.office_request())) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (columns, plan), (_, hot) = placed
+    assert {"__label", "b_c_name"} <= set(columns) and not {"b_c_unused", "b_c_personid"} & set(columns)
+    assert "hashpartitioning(c_posting_id" not in plan and "hashpartitioning(c_posting_id" in hot
+    assert spark.conf.get(ALL_KEYS, None) in (None, "true")
+    out = cq.office_query(small, cq.office_request())._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"hashpartitioning({c}" in out for c in ("c_office_id", "c_personid", "c_posting_id"))
