@@ -334,6 +334,44 @@ def test_wide_index_grows_with_the_texts_alone(table, monkeypatch):
     assert plans and not any("Generate" in p for p in plans)
 
 
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_wide_links_leave_no_pair_out(table, words):
+    """Every pair at the threshold is found: short texts, whose SimHashes may differ in many bits, and those that share no min-hash key."""
+    rng = random.Random(14)
+    rows, k = [], 0
+    for n, more, pairs in ((8, 1, 2500), (12, 2, 600), (44, 10, 600)):     # similarity 0.8 each
+        for _ in range(pairs):
+            w = [f"w{rng.randrange(10 ** 9)}" for _ in range(n + more)]
+            rows += [(k, " ".join(w[:n])), (k + 1, " ".join(w))]
+            k += 2
+    got = {r[0]: r[1] for r in simhash_wide.component_ids(table(docs(rows), SCHEMA), words=words).collect()}
+    assert got == {i: i - i % 2 for i in range(k)}
+
+
+def test_wide_bounds_hold_for_every_similar_pair():
+    rng = np.random.default_rng(4)
+    near, far = [], 0
+    for n in (4, 5, 9, 40, 300, 1020, 1030, 5000):
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+            new = rng.integers(0, 2 ** 64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)
+            lost = rng.permutation(base)[:rng.integers(0, n // 9 + 1)]
+            near.append((base, np.unique(np.concatenate([np.setdiff1d(base, lost), new]))))
+    common = np.unique(np.concatenate([rng.permutation(x)[:len(x) // 3] for x, _ in near]))
+    both = [s for pair in near for s in pair]
+    test = simhash_wide.near_parities(0.8)(pa.table({"run": [0] * len(both), "id": range(len(both)), "label": range(len(both)), "size": [len(x) for x in both],
+                                                     "odd": [simhash_wide.parities(x) for x in both]}))
+    at = np.arange(0, len(both), 2)
+    passed = test(at, at + 1)
+    for (x, y), ok in zip(near, passed):
+        if simhash_wide.jaccard(x, y) >= 0.8:
+            assert ok and len(np.intersect1d(*(simhash_wide.first_shingles(s, 0.8, common) for s in (x, y))))
+            far += 1
+    assert far > 80
+    other = np.arange(0, len(both) - 40, 2)
+    assert not test(other, other + 40)[8:].any()        # sets of other shingles
+
+
 def test_shared_shingles_are_counted():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300), dtype=np.uint64)) for _ in range(60)]
